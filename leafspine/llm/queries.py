@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, line_dedup, sharding, token_counts
+from . import bpe, decontaminate, fingerprints, line_dedup, pii, sharding, token_counts
 from .common import table
 
 
@@ -32,6 +32,23 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("__spans", lambda s: s["base"])
+    counts = [F.size(F.filter("__spans", lambda s, k=k: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("__spans")).alias("spans"))
+
+
+def op8_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.fingerprint(F.col("sketch")).alias("fingerprint"), fingerprints.fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        fingerprints.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"), fingerprints.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        fingerprints.containment(F.col("edited_sketch"), F.col("sketch")).alias("edited_in_text"), fingerprints.distinct_count(F.col("sketch")).alias("n_shingles_est"),
+    )
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=3, min_chars=20)
     return kept.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
@@ -48,6 +65,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op7_pii": op7_pii,
+    "op8_bottom_k": op8_bottom_k,
     "op9_line_dedup": op9_line_dedup,
     "op10_bpe": op10_bpe,
 }
