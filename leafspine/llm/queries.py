@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, line_dedup, pii, sharding, token_counts
+from . import bpe, decontaminate, fingerprints, line_dedup, near_dedup, pii, sharding, token_counts
 from .common import table
 
 
@@ -32,6 +32,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    linked = near_dedup.link_documents(table(spark, sf_dir, "documents"), percent=85)
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
     base = F.filter("__spans", lambda s: s["base"])
@@ -69,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
     "op8_bottom_k": op8_bottom_k,
     "op9_line_dedup": op9_line_dedup,
