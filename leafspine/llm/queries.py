@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, line_dedup, near_dedup, pii, sharding, token_counts
+from . import bpe, decontaminate, fingerprints, licenses, line_dedup, near_dedup, pii, sharding, token_counts
 from .common import table
 
 
@@ -32,6 +32,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text"), least=0.8)
+    best = F.get("__licenses", F.lit(0))
+    return found.select(
+        "doc_id", F.size("__licenses").cast("long").alias("n_licenses"), best["license"].alias("license"), best["dice"].alias("dice"),
+        best["first_line"].alias("first_line"), best["last_line"].alias("last_line"), F.array_join(F.transform("__licenses", lambda m: m["license"]), ",").alias("licenses"),
+    )
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     linked = near_dedup.link_documents(table(spark, sf_dir, "documents"), percent=85)
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
@@ -74,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
+    "op5_license_scan": op5_license_scan,
     "op6_minhash": op6_minhash,
     "op7_pii": op7_pii,
     "op8_bottom_k": op8_bottom_k,
