@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -28,42 +30,36 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def _digest(text: Column) -> Column:
-    return F.unhex(F.md5(text))
+def _row_hash(text_col: str) -> Column:
+    """With the id it names a row: rows that share both have equal lines and lose the same ones."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
 
 
 def dropped_positions(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``__row`` (digest of id and text) and ``__drop``, the 0-based positions of the lines to drop, for rows that
-    lose any."""
+    """``__id``, ``__hash`` (of the text) and ``__drop``, the 0-based positions of the lines to drop, for rows that
+    lose any. The digests of the lines are stored once, as they are counted and then looked up again."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    keyed = docs.select(F.col(f"`{id_col}`").alias("id"), row_key(id_col, text_col).alias("row"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
-    keyed = keyed.select("id", "row", F.posexplode("lines").alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(BLANK)))
-    lines = keyed.filter(F.length("line") >= min_chars).select("id", "row", "pos", _digest(F.col("line")).alias("key"))
-    held = lines.groupBy("key", "id").agg(F.lit(1).alias("one"))
-    counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("id").alias("last"))
+    split = docs.select(F.col(f"`{id_col}`").alias("__id"), _row_hash(text_col).alias("__hash"), F.split(ascii_lower(text), "\n", -1).alias("lines"))
+    split = split.select("__id", "__hash", F.posexplode("lines").alias("pos", "line")).withColumn("line", F.btrim("line", F.lit(BLANK)))
+    lines = stored(split.filter(F.length("line") >= min_chars).select("__id", "__hash", "pos", F.unhex(F.md5("line")).alias("key")), "lines")
+    held = lines.groupBy("key", "__id").agg(F.lit(1).alias("one"))
+    counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("__id").alias("last"))
     frequent = counted.filter(F.col("docs") >= min_docs).select("key", "last")
-    gone = lines.join(frequent, "key").filter(~F.col("id").eqNullSafe(F.col("last")))
-    return gone.groupBy("row").agg(F.collect_set("pos").alias("__drop")).withColumnRenamed("row", "__row")
-
-
-def row_key(id_col: str, text_col: str) -> Column:
-    """16 bytes that name a row by its id and text; rows that share it have equal lines and lose the same ones."""
-    return _digest(F.concat_ws("\x00", F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("-")), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
+    gone = lines.join(frequent, "key").filter(~F.col("__id").eqNullSafe(F.col("last")))
+    return gone.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__drop"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs with the text reassembled from the lines that stay, and ``__n_lines`` and
     ``__n_dropped``."""
     gone = dropped_positions(docs, min_docs, min_chars, id_col, text_col)
-    keyed = docs.withColumn("__row", row_key(id_col, text_col))
-    joined = keyed.join(gone, "__row", "left")
+    keyed = docs.withColumn("__th", _row_hash(text_col))
+    joined = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")), "left")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     rebuilt = joined.withColumn("__n_dropped", F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long"))
     rebuilt = rebuilt.withColumn("__n_lines", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"))
-    rebuilt = rebuilt.withColumn("__lines", F.when(F.col("__drop").isNotNull(), lines))
+    rebuilt = rebuilt.withColumn("__lines", F.when(F.col("__drop").isNotNull(), F.split(text, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     kept = F.when(F.col("__drop").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
-    out = rebuilt.select(*others, kept.alias(text_col), "__n_lines", "__n_dropped")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], "__n_lines", "__n_dropped")
+    columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
+    return rebuilt.select(*columns, "__n_lines", "__n_dropped")
