@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fingerprints, licenses, line_dedup, near_dedup, pii, sharding, token_counts
+from . import bpe, decontaminate, fingerprints, licenses, line_dedup, near_dedup, pii, quality, sharding, token_counts
 from .common import table
 
 
@@ -27,6 +27,15 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", "lang", F.col("__chars").alias("n_chars"), F.col("__bits").alias("bits_per_char"), F.pow(F.lit(2.0), "__bits").alias("perplexity"),
+        F.col("__most").alias("most_bits"), F.col("__keep").alias("kept"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return counts.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
@@ -82,6 +91,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_feistel_shards": op1_feistel_shards,
     "op2_decontamination": op2_decontamination,
+    "op3_quality": op3_quality,
     "op4_token_counts": op4_token_counts,
     "op5_license_scan": op5_license_scan,
     "op6_minhash": op6_minhash,
