@@ -31,3 +31,11 @@ def marked(lines: DataFrame, marks: tuple[int, dict[int, str]]) -> DataFrame:
 def case_of(marks: tuple[int, dict[int, str]]) -> str:
     period, at = marks
     return "CASE " + " ".join(f"WHEN pos % {period} = {p} THEN {e}" for p, e in at.items()) + " ELSE line END"
+
+
+#: SQL over pos and line, the same in both dialects.
+XML_PIECE = """CASE WHEN doc_id % 5 = 0 THEN line WHEN pos % 4 = 0 THEN '<Title>' || line || '</Title>' WHEN pos % 4 = 1 THEN '<item a="b"><b>' || line || '</b></item>'
+  WHEN pos % 4 = 2 THEN '<section> </section><SECTION x="1">' || line || '</SECTION>' ELSE '<entry>' || line END"""
+RTF_HEAD = "{\\rtf1\\ansi\\deff0 }{\\fonttbl "
+RTF_PIECE = """CASE WHEN pos = 0 AND doc_id % 3 = 0 THEN 'Part ' || line WHEN pos % 3 = 1 THEN chr(92) || 'par {' || chr(92) || 'b ' || line || '}' WHEN pos % 3 = 2 THEN chr(92) || 'fs24' || line || chr(92) || 'tab ' ELSE line END"""
+EXT = "CASE doc_id % 7 WHEN 0 THEN 'py' WHEN 1 THEN 'kt' WHEN 2 THEN 'lua' WHEN 3 THEN 'yml' WHEN 4 THEN 'cs' WHEN 5 THEN 'toml' ELSE 'sh' END"

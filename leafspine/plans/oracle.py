@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CHAPTER, CJK, SPACE
-from .fixtures import CODE_C, CODE_HASH, MD, TXT, case_of
+from .fixtures import CODE_C, CODE_HASH, EXT, MD, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, case_of
 
 W = "over (partition by doc_id order by pos rows between unbounded preceding and current row)"
 WB = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
@@ -78,3 +78,82 @@ ORACLE_SQL: dict[str, str] = {
     "txt_chapters": f"with {_TXT_CHAPTERS} select * from chapters",
     "txt_doc_totals": f"with {_TXT_CHAPTERS} select doc_id, sum(word_count)::bigint as total_words, count(*) as total_chapters, sum(paragraph_count)::bigint as total_paragraphs from chapters group by doc_id",
 }
+
+_MD = f"""{DOC_LINES},
+lines as (select doc_id, pos, case when doc_id % 7 = 0 then line else {case_of(MD)} end as line from raw_lines),
+m1 as (select doc_id, pos, {strip("line")} as s from lines),
+m2 as (select *, case when regexp_matches(s, '^#[{SPACE}]+.') then 1 when regexp_matches(s, '^##[{SPACE}]+.') then 2 else 0 end as level,
+    regexp_matches(s, '^[-*+][{SPACE}]+.') as bullet, regexp_matches(s, '^[0-9]+[.][{SPACE}]+.') as number from m1 where s <> ''),
+m3 as (select *, case when level > 0 then 'heading' when bullet or number then 'list' when s like '```%' then null when s[1] = '>' then 'quote' else 'paragraph' end as type from m2),
+m4 as (select doc_id, pos, type, case when type = 'heading' then {strip("regexp_replace(s, '^#+', '')")} when bullet then {strip("s[2:]")}
+    when number then {strip("regexp_replace(s, '^[0-9]+[.]', '')")} when type = 'quote' then {strip("s[2:]")} else s end as text,
+    level, case when type = 'list' then not bullet end as list_ordered, sum((level = 1)::int) {W} as seg from m3 where type is not null)"""
+_CSV = """data as (select p_size::bigint as doc_id, row_number() over (partition by p_size order by p_partkey) as row_no, p_partkey, p_name, p_brand, p_type from part),
+rows as (select *, case when p_partkey % 13 = 0 then 'key=' || p_partkey || '; name=' || p_name when p_partkey % 29 = 0 then null
+    else 'key=' || p_partkey || '; name=' || p_type || '; brand=' || p_brand end as line, count(*) over (partition by doc_id) as total from data)"""
+
+
+def glued(piece: str, before: str, after: str) -> str:
+    return f"""{DOC_LINES},
+src as (select doc_id, '{before}' || string_agg({piece}, chr(10) order by pos) || '{after}' as content from raw_lines group by doc_id)"""
+
+
+_RTF = f"""{glued(RTF_PIECE, RTF_HEAD, "}")},
+r1 as (select doc_id, regexp_replace(content, '\\{{\\\\rtf1[^}}]*\\}}', '', 'g') as t from src),
+r2 as (select doc_id, regexp_replace(t, '\\\\[a-z]+[0-9]*[{SPACE}]?', ' ', 'g') as t from r1),
+rtf as (select doc_id, {strip(f"regexp_replace(regexp_replace(t, '[{{}}]', '', 'g'), '[{SPACE}]+', ' ', 'g')")} as line from r2)"""
+_XML_TAGS = ["chapter", "section", "part", "book", "article", "title", "head", "body", "item", "entry"]
+_XML = f"""{glued(XML_PIECE, '<?xml version="1.0"?>', "")},
+x0 as (select doc_id, replace(content, '<?xml version="1.0"?>', '') as content from src),
+x1 as ({" union all ".join(f"select doc_id, {k} as tag_no, '{t.upper()}' as tag, generate_subscripts(ms, 1) as m, unnest(ms) as part from (select doc_id, regexp_extract_all(content, '(?is)<{t}[^>]*>(.*?)</{t}>', 1) as ms from x0)" for k, t in enumerate(_XML_TAGS))}),
+x2 as (select *, row_number() over (partition by doc_id order by tag_no, m)::int as chapter_index, {strip(f"regexp_replace(regexp_replace(part, '<[^>]+>', ' ', 'g'), '[{SPACE}]+', ' ', 'g')")} as text from x1),
+x3 as (select doc_id, chapter_index, tag || ': ' || text[1:50] as title, text from x2 where text <> ''),
+x4 as (select * from x3 union all
+  select doc_id, 1, 'XML内容', {strip(f"regexp_replace(regexp_replace(content, '<[^>]+>', ' ', 'g'), '[{SPACE}]+', chr(10), 'g')")} from x0 where doc_id not in (select doc_id from x3))"""
+
+
+def _runs(pieces: str) -> str:
+    return f"""{pieces},
+k1 as (select *, sum(flush::int) {W} as run from pieces)
+select doc_id, min(pos)::int as pos, string_agg(piece, ' ' order by pos) as comment from k1 where piece is not null group by doc_id, run"""
+
+
+_SLASH = f"""{lines(CODE_C)},
+a1 as (select doc_id, pos, {strip("line")} as s from lines),
+a2 as (select *, case when s like '//%' then 'line' when s like '/*%' then 'open' when s like '%*/' then 'close' end as kind, {strip("s[3:]")} as rest from a1),
+a3 as (select *, coalesce(last_value(case kind when 'open' then 1 when 'close' then 0 end ignore nulls) {WB}, 0) = 1 as inside from a2),
+pieces as (select doc_id, pos, case when kind = 'line' then nullif(rest, '') when kind = 'open' then case when rest not like '*%' then nullif(rest, '') end
+    when kind is null and inside then nullif({strip("ltrim(s, '*')")}, '') end as piece, coalesce(kind = 'close', not inside) as flush from a3)"""
+_HASH = f"""{lines(CODE_HASH)},
+a1 as (select doc_id, pos, {strip("line")} as s from lines),
+pieces as (select doc_id, pos, case when s[1] = '#' and {strip("s[2:]")} <> '' and {strip("s[2:]")} not like '===%' and {strip("s[2:]")} not like '---%' then {strip("s[2:]")} end as piece,
+    s[1] <> '#' as flush from a1)"""
+_LANG = "case ext when 'py' then 'python' when 'kt' then 'kotlin' when 'yml' then 'yaml' when 'cs' then 'csharp' when 'sh' then 'bash' else ext end"
+
+ORACLE_SQL |= {
+    "md_blocks": f"with {_MD} select doc_id, pos::int as pos, type, text, level, list_ordered, seg::bigint as seg from m4",
+    "md_chapters": f"with {_MD} select doc_id, seg::int as chapter_index, min_by(text, pos) as title, sum(length(text))::bigint as word_count, count(*) filter (where type = 'paragraph') as paragraph_count from m4 where seg >= 1 group by doc_id, seg",
+    "md_whole": f"with {_MD} select doc_id, 1 as chapter_index, '全文' as title, length(text)::bigint as word_count, len(string_split(text, chr(10) || chr(10)))::bigint as paragraph_count from documents where doc_id not in (select doc_id from m4 where level = 1)",
+    "csv_header": "select distinct p_size::bigint as doc_id, 1 as chapter_index, '表头信息' as title, '列数: 4' || chr(10) || '列名: key, name, brand, name' as text, length('列数: 4' || chr(10) || '列名: key, name, brand, name')::bigint as word_count, 1::bigint as paragraph_count from part",
+    "csv_chunks": f"""with {_CSV}, chunks as (select doc_id, ((row_no - 1) // 10)::int as chunk, max(total) as total, count(*) as n, coalesce(string_agg(line, chr(10) order by row_no), '') as text from rows group by all)
+select doc_id, chunk + 2 as chapter_index, '数据行 ' || (chunk * 10 + 1) || '-' || least(chunk * 10 + 10, total) as title, '表格数据 (' || n || ' 行)' as caption, text, length(text)::bigint as word_count, n as paragraph_count from chunks""",
+    "json_keys": "select event_id as doc_id, 1 as chapter_index, 'k' as title, json_extract_string(props, '$.k') as text, length(json_extract_string(props, '$.k'))::bigint as word_count from events",
+    "json_chapters": """with c as (
+select n_nationkey::bigint as doc_id, i as chapter_index, ['name', 'ok', 'none', 'tags', 'deep'][i] as title, [n_name, 'True', 'None', '[1] a' || chr(10) || '[2] ' || n_nationkey, 'x: 1.5' || chr(10) || 'y: z'][i] as text, 'paragraph' as type from nation, (select unnest([1, 2, 3, 4, 5]) as i)
+union all select r_regionkey + 100, i, [r_name, '第2项', '第3项'][i], ['title: ' || r_name, 'a: 1', '7'][i], 'paragraph' from region, (select unnest([1, 2, 3]) as i)
+union all select r_regionkey + 200, i, [r_name, '第2项'][i], ['topic: ' || r_name, 'b: ' || r_regionkey][i], 'paragraph' from region, (select unnest([1, 2]) as i)
+union all select r_regionkey + 300, 1, 'JSON内容', '{broken ' || r_name, 'code' from region)
+select *, length(text)::bigint as word_count, 1::bigint as paragraph_count from c""",
+    "xml_tags": f"with {_XML} select *, length(text)::bigint as word_count from x4",
+    "rtf_strip": f"with {_RTF} select doc_id, line as text from rtf",
+    "rtf_chapters": f"""with {_RTF}, h as (select *, regexp_matches(line, '(?i)^(CHAPTER|SECTION|PART|第[一二三四五六七八九十0-9]+章)') as headed from rtf)
+select doc_id, 1 as chapter_index, case when headed then line else '全文' end as title, case when headed then 0 else length(line) end::bigint as word_count, case when headed then 0 else 1 end::bigint as paragraph_count from h""",
+    "code_comments_hash": f"with {_runs(_HASH)}",
+    "code_comments_c": f"with {_runs(_SLASH)}",
+    "code_comments_markup": f"""with l as (select page_id as doc_id, generate_subscripts(ls, 1) - 1 as pos, unnest(ls) as line from (select page_id, string_split(html, chr(10)) as ls from pages)),
+s as (select doc_id, pos, {strip("line")} as s from l), t as (select doc_id, pos, {strip("case when instr(s, '-->') > 0 then substring(s, instr(s, '<!--') + 4, greatest(instr(s, '-->') - instr(s, '<!--') - 4, 0)) else substring(s, instr(s, '<!--') + 4) end")} as comment from s where instr(s, '<!--') > 0)
+select doc_id, pos::int as pos, comment from t where comment <> ''""",
+    "code_documents": f"""with d as (select doc_id, {EXT} as ext, text from documents)
+select doc_id, '代码: f' || doc_id || '.' || ext as title, '文件: f' || doc_id || '.' || ext || chr(10) || '语言: ' || {_LANG} as info, {_LANG} as language, length(text)::bigint as word_count,
+  len(list_filter(string_split(text, chr(10)), lambda x: {strip("x")} <> ''))::bigint as paragraph_count from d""",
+}

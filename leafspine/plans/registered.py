@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import txt
-from .fixtures import TXT, doc_lines, marked
+from ..operators import code, markdown, markup, tabular, txt
+from ..sources import parse
+from .fixtures import CODE_C, CODE_HASH, EXT, MD, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +62,121 @@ def txt_chapters(spark, sf_dir):
 @query
 def txt_doc_totals(spark, sf_dir):
     return txt.doc_totals(txt.chapters(txt.blocks(_txt(spark, sf_dir))))
+
+
+# Markdown
+
+
+def _md(spark, sf_dir):
+    """Every seventh document stays without a chapter heading."""
+    lines = doc_lines(spark, sf_dir)
+    return marked(lines.filter("doc_id % 7 <> 0"), MD).unionByName(lines.filter("doc_id % 7 = 0"))
+
+
+@query
+def md_blocks(spark, sf_dir):
+    return markdown.blocks(_md(spark, sf_dir))
+
+
+@query
+def md_chapters(spark, sf_dir):
+    return markdown.chapters(markdown.blocks(_md(spark, sf_dir)))
+
+
+@query
+def md_whole(spark, sf_dir):
+    return markdown.whole(table(spark, sf_dir, "documents").select("doc_id", "text"), _md(spark, sf_dir))
+
+
+# CSV, JSON
+
+
+def _csv(spark, sf_dir):
+    """A file of parts for each size; the second name column is repeated and every thirteenth row is short."""
+    from pyspark.sql import Window
+
+    part = table(spark, sf_dir, "part")
+    n = F.row_number().over(Window.partitionBy("p_size").orderBy("p_partkey"))
+    cells = F.array(F.col("p_partkey").cast("string"), "p_name", "p_brand", "p_type")
+    rows = part.select(F.col("p_size").cast("long").alias("doc_id"), n.alias("row_no"), F.when(F.col("p_partkey") % 13 == 0, F.slice(cells, 1, 2)).when(F.col("p_partkey") % 29 == 0, F.array().cast("array<string>")).otherwise(cells).alias("cells"))
+    head = part.select(F.col("p_size").cast("long").alias("doc_id")).distinct().select("doc_id", F.lit(0).alias("row_no"), F.array(F.lit("key"), F.lit("name"), F.lit("brand"), F.lit("name")).alias("cells"))
+    return rows.unionByName(head)
+
+
+@query
+def csv_header(spark, sf_dir):
+    return tabular.csv_header(_csv(spark, sf_dir))
+
+
+@query
+def csv_chunks(spark, sf_dir):
+    return tabular.csv_chunks(_csv(spark, sf_dir))
+
+
+@query
+def json_keys(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), "props")
+    return tabular.json_object_chapters(events, "props")
+
+
+@query
+def json_chapters(spark, sf_dir):
+    """Objects, arrays, JSON lines and broken JSON made from nations and regions."""
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    obj = F.concat(F.lit('{"name": "'), "n_name", F.lit('", "ok": true, "none": null, "tags": ["a", '), F.col("n_nationkey").cast("string"), F.lit('], "deep": {"x": 1.5, "y": "z"}}'))
+    one = nation.select(F.col("n_nationkey").cast("long").alias("doc_id"), obj.alias("content"))
+    arr = F.concat(F.lit('[{"title": "'), "r_name", F.lit('"}, {"a": 1}, 7]'))
+    two = region.select((F.col("r_regionkey") + 100).cast("long").alias("doc_id"), arr.alias("content"))
+    jsonl = F.concat(F.lit('{"topic": "'), "r_name", F.lit('"}\n{"b": '), F.col("r_regionkey").cast("string"), F.lit("}"))
+    three = region.select((F.col("r_regionkey") + 200).cast("long").alias("doc_id"), jsonl.alias("content"))
+    four = region.select((F.col("r_regionkey") + 300).cast("long").alias("doc_id"), F.concat(F.lit("{broken "), "r_name").alias("content"))
+    return parse.json_chapters(one.unionByName(two).unionByName(three).unionByName(four))
+
+
+# XML, RTF
+
+
+def _glued(lines, piece, before, after):
+    from .segment import joined
+
+    return lines.withColumn("piece", F.expr(piece)).groupBy("doc_id").agg(F.concat(F.lit(before), joined(F.col("piece"), "\n"), F.lit(after)).alias("content"))
+
+
+@query
+def xml_tags(spark, sf_dir):
+    return markup.xml_chapters(_glued(doc_lines(spark, sf_dir), XML_PIECE, '<?xml version="1.0"?>', ""))
+
+
+@query
+def rtf_strip(spark, sf_dir):
+    return _glued(doc_lines(spark, sf_dir), RTF_PIECE, RTF_HEAD, "}").select("doc_id", markup.rtf_text("content").alias("text"))
+
+
+@query
+def rtf_chapters(spark, sf_dir):
+    return markup.rtf_chapters(_glued(doc_lines(spark, sf_dir), RTF_PIECE, RTF_HEAD, "}"))
+
+
+# Source code
+
+
+@query
+def code_comments_hash(spark, sf_dir):
+    return code.hash_comments(marked(doc_lines(spark, sf_dir), CODE_HASH))
+
+
+@query
+def code_comments_c(spark, sf_dir):
+    return code.slash_comments(marked(doc_lines(spark, sf_dir), CODE_C))
+
+
+@query
+def code_comments_markup(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return code.markup_comments(txt.split_lines(pages, "html", "page_id"))
+
+
+@query
+def code_documents(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat('f', doc_id, '.', {EXT})").alias("name"), F.expr(EXT).alias("ext"), F.col("text").alias("content"))
+    return code.code_documents(docs)
