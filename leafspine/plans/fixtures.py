@@ -39,3 +39,40 @@ XML_PIECE = """CASE WHEN doc_id % 5 = 0 THEN line WHEN pos % 4 = 0 THEN '<Title>
 RTF_HEAD = "{\\rtf1\\ansi\\deff0 }{\\fonttbl "
 RTF_PIECE = """CASE WHEN pos = 0 AND doc_id % 3 = 0 THEN 'Part ' || line WHEN pos % 3 = 1 THEN chr(92) || 'par {' || chr(92) || 'b ' || line || '}' WHEN pos % 3 = 2 THEN chr(92) || 'fs24' || line || chr(92) || 'tab ' ELSE line END"""
 EXT = "CASE doc_id % 7 WHEN 0 THEN 'py' WHEN 1 THEN 'kt' WHEN 2 THEN 'lua' WHEN 3 THEN 'yml' WHEN 4 THEN 'cs' WHEN 5 THEN 'toml' ELSE 'sh' END"
+
+#: Laid-out lines made from document lines: (name, SQL over doc_id, pos, line and the names before it).
+PDF_COLUMNS = [
+    ("page_num", "cast(floor(pos / 20) as int)"),
+    ("font_size", "cast(CASE WHEN pos % 37 = 5 OR pos % 11 = 0 OR pos % 23 IN (1, 2) THEN 18.0 WHEN pos % 11 = 4 THEN 15.0 WHEN pos % 11 = 7 THEN 13.5 WHEN pos % 13 = 9 THEN 14.0 ELSE 12.0 END as double)"),
+    ("text", "CASE WHEN pos % 37 = 5 THEN 'Notes' WHEN pos % 41 = 6 THEN '【章】' WHEN pos % 43 = 8 THEN '- 12 -' WHEN pos % 11 IN (0, 4, 7) OR pos % 23 IN (1, 2) THEN substr(line, 1, 24) WHEN pos % 5 = 0 THEN line || '。' ELSE line END"),
+    ("x0", "cast(CASE WHEN pos % 3 = 0 THEN 72.0 ELSE 96.0 END as double)"),
+    ("x1", "cast(CASE WHEN pos % 3 = 0 THEN 72.0 ELSE 96.0 END as double) + cast(least(length(text) * 5, 400) as double)"),
+    ("y0", "cast(40 + (pos % 20) * 37 as double)"),
+    ("y1", "cast(40 + (pos % 20) * 37 + CASE WHEN font_size = 12.0 THEN 30 ELSE 14 END as double)"),
+    ("page_width", "cast(600 as double)"),
+    ("page_height", "cast(780 as double)"),
+]
+#: A table of contents in front of the lines, each cut in one or two pieces: (kind, SQL for k, n, page, size, text, filter).
+TOC_PARTS = [
+    ("0", "0", "1", "22.0", "'目录'", "pos = 0"),
+    ("1", "pos", "1", "CASE WHEN pos % 5 < 2 THEN 20.0 ELSE 16.0 END", "CASE WHEN pos % 5 = 0 THEN '第1篇 ' || substr(line, 1, 20) ELSE substr(line, 1, 30) END", "pos < 8"),
+    ("2", "pos * 2", "3 + cast(floor(pos / 10) as int)", "CASE WHEN pos % 4 = 1 THEN 18.0 ELSE 12.0 END", "CASE WHEN pos % 3 = 0 THEN substr(line, 1, 30) ELSE substr(line, 1, 12) END", "pos >= 0"),
+    ("2", "pos * 2 + 1", "3 + cast(floor(pos / 10) as int)", "12.0", "substr(line, 13, 18)", "pos % 3 <> 0"),
+]
+
+
+def pdf_lines(lines: DataFrame) -> DataFrame:
+    for name, e in PDF_COLUMNS:
+        lines = lines.withColumn(name, F.expr(e))
+    return lines.drop("line")
+
+
+def toc_lines(lines: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    parts = [lines.filter(where).select("doc_id", F.lit(int(k)).alias("k"), F.expr(n).cast("long").alias("n"), F.expr(page).cast("int").alias("page_num"), F.expr(size).cast("double").alias("font_size"), F.expr(text).alias("text")) for k, n, page, size, text, where in TOC_PARTS]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "n")) - 1)).drop("k", "n")
+    return rows.withColumns({"x0": F.lit(72.0), "x1": F.lit(300.0), "y0": F.lit(100.0), "y1": F.lit(112.0), "page_width": F.lit(600.0), "page_height": F.lit(780.0)})

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CHAPTER, CJK, SPACE
-from .fixtures import CODE_C, CODE_HASH, EXT, MD, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, case_of
+from .fixtures import CODE_C, CODE_HASH, EXT, MD, PDF_COLUMNS, RTF_HEAD, RTF_PIECE, TOC_PARTS, TXT, XML_PIECE, case_of
 
 W = "over (partition by doc_id order by pos rows between unbounded preceding and current row)"
 WB = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
@@ -157,3 +157,103 @@ select doc_id, pos::int as pos, comment from t where comment <> ''""",
 select doc_id, '代码: f' || doc_id || '.' || ext as title, '文件: f' || doc_id || '.' || ext || chr(10) || '语言: ' || {_LANG} as info, {_LANG} as language, length(text)::bigint as word_count,
   len(list_filter(string_split(text, chr(10)), lambda x: {strip("x")} <> ''))::bigint as paragraph_count from d""",
 }
+
+_LABEL = "^(【[章节篇卷部]】|\\[[章节篇卷部]\\]|[（(][章节篇卷部][)）])$"
+_NOTE = f"(?i)^(注释[{SPACE}]*[-—–:：]|Notes?$|注释$|注[{SPACE}]*[0-9]+|[0-9]+[{SPACE}]*注释)"
+
+
+def measured(source: str) -> str:
+    return f"""{source},
+p1 as (select *, {strip("text")} as s, text like '%。' as period, (y0 + y1) / 2 < page_height * 0.06 or (y0 + y1) / 2 > page_height * (1 - 0.06) as margin,
+    case when lag(page_num) {WO} = page_num then y0 - lag(y1) {WO} else 0 end as gb, case when lead(page_num) {WO} = page_num then lead(y0) {WO} - y1 else 0 end as ga from pdf),
+p2 as (select *, greatest(gb, ga) > (y1 - y0) * 0.5 as loose, page_width - (x1 - x0) > page_width * 0.5 and greatest(gb, ga) > (y1 - y0) as apart,
+    regexp_matches(s, '{_LABEL}') as label, regexp_matches(s, '{_NOTE}') as note, length(s) < 30 and margin as short_margin from p1),
+sizes as (select doc_id, round_even(font_size, 0)::double as size, count(*) as n, min(pos) as first from pdf group by 1, 2),
+bases as (select doc_id, size as base from (select *, row_number() over (partition by doc_id order by n desc, first) as r from sizes) where r = 1),
+based as (select p2.*, base, font_size / base as ratio, font_size / base between 0.9 and 1.1 as body_sized from p2 join bases using (doc_id))"""
+
+
+_PDF = measured(f"""{DOC_LINES},
+pdf0 as (select *, {PDF_COLUMNS[0][1]} as page_num, {PDF_COLUMNS[1][1]} as font_size, {PDF_COLUMNS[2][1]} as text from raw_lines),
+pdf as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in PDF_COLUMNS[3:])}, page_num, font_size, text from pdf0)""")
+_CAND = f"""{_PDF},
+cand as (select * from based where length(s) >= 2 and not short_margin and not label and not period and ratio > 1 and case when ratio >= 1.39 then loose else apart end)"""
+_THR = f"""{_CAND},
+cs as (select doc_id, font_size, count(*) as n, min(pos) as first from cand group by 1, 2),
+cr as (select *, row_number() over (partition by doc_id order by n desc, first) as r from cs),
+means as (select doc_id, sum(font_size * n) / sum(n) as mean from cr where r > 1 group by 1),
+thr as (select doc_id, coalesce(mean, base * 1.4) as level1, case when mean is null then base * 1.1 else greatest(mean * 0.8, base * 1.1) end as level2 from bases left join means using (doc_id))"""
+_NEXT19 = "over (partition by doc_id order by pos rows between 1 following and 19 following)"
+_NEXT29 = "over (partition by doc_id order by pos rows between 1 following and 29 following)"
+_NEXT9 = "over (partition by doc_id order by pos rows between 1 following and 9 following)"
+_X0 = f"first_value(case when body_sized and length(text) > 10 then x0 end ignore nulls) {_NEXT19}"
+_CLASS = f"""{_THR},
+q1 as (select based.*, level1, {_X0} as bx from based join thr using (doc_id)),
+q2 as (select *, level1 - least(0.2, level1 * 0.01) as cut from q1),
+q3 as (select *, case when length(s) < 2 or short_margin or label or note or period then 0 when font_size >= cut and loose then 1
+    when font_size > base and font_size < cut and apart then case when bx is null or bx = 0 or abs(x0 - bx) > 10 then 2 when length(s) < 50 then 3 else 0 end else 0 end as level from q2),
+classified as (select *, level in (2, 3) as as_body from q3)"""
+_IND = f"""{_CLASS},
+i1 as (select *, coalesce(first_value(case when body_sized and length(text) > 10 then true when level > 0 then false end ignore nulls) {_NEXT9}, false) as soon,
+    level = 0 and ((body_sized and length(text) > 10) or (period and length(text) > 5)) as says from classified),
+i2 as (select *, first_value(case when says then true when level = 3 and soon then true when level = 2 then false end ignore nulls) {_NEXT29} as f1,
+    first_value(case when says then true when level = 3 and soon then true end ignore nulls) {_NEXT29} as f2, first_value(case when says then true end ignore nulls) {_NEXT29} as f3 from i1),
+ind as (select *, case when level > 0 then coalesce(case level when 1 then f1 when 2 then f2 else f3 end, false) end as independent from i2)"""
+_MERGE = f"""{_IND},
+h1 as (select *, level = 1 and not independent as hungry from ind where level > 0),
+h2 as (select *, coalesce(sum((not hungry)::int) {WB}, 0) as grp from h1),
+h3 as (select *, row_number() over (partition by doc_id, grp, hungry order by pos) as nth, lead(text) {WO} as next_text from h2),
+h4 as (select *, hungry and nth % 2 = 1 and next_text is not null as leads from h3),
+h5 as (select *, coalesce(lag(leads) {WO}, false) as eaten from h4),
+merged as (select doc_id, pos, level, case when leads then text || ' - ' || next_text else text end as title, independent or leads as independent, as_body and not leads as as_body from h5 where not eaten)"""
+_ENDS = "ratio >= 1.4 and length(s) < 50 and not regexp_matches(s, '[.。!！?？]$') and not note"
+_IMPRINT = f"(regexp_matches(s, 'http://|https://|www[.]|版权所有|仅供学习|严禁商业|不得转载|翻版必究') or regexp_matches(s, '^[0-9]+$|^[-{SPACE}]*[0-9]+[-{SPACE}/]*$'))"
+_PDF_CHAPTERS = f"""{_MERGE},
+n1 as (select ind.*, m.title, m.independent as m_ind, m.as_body as m_body, m.pos is not null as head, coalesce(last_value(case when note then true when {_ENDS} then false end ignore nulls) over (partition by ind.doc_id order by ind.pos rows between unbounded preceding and current row), false) as in_note
+  from ind left join merged m on m.doc_id = ind.doc_id and m.pos = ind.pos),
+n2 as (select *, (head and not m_body) or note as bound from n1),
+n3 as (select *, sum(coalesce(bound, false)::int) {W} as seg, coalesce(bound and not note and m_ind and not in_note and not regexp_matches(title, '{_NOTE}'), false) as opens,
+    not in_note and not short_margin and not {_IMPRINT} as shown, not head and (body_sized or period or ratio < 1.15) as plain from n2),
+n4 as (select doc_id, seg, max(title) filter (where opens) as title, max(level) filter (where opens) as level, coalesce(sum(length(replace(replace(text, ' ', ''), chr(10), ''))) filter (where shown), 0)::bigint as word_count,
+    count(*) filter (where shown and plain and not opens) as paragraph_count from n3 group by 1, 2 having bool_or(opens))"""
+_TOC_LINES = f"""{DOC_LINES},
+t0 as ({" union all ".join(f"select doc_id, {k} as k, {n} as n, {page} as page_num, cast({size} as double) as font_size, {text} as text from raw_lines where {where}" for k, n, page, size, text, where in TOC_PARTS)}),
+pdf as (select doc_id, row_number() over (partition by doc_id order by k, n) - 1 as pos, page_num, font_size, text, 72.0::double as x0, 300.0::double as x1, 100.0::double as y0, 112.0::double as y1, 600.0::double as page_width, 780.0::double as page_height from t0)"""
+_TOC = f"""{_TOC_LINES},
+u1 as (select *, {strip("text")} as s from pdf),
+u2 as (select doc_id, min(pos) as sp from u1 where s = '目录' and font_size >= 20 group by 1),
+u3 as (select u1.*, st.page_num as sp_page from u1 join u2 on u1.doc_id = u2.doc_id and u1.pos > u2.sp join u1 st on st.doc_id = u2.doc_id and st.pos = u2.sp),
+u4 as (select *, max((page_num > sp_page + 1)::int) {W} as gone from u3),
+u5 as (select *, case when font_size >= 19 and contains(s, '第') and contains(s, '篇') then 'part' when font_size >= 19 then 'chapter' else 'section' end as type from u4 where gone = 0 and s <> '' and s <> '目录' and length(s) < 50 and font_size >= 14),
+toc as (select doc_id, (row_number() {WO} - 1)::int as toc_pos, s as title, case when type = 'section' then 2 else 1 end as level, type, case when type <> 'part' then last_value(case when type = 'part' then s end ignore nulls) {W} end as parent, sp_page + 2 as from_page from u5)"""
+_GLUE = ", ".join(f"""case when {" and ".join(f"coalesce(lead(page_num, {j}) {WO}, -1) = page_num" for j in range(1, k + 1))} then translate(s || {" || ".join(f"coalesce(lead(s, {j}) {WO}, '')" for j in range(1, k + 1))}, ' 　', '') end as g{k}""" for k in range(1, 5))
+_TOC_MATCH = f"""{_TOC},
+v1 as (select *, count(*) over (partition by doc_id) as n, {_GLUE} from u1),
+v2 as (select t.doc_id, t.toc_pos, min(v1.pos)::int as idx from toc t join v1 on v1.doc_id = t.doc_id and v1.page_num >= t.from_page and t.type <> 'part'
+  and (v1.s = t.title or (starts_with(t.title, v1.s) and length(v1.s) >= 3 and ({" or ".join(f"coalesce(contains(g{k}, translate(t.title, ' 　', '')), false)" for k in range(1, 5))})))
+  and not (t.type = 'section' and v1.pos / v1.n >= 0.95) group by 1, 2),
+matched as (select t.*, idx from toc t left join v2 using (doc_id, toc_pos))"""
+ORACLE_SQL |= {
+    "pdf_base_size": f"with {_PDF} select doc_id, base from bases",
+    "pdf_candidates": f"with {_CAND} select doc_id, pos::int as pos, text, round(ratio, 6) as ratio from cand",
+    "pdf_thresholds": f"with {_THR} select doc_id, round(level1, 6) as level1, round(level2, 6) as level2 from thr",
+    "pdf_body_x0": f"with {_PDF} select doc_id, pos::int as pos, {_X0} as body_x0 from based",
+    "pdf_header_footer": f"with {_PDF} select doc_id, pos::int as pos, margin, label, note, {_IMPRINT} as imprint, loose, apart from p2",
+    "pdf_classify": f"with {_CLASS} select doc_id, pos::int as pos, level, as_body from classified",
+    "pdf_independence": f"with {_IND} select doc_id, pos::int as pos, level, independent from ind where level > 0",
+    "pdf_merge": f"with {_MERGE} select doc_id, pos::int as pos, level, title, independent, as_body from merged",
+    "pdf_notes": f"with {_PDF} select doc_id, pos::int as pos, coalesce(last_value(case when note then true when {_ENDS} then false end ignore nulls) {W}, false) as in_note from based",
+    "pdf_chapters": f"with {_PDF_CHAPTERS} select doc_id, (row_number() over (partition by doc_id order by seg))::int as chapter_index, title, level, word_count, paragraph_count from n4",
+    "pdf_lines_from_spans": f"""with {DOC_LINES}, w as (select doc_id, pos, generate_subscripts(ws, 1) - 1 as k, unnest(ws) as t0 from (select doc_id, pos, string_split(line, ' ') as ws from raw_lines)),
+w2 as (select *, {strip("t0")} as t from w)
+select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::int as pos, string_agg(t, '' order by k) as text, round(avg(10.0 + k % 4), 6)::double as font_size, min_by('f' || (k % 3), k) as font_name,
+  min(k * 10.0)::double as x0, max(k * 10.0 + length(t0))::double as x1, max(20.0 + k % 2)::double as y1, string_agg(t, '' order by k) like '%。' as ends_with_period from w2 where t <> '' group by doc_id, pos""",
+    "pdf_toc": f"with {_TOC} select doc_id, toc_pos, title, level, type, parent from toc",
+    "pdf_toc_match": f"with {_TOC_MATCH} select doc_id, toc_pos, title, type, idx as index from matched",
+    "pdf_toc_chapters": f"""with {measured(_TOC_MATCH)},
+y1 as (select *, count(idx) over (partition by doc_id) as found from matched),
+y2 as (select *, (row_number() over (partition by doc_id order by toc_pos))::int as chapter_index, lead(idx) over (partition by doc_id order by toc_pos) as stop from y1 where found >= 3 and idx is not null),
+y3 as (select y2.doc_id, chapter_index, sum(length(replace(replace(text, ' ', ''), chr(10), '')))::bigint as wc, count(*) filter (where b.pos > idx and (body_sized or period or ratio < 1.15)) as pc
+  from y2 join based b on b.doc_id = y2.doc_id and b.pos >= idx and (stop is null or b.pos < stop) group by 1, 2)
+select doc_id, chapter_index, title, level, coalesce(wc, 0)::bigint as word_count, coalesce(pc, 0)::bigint as paragraph_count from y2 left join y3 using (doc_id, chapter_index)""",
+}

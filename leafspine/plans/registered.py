@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import code, markdown, markup, tabular, txt
+from ..operators import code, markdown, markup, pdf, tabular, txt
 from ..sources import parse
-from .fixtures import CODE_C, CODE_HASH, EXT, MD, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, table
+from .fixtures import CODE_C, CODE_HASH, EXT, MD, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, pdf_lines, table, toc_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -180,3 +180,92 @@ def code_comments_markup(spark, sf_dir):
 def code_documents(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat('f', doc_id, '.', {EXT})").alias("name"), F.expr(EXT).alias("ext"), F.col("text").alias("content"))
     return code.code_documents(docs)
+
+
+# Laid-out lines
+
+
+def _pdf(spark, sf_dir):
+    return pdf_lines(doc_lines(spark, sf_dir))
+
+
+@query
+def pdf_base_size(spark, sf_dir):
+    return pdf.base_size(_pdf(spark, sf_dir))
+
+
+@query
+def pdf_candidates(spark, sf_dir):
+    return pdf.candidates(pdf.with_base(_pdf(spark, sf_dir))).select("doc_id", "pos", "text", F.round("ratio", 6).alias("ratio"))
+
+
+@query
+def pdf_thresholds(spark, sf_dir):
+    return pdf.thresholds(pdf.with_base(_pdf(spark, sf_dir))).select("doc_id", F.round("level1", 6).alias("level1"), F.round("level2", 6).alias("level2"))
+
+
+@query
+def pdf_body_x0(spark, sf_dir):
+    return pdf.with_base(_pdf(spark, sf_dir)).select("doc_id", "pos", pdf.body_x0().alias("body_x0"))
+
+
+@query
+def pdf_header_footer(spark, sf_dir):
+    return pdf.measured(_pdf(spark, sf_dir)).select("doc_id", "pos", "margin", "label", "note", pdf.is_imprint(F.col("s")).alias("imprint"), "loose", "apart")
+
+
+@query
+def pdf_classify(spark, sf_dir):
+    return pdf.classify(pdf.with_base(_pdf(spark, sf_dir))).select("doc_id", "pos", "level", "as_body")
+
+
+@query
+def pdf_independence(spark, sf_dir):
+    return pdf.independence(pdf.classify(pdf.with_base(_pdf(spark, sf_dir)))).filter("level > 0").select("doc_id", "pos", "level", "independent")
+
+
+@query
+def pdf_merge(spark, sf_dir):
+    return pdf.merge_headings(pdf.independence(pdf.classify(pdf.with_base(_pdf(spark, sf_dir)))).filter("level > 0"))
+
+
+@query
+def pdf_notes(spark, sf_dir):
+    return pdf.in_notes(pdf.with_base(_pdf(spark, sf_dir))).select("doc_id", "pos", "in_note")
+
+
+@query
+def pdf_chapters(spark, sf_dir):
+    return pdf.chapters(_pdf(spark, sf_dir))
+
+
+@query
+def pdf_lines_from_spans(spark, sf_dir):
+    """Words of every line as spans."""
+    words = doc_lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split("line", " ", -1)).alias("span_no", "text"))
+    spans = words.select(
+        "doc_id", F.floor(F.col("pos") / 20).cast("int").alias("page_num"), F.lit(0).alias("block_no"), F.col("pos").alias("line_no"), "span_no", "text", (F.lit(10.0) + F.col("span_no") % 4).alias("size"),
+        F.concat(F.lit("f"), (F.col("span_no") % 3).cast("string")).alias("font"), (F.col("span_no") * 10.0).alias("x0"), F.lit(5.0).alias("y0"), (F.col("span_no") * 10.0 + F.length("text")).alias("x1"), (F.lit(20.0) + F.col("span_no") % 2).alias("y1"),
+    )
+    return pdf.lines_from_spans(spans).select("doc_id", "pos", "text", F.round("font_size", 6).alias("font_size"), "font_name", "x0", "x1", "y1", "ends_with_period")
+
+
+def _toc(spark, sf_dir):
+    return toc_lines(doc_lines(spark, sf_dir))
+
+
+@query
+def pdf_toc(spark, sf_dir):
+    return pdf.toc(_toc(spark, sf_dir)).drop("from_page")
+
+
+@query
+def pdf_toc_match(spark, sf_dir):
+    lines = _toc(spark, sf_dir)
+    return pdf.toc_match(lines, pdf.toc(lines)).select("doc_id", "toc_pos", "title", "type", "index")
+
+
+@query
+def pdf_toc_chapters(spark, sf_dir):
+    lines = _toc(spark, sf_dir)
+    return pdf.toc_chapters(lines, pdf.toc_match(lines, pdf.toc(lines)))
