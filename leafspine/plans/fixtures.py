@@ -76,3 +76,26 @@ def toc_lines(lines: DataFrame) -> DataFrame:
         rows = rows.unionByName(p)
     rows = rows.withColumn("pos", (F.row_number().over(Window.partitionBy("doc_id").orderBy("k", "n")) - 1)).drop("k", "n")
     return rows.withColumns({"x0": F.lit(72.0), "x1": F.lit(300.0), "y0": F.lit(100.0), "y1": F.lit(112.0), "page_width": F.lit(600.0), "page_height": F.lit(780.0)})
+
+#: Word paragraphs made from document lines.
+DOCX_COLUMNS = [
+    ("text", "CASE WHEN pos % 11 = 2 THEN '第2章 ' || substr(line, 1, 20) WHEN pos % 11 = 4 THEN '1. ' || substr(line, 1, 20) WHEN pos % 11 = 6 THEN substr(line, 1, 30) ELSE substr(line, 1, 70) END"),
+    ("style_name", "CASE WHEN doc_id % 3 = 0 AND pos % 9 = 0 THEN 'Heading 1' WHEN doc_id % 3 = 0 AND pos % 9 = 3 THEN '标题 2' WHEN pos % 9 = 5 THEN 'heading 3' WHEN pos % 17 = 7 THEN 'My Heading' ELSE 'Normal' END"),
+    ("font_size", "cast(CASE WHEN pos % 7 = 0 THEN 18.0 WHEN pos % 7 = 1 THEN 14.0 WHEN pos % 7 = 2 THEN 13.0 WHEN pos % 7 = 3 THEN null ELSE 12.0 END as double)"),
+    ("is_bold", "pos % 4 = 0"),
+    ("is_centered", "pos % 6 = 0"),
+]
+#: Recognised lines made from document lines.
+OCR_COLUMNS = [
+    ("text", "CASE WHEN pos % 9 = 0 THEN '第1章 ' || substr(line, 1, 12) WHEN pos % 9 = 2 THEN '3、' || substr(line, 1, 12) WHEN pos % 9 = 3 THEN '（二）' || line WHEN pos % 9 = 4 THEN '- ' || line WHEN pos % 9 = 5 THEN '「' || line WHEN pos % 9 = 7 THEN '12. 中' || substr(line, 1, 9) WHEN pos % 9 = 8 THEN 'part 3 ' || substr(line, 1, 9) ELSE line END"),
+    ("confidence", "cast(CASE WHEN pos % 5 = 3 THEN 0.5 ELSE 0.75 END as double)"),
+]
+#: Chapter files made from documents: a header between rules, and a body with headers.
+PROMPT_CONTENT = """'# ' || source || chr(10) || '---' || chr(10) || 'x' || chr(10) || '---' || chr(10) || '## 第一节 ' || lang || chr(10) || replace(text, chr(10), chr(10) || '### ') || CASE WHEN doc_id % 4 = 0 THEN chr(10) || '---' || chr(10) || 'tail' ELSE '' END"""
+EXTENSION_LIST = ["pdf", "EPUB", "doc", "xhtml", "md", "jsonl", "tab", "opml", "rtf", "kts", "txt", "png", "svelte"]
+
+
+def with_columns(lines: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
+    for name, e in columns:
+        lines = lines.withColumn(name, F.expr(e))
+    return lines

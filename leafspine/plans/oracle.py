@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CHAPTER, CJK, SPACE
-from .fixtures import CODE_C, CODE_HASH, EXT, MD, PDF_COLUMNS, RTF_HEAD, RTF_PIECE, TOC_PARTS, TXT, XML_PIECE, case_of
+from .fixtures import CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PDF_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TOC_PARTS, TXT, XML_PIECE, case_of
 
 W = "over (partition by doc_id order by pos rows between unbounded preceding and current row)"
 WB = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
@@ -257,3 +257,90 @@ y3 as (select y2.doc_id, chapter_index, sum(length(replace(replace(text, ' ', ''
   from y2 join based b on b.doc_id = y2.doc_id and b.pos >= idx and (stop is null or b.pos < stop) group by 1, 2)
 select doc_id, chapter_index, title, level, coalesce(wc, 0)::bigint as word_count, coalesce(pc, 0)::bigint as paragraph_count from y2 left join y3 using (doc_id, chapter_index)""",
 }
+
+_NUM = "0-9一二三四五六七八九十百千万"
+_DOCX = f"""{DOC_LINES},
+paras as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in DOCX_COLUMNS)} from raw_lines where line <> ''),
+sz as (select doc_id, font_size, row_number() over (partition by doc_id order by font_size, pos) - 1 as i, count(*) over (partition by doc_id) as n from paras where font_size <> 0),
+st as (select doc_id, min(font_size) as min_size, max(font_size) as max_size, avg(font_size) as mean_size, max(font_size) filter (where i = n // 4) as q1_size,
+    max(font_size) filter (where i = n // 2) as median_size, max(font_size) filter (where i = 3 * n // 4) as q3_size from sz group by 1),
+stats as (select d.doc_id, min_size, max_size, mean_size, q1_size, coalesce(median_size, 12) as median_size, coalesce(q3_size, 14) as q3_size from (select distinct doc_id from paras) d left join st using (doc_id)),
+d1 as (select p.*, median_size, q3_size, coalesce(font_size, median_size) as fs, case when lower(style_name) like '%heading%' or style_name like '%标题%' then coalesce(try_cast(regexp_extract(style_name, '[0-9]+') as int), 1) else 0 end as style_level from paras p join stats using (doc_id)),
+d2 as (select *, case when style_level in (1, 2) then true when fs > q3_size * 1.15 and length(text) < 50 then is_centered or is_bold
+    when regexp_matches(text, '(?i)^(第[{_NUM}]+[章节篇回]|(Chapter|Part|Section)[{SPACE}]+[0-9]+)') and length(text) < 60 then style_level > 0 or fs > median_size * 1.1 else false end as is_chapter_title from d1),
+docx as (select *, case when is_chapter_title then 0 when style_level >= 3 then style_level
+    when regexp_matches(text, '^([0-9]{{1,3}}[.、{SPACE}]|[0-9]{{2,3}}[{SPACE}]|[（(][0-9]{{1,3}}[)）]|[\\x{{4e00}}-\\x{{9fa5}}]{{1,3}}[、.{SPACE}]|[（(][\\x{{4e00}}-\\x{{9fa5}}]{{1,3}}[)）])') then case when fs between median_size * 1.05 and median_size * 1.3 then 2 else 0 end
+    when is_bold and length(text) < 40 then 3 else 0 end as subheading_level from d2)"""
+_DOCX_CH = f"""{_DOCX},
+e1 as (select *, sum(is_chapter_title::int) {W} as seg from docx),
+e2 as (select *, max(seg) over (partition by doc_id) > 0 as has from e1),
+e3 as (select *, row_number() over (partition by doc_id, seg order by pos) as rn, count(*) over (partition by doc_id, seg) as size from e2 where not has or seg >= 1),
+e4 as (select doc_id, seg, min_by(text, pos)[1:case when bool_or(has) then 100 else 50 end] as title, coalesce(sum(length(text)) filter (where rn > 1 or size = 1), 0)::bigint as word_count,
+    count(*) filter (where (rn > 1 or size = 1) and subheading_level = 0) as paragraph_count from e3 group by 1, 2)"""
+_OCR = f"""{DOC_LINES},
+ocr0 as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in OCR_COLUMNS)} from raw_lines),
+ocr1 as (select *, {strip("text")} as s from ocr0 where text <> '' and confidence > 0.5),
+ocr2 as (select doc_id, pos, text, s, case when length(s) < 30 and regexp_matches(s, '(?i)^(第[{_NUM}]+[章节篇回]|(Chapter|Part)[{SPACE}]+[0-9]+|[0-9一二三四五六七八九十]+[、.{SPACE}]|摘要|前言|引言|结论|总结|附录)') then 'heading'
+    when regexp_matches(s, '^[•*0-9-]+[.)]?[{SPACE}]') then 'list' when s[1] in ('>', '「') then 'quote' else 'paragraph' end as type,
+    case when regexp_matches(s, '^(第[{_NUM}]+[章节篇回]|(?i:Chapter)[{SPACE}]+[0-9]+)') then 1 when regexp_matches(s, '^[0-9一二三四五六七八九十]+[、.{SPACE}]') then 2 when regexp_matches(s, '^[（(][0-9一二三四五六七八九十]+[)）]') then 3 else 0 end as level from ocr1),
+blocks as (select * from ocr2)"""
+_OCR_CH = chapters_of(_OCR, f"type = 'heading' and (regexp_matches(s, '{CHAPTER}') or regexp_matches(s, '^([0-9]{{1,3}}[.、{SPACE}]+|[0-9]{{2,3}}[{SPACE}]+)[\\x{{4e00}}-\\x{{9fa5}}]'))")
+
+
+def count_re(x: str, pattern: str) -> str:
+    return f"len(regexp_extract_all({x}, '{pattern}'))"
+
+
+def filename(x: str) -> str:
+    reserved = '[<>:"/\\\\|?*]'
+    clean = f"regexp_replace(regexp_replace(regexp_replace({x}, '[\\r\\n]', ' ', 'g'), '{reserved}', '_', 'g'), '[\\x00-\\x1f\\x7f-\\x{{9f}}]', '', 'g')"
+    return f"coalesce(nullif(trim({clean}, '. ')[1:80], ''), 'untitled')"
+
+
+_RENDER = f"""{_TXT_BLOCKS},
+g1 as (select doc_id, pos, case when type = 'heading' then repeat('#', least(6, greatest(1, level))) || ' ' else '' end || {strip("text")} as part, {strip("text")} as t from blocks),
+g2 as (select doc_id, string_agg(part, chr(10) || chr(10) order by pos) filter (where t <> '') as body from g1 group by 1),
+g3 as (select doc_id, (doc_id % 5 + 1)::int as n, string_split(text, chr(10))[1] as title, (doc_id % 4 + 1)::int as level, case when doc_id % 2 = 0 then '2.1' end as path, coalesce(body, '') as body from documents left join g2 using (doc_id)),
+g4 as (select *, coalesce(nullif(title, ''), '第' || n || '章') as shown, case level when 1 then '【章】' when 2 then '【节】' when 3 then '【小节】' else '【层级' || level || '】' end as mark from g3)"""
+_PROMPT = f"""files as (select doc_id || '_' || source as folder, source, {PROMPT_CONTENT} as content from documents),
+pb as (select *, case when len(string_split(content, '---')) >= 3 then {strip("string_split(content, '---')[3]")} else content end as body from files)"""
+_HEADS = f"""{_PROMPT},
+pl as (select folder, generate_subscripts(ls, 1) as pos, unnest(ls) as line from (select folder, string_split(body, chr(10)) as ls from pb)),
+ph as (select folder, row_number() over (partition by folder order by pos) - 1 as i, length(regexp_extract(line, '{_ATX}', 1)) as level, regexp_extract(line, '{_ATX}', 2) as title from pl where regexp_matches(line, '{_ATX}')),
+po as (select folder, count(*) as n_headers, string_agg(repeat('  ', (level - 1)::int) || repeat('#', level::int) || ' ' || title || chr(10), '' order by i) filter (where i < 15) as outline from ph group by 1)"""
+_ROUTES = {"pdf": "pdf", "epub": "epub", "doc": "docx", "xhtml": "html", "md": "markdown", "jsonl": "json", "tab": "csv", "opml": "xml", "rtf": "rtf", "kts": "code", "txt": "txt"}
+
+ORACLE_SQL |= {
+    "docx_style_level": f"with {_DOCX} select doc_id, pos::int as pos, style_level from docx",
+    "docx_stats": f"with {_DOCX} select doc_id, min_size, max_size, round(mean_size, 6) as mean_size, q1_size, median_size, q3_size from stats",
+    "docx_classify": f"with {_DOCX} select doc_id, pos::int as pos, is_chapter_title, subheading_level from docx",
+    "docx_chapters": f"with {_DOCX_CH} select doc_id, (row_number() over (partition by doc_id order by seg))::int as chapter_index, title, word_count, paragraph_count from e4",
+    "docx_totals": f"with {_DOCX} select doc_id, sum(length(text))::bigint as total_words from paras group by 1",
+    "docx_paragraphs": f"""with {DOC_LINES}, w as (select doc_id, pos, generate_subscripts(ws, 1) - 1 as k, unnest(ws) as t from (select doc_id, pos, string_split(line, ' ') as ws from raw_lines)),
+g as (select doc_id, pos, {strip("string_agg(t || ' ', '' order by k)")} as text, round(avg(case when k % 3 > 0 then 10.0 + k % 4 end), 6)::double as font_size, bool_or(k = 4) as is_bold, false as is_italic,
+  'f' || max(k) filter (where k % 2 = 0) as font_name, case when pos % 2 = 0 then 'center' else 'left' end as alignment, pos % 2 = 0 as is_centered from w group by doc_id, pos)
+select doc_id, pos::int as pos, text, font_size, is_bold, is_italic, font_name, alignment, is_centered from g where text <> ''""",
+    "ocr_filter": f"with {_OCR} select doc_id, pos::int as pos, text from ocr1",
+    "ocr_classify": f"with {_OCR} select doc_id, pos::int as pos, type, level from ocr2",
+    "ocr_chapters": f"with {_OCR_CH} select * from chapters",
+    "ocr_results": f"with {_OCR} select doc_id, (row_number() {WO} - 1)::int as pos, (case when pos < 3 then 0 else 1 end)::int as page_num, text, (pos * 10)::double as x0, 100::double as y0, (pos * 10 + 9)::double as x1, 105::double as y1 from ocr1",
+    "render_markdown": f"""with {_RENDER} select doc_id, repeat('#', level) || ' ' || shown || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**章节序号**：第' || n || '章  ' || chr(10) || '**章节层级**：' || level || ' ' || mark || '  ' || chr(10)
+  || '**层级路径**：' || coalesce(path, n::varchar) || '  ' || chr(10) || '**字数统计**：' || length(body) || ' 字  ' || chr(10) || '**生成时间**：2025-01-01 00:00  ' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
+  || coalesce(nullif(body, ''), '*（本章内容为空）*') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*leafspine*' as markdown, length(body)::bigint as word_count,
+  ({count_re("body", CJK)} + {count_re("body", f"[^{SPACE}]+")})::bigint as display_count, replace(coalesce(path, n::varchar), '.', '_') || '_' || {filename("coalesce(nullif(title, ''), 'chapter_' || n)")} || '.md' as file_name from g4""",
+    "safe_filename": f"""with d as (select doc_id, case when doc_id % 50 = 0 then ' . ' else ' ./' || text[1:90] || case when doc_id % 2 = 0 then 'a?b*c:d"e<f>g|h\\i' || chr(13) || '.. ' else '' end end as name from documents) select doc_id, {filename("name")} as file_name from d""",
+    "hierarchy_path": """select 'r' || r_regionkey as chapter_id, (r_regionkey + 1)::varchar as hierarchy_path from region
+union all select 'n' || n_nationkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) from nation
+union all select 's' || s_suppkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || s_suppkey from supplier join nation on s_nationkey = n_nationkey""",
+    "prompt_folders": "select doc_id || '_' || source as folder, least(lang, source) || '.md' as file_name, doc_id::int as number from documents where doc_id % 7 <> 0",
+    "prompt_body": f"with {_PROMPT} select folder, body, source as title, {count_re('body', CJK)}::bigint as n_cjk from pb",
+    "prompt_headers": f"with {_HEADS} select folder, i::int as i, level::int as level, title from ph",
+    "prompt_outline": f"with {_HEADS} select folder, coalesce(n_headers, 0) as n_headers, coalesce(outline, '') as outline from pb left join po using (folder)",
+    "prompt_files": f"""with {_HEADS} select folder, source as title, {count_re('body', CJK)}::bigint as word_count, coalesce(n_headers, 0) as n_headers, '# 章节分析' || chr(10) || chr(10) || '章节：' || source || chr(10) || '字数：' || {count_re('body', CJK)} || chr(10) || '结构：' || chr(10) || coalesce(outline, '') || chr(10)
+  || '正文：' || chr(10) || body[1:8000] || case when length(body) > 8000 then chr(10) || chr(10) || '...[内容过长，已截取前8000字符]' else '' end || chr(10) as prompt from pb left join po using (folder)""",
+    "route_format": f"""with d as (select *, {EXTENSION_LIST}[doc_id % {len(EXTENSION_LIST)} + 1] as ext from documents)
+select '/in/' || source || '/f.x' || doc_id || '.' || ext as path, 'f.x' || doc_id || '.' || ext as file_name, lower(ext) as file_format, n_chars::bigint as size,
+  case lower(ext) {" ".join(f"when '{k}' then '{v}'" for k, v in _ROUTES.items())} end as reader from d""",
+    "ocr_fallback": """with d as (select doc_id, case when doc_id % 2 = 0 then 'pdf' else 'txt' end as file_format, n_chars, lang, doc_id % 2 = 0 and n_chars < 1000 as used_ocr from documents)
+select doc_id, file_format, case when used_ocr then case when doc_id % 3 <> 0 then n_chars * 2 end else n_chars end::bigint as total_words, case when used_ocr then case when doc_id % 3 <> 0 then 'ocr ' || lang end else lang end as title, used_ocr from d""",
+}

@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import code, markdown, markup, pdf, tabular, txt
+from ..functions import text
+from ..operators import code, dispatch, docx, markdown, markup, ocr, pdf, prompt, render, tabular, txt
 from ..sources import parse
-from .fixtures import CODE_C, CODE_HASH, EXT, MD, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, pdf_lines, table, toc_lines
+from .fixtures import CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, pdf_lines, table, toc_lines, with_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -269,3 +270,160 @@ def pdf_toc_match(spark, sf_dir):
 def pdf_toc_chapters(spark, sf_dir):
     lines = _toc(spark, sf_dir)
     return pdf.toc_chapters(lines, pdf.toc_match(lines, pdf.toc(lines)))
+
+
+# Word paragraphs
+
+
+def _docx(spark, sf_dir):
+    return with_columns(doc_lines(spark, sf_dir).filter("line <> ''"), DOCX_COLUMNS)
+
+
+@query
+def docx_style_level(spark, sf_dir):
+    return _docx(spark, sf_dir).select("doc_id", "pos", docx.style_level("style_name").alias("style_level"))
+
+
+@query
+def docx_stats(spark, sf_dir):
+    return docx.font_stats(_docx(spark, sf_dir)).withColumn("mean_size", F.round("mean_size", 6))
+
+
+@query
+def docx_classify(spark, sf_dir):
+    return docx.classify(_docx(spark, sf_dir)).select("doc_id", "pos", "is_chapter_title", "subheading_level")
+
+
+@query
+def docx_chapters(spark, sf_dir):
+    return docx.chapters(docx.classify(_docx(spark, sf_dir)))
+
+
+@query
+def docx_totals(spark, sf_dir):
+    return docx.doc_words(_docx(spark, sf_dir))
+
+
+@query
+def docx_paragraphs(spark, sf_dir):
+    """Words of every line as runs."""
+    runs = doc_lines(spark, sf_dir).select("doc_id", "pos", F.posexplode(F.split("line", " ", -1)).alias("run_no", "w"))
+    runs = runs.select(
+        "doc_id", "pos", "run_no", F.concat("w", F.lit(" ")).alias("text"), F.when(F.col("run_no") % 3 > 0, 10.0 + F.col("run_no") % 4).alias("size"), (F.col("run_no") == 4).alias("bold"), F.lit(None).cast("boolean").alias("italic"),
+        F.when(F.col("run_no") % 2 == 0, F.concat(F.lit("f"), F.col("run_no").cast("string"))).alias("font"), F.lit("Normal").alias("style_name"), F.when(F.col("pos") % 2 == 0, "center").alias("alignment"),
+    )
+    return docx.paragraphs_from_runs(runs).select("doc_id", "pos", "text", F.round("font_size", 6).alias("font_size"), "is_bold", "is_italic", "font_name", "alignment", "is_centered")
+
+
+# Recognised lines
+
+
+def _ocr(spark, sf_dir):
+    return with_columns(doc_lines(spark, sf_dir), OCR_COLUMNS)
+
+
+@query
+def ocr_filter(spark, sf_dir):
+    return ocr.confident(_ocr(spark, sf_dir)).select("doc_id", "pos", "text")
+
+
+@query
+def ocr_classify(spark, sf_dir):
+    return ocr.blocks(_ocr(spark, sf_dir)).select("doc_id", "pos", "type", "level")
+
+
+@query
+def ocr_chapters(spark, sf_dir):
+    return ocr.chapters(ocr.blocks(_ocr(spark, sf_dir)))
+
+
+@query
+def ocr_results(spark, sf_dir):
+    """Boxes as the recogniser gives them, two pages a document."""
+    rows = _ocr(spark, sf_dir).withColumn("page_num", F.when(F.col("pos") < 3, 0).otherwise(1))
+    corner = lambda x, y: F.array((F.col("pos") * 10.0) + x, F.lit(100.0) + y)
+    line = F.struct(F.array(corner(0, 0), corner(9, 0), corner(9, 5), corner(0, 5)).alias("corners"), "text", "confidence")
+    results = rows.groupBy("doc_id", "page_num").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda s: s["l"]).alias("lines"))
+    return ocr.recognised(results)
+
+
+# Rendering, prompts, dispatch
+
+
+@query
+def render_markdown(spark, sf_dir):
+    """Each plain-text document as one chapter file, its first line as the title."""
+    b = txt.blocks(_txt(spark, sf_dir)).withColumn("chapter_index", F.col("doc_id").cast("int") % 5 + 1)
+    docs = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id").cast("int") % 5 + 1).alias("chapter_index"), F.get(F.split("text", "\n", -1), F.lit(0)).alias("title"), (F.col("doc_id").cast("int") % 4 + 1).alias("level"), F.when(F.col("doc_id") % 2 == 0, "2.1").alias("hierarchy_path"))
+    rows = docs.join(render.bodies(b), ["doc_id", "chapter_index"], "left")
+    return render.render(rows, "2025-01-01 00:00", "*leafspine*").select("doc_id", "markdown", "word_count", "display_count", "file_name")
+
+
+@query
+def safe_filename(spark, sf_dir):
+    name = F.concat(F.lit(" ./"), F.substr("text", F.lit(1), F.lit(90)), F.when(F.col("doc_id") % 2 == 0, 'a?b*c:d"e<f>g|h\\i\r.. ').otherwise(""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit(" . ")).otherwise(name).alias("name"))
+    return docs.select("doc_id", text.safe_filename("name").alias("file_name"))
+
+
+@query
+def hierarchy_path(spark, sf_dir):
+    """Nations under regions, suppliers under nations."""
+    region = table(spark, sf_dir, "region").select(F.lit(1).alias("doc_id"), F.concat(F.lit("r"), "r_regionkey").alias("chapter_id"), F.lit(None).cast("string").alias("parent_id"), (F.col("r_regionkey") + 1).alias("chapter_index"))
+    nation = table(spark, sf_dir, "nation").select(F.lit(1).alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("chapter_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), (F.col("n_nationkey") + 1).alias("chapter_index"))
+    supplier = table(spark, sf_dir, "supplier").select(F.lit(1).alias("doc_id"), F.concat(F.lit("s"), "s_suppkey").alias("chapter_id"), F.concat(F.lit("n"), "s_nationkey").alias("parent_id"), F.col("s_suppkey").cast("int").alias("chapter_index"))
+    return render.hierarchy(region.unionByName(nation).unionByName(supplier)).select("chapter_id", "hierarchy_path")
+
+
+def _prompt_files(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit("_"), "source").alias("folder"), F.expr(PROMPT_CONTENT).alias("content"))
+
+
+@query
+def prompt_folders(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    names = F.array(F.lit("0_x.md"), F.lit("AI.md"), F.lit("b.txt"), F.concat(F.col("lang"), F.lit(".md")), F.concat("source", F.lit(".md")))
+    folder = F.when(F.col("doc_id") % 7 == 0, F.col("source")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit("_"), "source"))
+    return prompt.chapter_files(docs.select(folder.alias("folder"), F.explode(names).alias("file_name")))
+
+
+@query
+def prompt_body(spark, sf_dir):
+    return _prompt_files(spark, sf_dir).select("folder", prompt.body("content").alias("body"), prompt.title("content", "folder").alias("title"), text.cjk_count(prompt.body("content")).alias("n_cjk"))
+
+
+@query
+def prompt_headers(spark, sf_dir):
+    files = _prompt_files(spark, sf_dir).withColumn("body", prompt.body("content"))
+    return prompt.headers(files)
+
+
+@query
+def prompt_outline(spark, sf_dir):
+    files = _prompt_files(spark, sf_dir).withColumn("body", prompt.body("content"))
+    return prompt.outlines(files)
+
+
+@query
+def prompt_files(spark, sf_dir):
+    return prompt.prompts(_prompt_files(spark, sf_dir))
+
+
+@query
+def route_format(spark, sf_dir):
+    ext = F.get(F.array(*[F.lit(e) for e in EXTENSION_LIST]), (F.col("doc_id") % len(EXTENSION_LIST)).cast("int"))
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("/in/"), "source", F.lit("/f.x"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("path"), F.col("n_chars").alias("length"))
+    return dispatch.file_info(files)
+
+
+@query
+def ocr_fallback(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, "pdf").otherwise("txt").alias("file_format"), F.col("n_chars").alias("total_words"), F.col("lang").alias("title"))
+    seen = docs.filter("doc_id % 3 <> 0").select("doc_id", (F.col("total_words") * 2).alias("total_words"), F.concat(F.lit("ocr "), "title").alias("title"))
+    return dispatch.with_ocr_fallback(docs, seen)
+
+
+@query
+def supported_formats(spark, sf_dir):
+    return dispatch.supported_formats(spark)
