@@ -12,10 +12,10 @@ of ``width`` words (with fewer words, the whole sequence is one). Documents are
 3. Rows of ``r`` coordinates are bands; r is the largest with a chance below 1e-6 to miss a pair at the threshold.
 4. In each bucket of a band all members are compared to the least one. Pairs whose sketches can't reach the
    threshold (5 standard deviations) or whose sizes can't are left out, the others are verified on full sets.
-5. Buckets whose members are in one component then are finished: for any group of near copies that is one
+5. Buckets whose members are in one component then are finished: for any group of linked copies that is one
    comparison each. The members of other buckets are compared across components in blocks of bounded size, pruned
-   in the same way, verified, and components are taken again. No bucket is capped and no pair of a group is listed
-   before it passes the bounds.
+   in the same way and verified on full sets inside the block; only links leave it, and components are taken again.
+   No bucket is capped and no pairs of a group are listed.
 
 Intermediate tables are written to the shared folder. Nothing is collected to the driver but counts.
 
@@ -203,36 +203,58 @@ def components(links: DataFrame) -> DataFrame:
         edges = new
 
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components in the same bucket that sizes and sketches allow; members: bucket, node, label,
-    n, short. A bucket of m members is dealt into blocks of about BLOCK, and each pair of blocks is a task's group."""
-    least, block = _least_matches(percent), BLOCK
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+def _shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements of each of the other sets lie in a set of sorted hashes."""
+    flat = np.concatenate(others)
+    hit = own[np.minimum(np.searchsorted(own, flat), len(own) - 1)] == flat
+    return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
+
+
+def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) across components in the same bucket; members: band, bucket, node, label, n, short, bands, z.
+
+    A bucket of m members is dealt into blocks of about BLOCK, and each pair of blocks is one group of rows. A pair is
+    looked at in its first common band alone; sizes and sketches rule most pairs out, the full sets decide on the
+    rest where they are, and only links leave the task.
+    """
+    least = _least_matches(percent)
+    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
     dealt = members.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).alias("second"), (F.col("i") == F.col("j")).alias("own"), "bucket", "node", "label", "n", "short")
+    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).alias("second"), (F.col("i") == F.col("j")).alias("own"), "band", "node", "label", "n", "short", "bands", "z")
     dealt = dealt.repartition(partitions(members.sparkSession), "cell").sortWithinPartitions("cell", "second", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        unzip = zstandard.ZstdDecompressor()
 
-        def compare(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        def compare(t: pa.Table) -> list[tuple[int, int]]:
             node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
-            second = t.column("second").to_numpy()
-            own = bool(t.column("own")[0].as_py())
-            s = np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
-            left = np.arange(len(node)) if own else np.flatnonzero(~second)
-            right = np.arange(len(node)) if own else np.flatnonzero(second)
-            found_a, found_b = [], []
-            for x in left:
-                y = right[right > x] if own else right
-                y = y[label[y] != label[x]]
-                y = y[np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent]
-                y = y[(s[y] == s[x]).sum(axis=1) >= least] if len(y) else y
-                found_a.append(np.full(len(y), node[x]))
-                found_b.append(node[y])
-            a, b = np.concatenate([np.zeros(0, np.int64), *found_a]), np.concatenate([np.zeros(0, np.int64), *found_b])
-            return np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
+            if label.min() == label.max():
+                return []
+            second, z, band = t.column("second").to_numpy(), t.column("z"), t.column("band")[0].as_py()
+            own = t.column("own")[0].as_py()
+            short = np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+            keys = np.array(t.column("bands").to_pylist(), dtype=np.int64)
+            sets: dict[int, np.ndarray] = {}
+
+            def of(i: int) -> np.ndarray:
+                if i not in sets:
+                    joined = unzip.decompress(z[i].as_py())
+                    sets[i] = _hashes(joined.split(), joined, width)
+                return sets[i]
+
+            found = []
+            for x in range(len(node)) if own else np.flatnonzero(~second):
+                y = np.arange(x + 1, len(node)) if own else np.flatnonzero(second)
+                y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
+                y = y[(short[y] == short[x]).sum(axis=1) >= least] if len(y) else y
+                y = y[(keys[y] == keys[x]).argmax(axis=1) == band] if len(y) else y
+                if len(y):
+                    both = _shared_counts(of(int(x)), [of(int(i)) for i in y])
+                    y = y[100 * both >= percent * (n[x] + n[y] - both)]
+                    found += [(int(min(node[x], node[i])), int(max(node[x], node[i]))) for i in y]
+            return found
 
         def finished(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -241,10 +263,9 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             if not last:
                 held = t.slice(cuts[-2])
                 cuts.pop()
-            got = [compare(t.slice(s, e - s)) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1]
+            got = [pair for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1 for pair in compare(t.slice(s, e - s))]
             if got:
-                a, b = (np.concatenate([g[i] for g in got]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -262,9 +283,9 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
     rows = stored(sketch_documents(docs, percent, width, id_col, text_col), "sketches")
     owned = rows.filter("id is not null and class is not null")
     reps = stored(owned.groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")), "classes")
-    buckets = reps.select("node", F.explode("bands").alias("bucket"))
+    buckets = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
-    members = stored(buckets.join(shared, "bucket").select("bucket", "node", "first"), "members")
+    members = stored(buckets.join(shared, "bucket").select("band", "bucket", "node", "first"), "members")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1)
@@ -281,11 +302,10 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
     links = stored(_verified(likely, texts, percent, width), "links")
     labels = stored(components(links), "labels")
 
-    labelled = members.join(labels, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    labelled = members.join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
     open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
-    still = labelled.join(open_buckets, "bucket").join(reps.select("node", "n", "short"), "node")
-    more = _across(still, percent).join(stars, ["a", "b"], "left_anti")
-    links = links.unionByName(_verified(more, texts, percent, width))
+    still = labelled.join(open_buckets, "bucket").join(reps.select("node", "n", "short", "bands"), "node").join(texts, "node")
+    links = links.unionByName(_across(still, percent, width))
     # an id with several texts joins their classes
     class_nodes = reps.select("class", "node")
     several = owned.groupBy("id").agg(F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y")).filter("x < y").select("id")
