@@ -99,3 +99,7 @@ def with_columns(lines: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     for name, e in columns:
         lines = lines.withColumn(name, F.expr(e))
     return lines
+
+#: Lines and titles of books.
+BOOK = (13, {0: "'第三章：' || line", 2: "'第2节 ' || line", 3: "'Chapter 4: ' || line", 4: "'part 7'", 5: "'12. ' || line", 6: "'（3）、' || line", 8: "'三、' || line", 9: "'CHAPTER IX'"})
+BOOK_TITLE = "CASE WHEN pos % 6 = 0 THEN '第9章 ' || substr(line, 1, 20) WHEN pos % 6 = 1 THEN substr(line, 1, 60) WHEN pos % 6 = 2 THEN '附录 ' || substr(line, 1, 9) WHEN pos % 6 = 3 THEN '12. ' || substr(line, 1, 9) WHEN pos % 6 = 4 THEN substr(line, 1, 7) || '！' ELSE substr(line, 1, 2) || ' Contents' END"

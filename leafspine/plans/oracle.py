@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CHAPTER, CJK, SPACE
-from .fixtures import CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PDF_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TOC_PARTS, TXT, XML_PIECE, case_of
+from .fixtures import BOOK, BOOK_TITLE, CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PDF_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TOC_PARTS, TXT, XML_PIECE, case_of
 
 W = "over (partition by doc_id order by pos rows between unbounded preceding and current row)"
 WB = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
@@ -344,3 +344,49 @@ select '/in/' || source || '/f.x' || doc_id || '.' || ext as path, 'f.x' || doc_
     "ocr_fallback": """with d as (select doc_id, case when doc_id % 2 = 0 then 'pdf' else 'txt' end as file_format, n_chars, lang, doc_id % 2 = 0 and n_chars < 1000 as used_ocr from documents)
 select doc_id, file_format, case when used_ocr then case when doc_id % 3 <> 0 then n_chars * 2 end else n_chars end::bigint as total_words, case when used_ocr then case when doc_id % 3 <> 0 then 'ocr ' || lang end else lang end as title, used_ocr from d""",
 }
+
+_STOP = "版权|目录|contents|赞誉|推荐序|译者序|前言|序言|致谢|简介|介绍|导言|引言|后记|附录|参考文献|索引|关于作者|关于本书|献词|扉页|封面"
+_END = "，。！？；：\"（）"
+
+
+def title_ok(t: str) -> str:
+    return f"(length({t}) between 3 and 100 and not contains('{_END}', {t}[-1]) and not regexp_matches(lower({t}), '{_STOP}'))"
+
+
+_ZH = "一二三四五六七八九十百千0-9"
+_PATTERNS = [
+    (f"第[{_ZH}]+章[{SPACE}]*[:：]?[{SPACE}]*[^\\n]+", 1), ("第[一二三四五六七八九十0-9]+[章节篇卷集部]", 1), (f"Chapter[{SPACE}]*[0-9IVX]+[:：]?[{SPACE}]*[^\\n]+", 1), (f"Part[{SPACE}]*[0-9]+|Volume[{SPACE}]*[0-9IVX]+|Book[{SPACE}]*[0-9]+", 1),
+    (f"^[0-9]{{1,2}}[.{SPACE}]+[^\\n]+", 2), (f"^[（(]?[0-9]{{1,2}}[)）]?[、.{SPACE}]+[^\\n]+", 2), (f"^[（(]?[一二三四五六七八九十百千]+[)）]?[、.{SPACE}]+[^\\n]+", 2),
+]
+_BOOK_TEXTS = f"""{lines(BOOK)}, texts as (select doc_id, string_agg(line, chr(10) order by pos) as text from lines group by 1),
+hits as ({" union all ".join(f"select doc_id, text, {k} as pattern, {level} as level, generate_subscripts(ms, 1) - 1 as nth, unnest(ms) as m from (select *, regexp_extract_all(text, '(?im){p}') as ms from texts)" for k, (p, level) in enumerate(_PATTERNS))})"""
+_CANDS = f"""{DOC_LINES}, c0 as (select *, {BOOK_TITLE} as title, (pos % 3)::int as prio, 'f' || (pos % 2) as file_path from raw_lines),
+c1 as (select *, row_number() over (partition by doc_id, prio order by file_path, pos % 7, pos) as rn from c0),
+valid as (select * from c1 where (regexp_matches(title, '(?i)第[{_ZH}]+[章讲]|Chapter[{SPACE}]*[0-9]+|^[0-9]+[{SPACE}]+|^[0-9]+[.{SPACE}]') and pos % 4 < 3) or length(title) >= 50 or rn = 1)"""
+_RANGES = """f as (select doc_id as d, doc_id % 10 as doc_id, lpad(doc_id::varchar, 8, '0') as file_path, text, lang, (row_number() over (partition by doc_id % 10 order by lpad(doc_id::varchar, 8, '0')) - 1)::int as idx from documents),
+ch as (select f.doc_id, file_path, p as position, 'c' || p || lang as title, idx as file_idx from f, (select unnest([0, 5]) as p) where d % 3 = 0 and (p = 0 or d % 2 = 0)),
+rg as (select *, coalesce(lead(file_idx) over (partition by doc_id order by file_path, position), 1073741824)::int as until from ch)"""
+ORACLE_SQL |= {
+    "html_title": f"select page_id, {strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title, length(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'))::int as n_chars from pages",
+    "html_word_count": f"select doc_id, ({count_re("text || '中文'", CJK)} + {count_re("text", "[a-zA-Z]+")})::bigint as word_count from documents",
+    "html_substance": f"""with d as (select doc_id, string_split(text, chr(10))[1] as t, text[1:length(string_split(text, chr(10))[1]) + 20] as x from documents),
+r as (select doc_id, case when t <> '' and instr(x, t) > 0 then x[1:instr(x, t) - 1] || x[instr(x, t) + length(t):] else x end as rest from d) select doc_id, {count_re('rest', CJK)} > 3 or {count_re('rest', '[a-zA-Z]+')} >= 5 as substance from r""",
+    "html_block_types": "select doc_id, [null, 'heading', 'paragraph', 'list', 'quote', 'code', 'table', 'paragraph', null][doc_id % 9 + 1] as type from documents",
+    "html_style": """with d as (select doc_id, doc_id % 5 as a, doc_id % 7 as b, doc_id % 3 as c from documents)
+select doc_id, a = 0 or b = 0 or c = 0 as bold, a = 1 or b = 1 or c = 0 as italic, case b when 0 then 'right' when 1 then 'center' when 2 then 'left' end as alignment from d""",
+    "epub_font_size": f"""with {DOC_LINES}, s as (select doc_id, pos, line[1:40] as t, case pos % 4 when 0 then (pos % 5 + 10) * 1.33::double when 1 then (pos % 5 + 10)::double when 2 then (pos % 5 + 10) * 16::double end as size from raw_lines),
+m as (select *, max(size) over (partition by doc_id) as most from s where size is not null and t <> ''),
+k as (select *, row_number() over (partition by doc_id, t order by pos) as rn from m where size >= most * 0.75 and length(t) between 6 and 99 and not contains('{_END}', t[-1]))
+select doc_id, 3 as prio, 3 as confidence, 'font_size' as source, 'f' as file_path, 0 as position, pos::int as enc_pos, t as title, case when size = most then 1 else 2 end as level, 0 as tag_level from k where rn = 1""",
+    "epub_pattern": f"""with {_BOOK_TEXTS}, h as (select doc_id, pattern, level, nth, instr(text, m) as position, {strip("m")} as title from hits)
+select doc_id, pattern, nth::int as nth, position::int as position, title, level from h where {title_ok("title")}""",
+    "epub_stopwords": f"with {DOC_LINES}, t as (select *, {BOOK_TITLE} as title from raw_lines) select doc_id, pos::int as pos, regexp_matches(lower(title), '{_STOP}') as stop, {title_ok('title')} as ok from t",
+    "epub_validate": f"with {_CANDS} select doc_id, prio, pos::int as enc_pos, title from valid",
+    "epub_choose": f"""with {_CANDS}, n as (select doc_id, prio, count(*) as n from valid group by 1, 2),
+r as (select *, row_number() over (partition by doc_id order by n < 2, case when n >= 2 then prio else prio - 5 end, n desc, prio) as r from n)
+select doc_id, prio, n, 'way' || prio || case when n < 2 then ' (备选)' else '' end as label from r where r = 1""",
+    "epub_content_range": f"with {_RANGES} select doc_id, file_path, position, file_idx, until from rg",
+    "epub_build": f"""with {_RANGES}, b as (select rg.doc_id, file_idx, position, any_value(title) as title, count(*) as n_files, sum(length(f.text))::bigint as word_count from rg join f on f.doc_id = rg.doc_id and idx >= file_idx and idx < until group by 1, 2, 3)
+select doc_id, (row_number() over (partition by doc_id order by file_idx, position))::int as chapter_index, title, 1 as level, n_files, word_count from b where word_count > 0""",
+    "epub_mojibake_ratio": "select doc_id, round(length(regexp_replace(text, '[^\\x{80}-\\x{24f}]', '', 'g')) / length(regexp_replace(text, '\\P{L}', '', 'g')), 9) as ratio from documents",
+}

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import code, dispatch, docx, markdown, markup, ocr, pdf, prompt, render, tabular, txt
+from ..operators import code, dispatch, docx, epub, html, markdown, markup, ocr, pdf, prompt, render, tabular, txt
+from ..sources import html as sources_html
 from ..sources import parse
-from .fixtures import CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, pdf_lines, table, toc_lines, with_columns
+from .fixtures import BOOK, BOOK_TITLE, CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, pdf_lines, table, toc_lines, with_columns
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,3 +428,160 @@ def ocr_fallback(spark, sf_dir):
 @query
 def supported_formats(spark, sf_dir):
     return dispatch.supported_formats(spark)
+
+
+# HTML
+
+
+def _page_nodes(spark, sf_dir):
+    return sources_html.nodes(table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("file_path"), "html"))
+
+
+@query
+def html_nodes(spark, sf_dir):
+    return _page_nodes(spark, sf_dir).drop("lines")
+
+
+@query
+def html_chapters(spark, sf_dir):
+    return html.chapters(_page_nodes(spark, sf_dir))
+
+
+@query
+def html_blocks(spark, sf_dir):
+    return html.blocks(_page_nodes(spark, sf_dir))
+
+
+@query
+def html_title(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.doc_title("html").alias("title"), F.length(html.without_scripts("html")).alias("n_chars"))
+
+
+@query
+def html_word_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.mixed_word_count(F.concat("text", F.lit("中文"))).alias("word_count"))
+
+
+@query
+def html_substance(spark, sf_dir):
+    first = F.get(F.split("text", "\n", -1), F.lit(0))
+    return table(spark, sf_dir, "documents").select("doc_id", html.has_substance(F.substr("text", F.lit(1), F.length(first) + 20), first).alias("substance"))
+
+
+@query
+def html_block_types(spark, sf_dir):
+    tags = F.array(*[F.lit(t) for t in ("h1", "h3", "p", "ul", "blockquote", "pre", "table", "span", "script")])
+    tag = F.get(tags, (F.col("doc_id") % 9).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", html.block_type(tag).alias("type"))
+
+
+@query
+def html_style(spark, sf_dir):
+    tag = F.when(F.col("doc_id") % 5 == 0, "b").when(F.col("doc_id") % 5 == 1, "em").otherwise("p")
+    css = F.when(F.col("doc_id") % 7 == 0, "Font-Weight: 700; text-align: right").when(F.col("doc_id") % 7 == 1, "font-style: italic; text-align: center").when(F.col("doc_id") % 7 == 2, "text-align:left")
+    nodes = table(spark, sf_dir, "documents").select("doc_id", tag.alias("tag"), css.alias("attr_style"), F.when(F.col("doc_id") % 3 == 0, "Item strong").when(F.col("doc_id") % 3 == 1, "plain").alias("attr_class"))
+    return html.style(nodes).select("doc_id", "bold", "italic", "alignment")
+
+
+# Books
+
+
+def _book_nodes(spark, sf_dir):
+    return sources_html.nodes(_book_files(spark, sf_dir))
+
+
+def _book_files(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("doc_id"), F.concat(F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".html")).alias("file_path"), "html")
+
+
+@query
+def epub_headings(spark, sf_dir):
+    return epub.by_headings(_book_nodes(spark, sf_dir))
+
+
+@query
+def epub_classes(spark, sf_dir):
+    return epub.by_class(_book_nodes(spark, sf_dir))
+
+
+@query
+def epub_font_size(spark, sf_dir):
+    """Sizes in all units, made from document lines."""
+    css = "concat('x: 1; font-size: ', pos % 5 + 10, CASE WHEN pos % 4 = 0 THEN 'pt' WHEN pos % 4 = 1 THEN 'PX' WHEN pos % 4 = 2 THEN 'em' ELSE '' END)"
+    nodes = doc_lines(spark, sf_dir).select("doc_id", F.lit("f").alias("file_path"), "pos", F.lit("p").alias("tag"), F.expr(css).alias("attr_style"), F.substr("line", F.lit(1), F.lit(40)).alias("text"))
+    return epub.by_font_size(nodes)
+
+
+@query
+def epub_paragraph_score(spark, sf_dir):
+    return epub.paragraph_scores(_book_nodes(spark, sf_dir)).select("doc_id", "file_path", "pos", "text", "score")
+
+
+@query
+def epub_file_structure(spark, sf_dir):
+    return epub.by_file_structure(_book_nodes(spark, sf_dir)).withColumn("number", epub.chapter_number(F.col("file_path")))
+
+
+@query
+def epub_pattern(spark, sf_dir):
+    from .segment import joined
+
+    lines = marked(doc_lines(spark, sf_dir), BOOK)
+    texts = lines.groupBy("doc_id").agg(joined(F.col("line"), "\n").alias("text")).withColumn("file_path", F.lit("f"))
+    return epub.by_pattern(texts).select("doc_id", F.floor(F.col("enc_pos") / 1000000).cast("int").alias("pattern"), (F.col("enc_pos") % 1000000).cast("int").alias("nth"), "position", "title", "level")
+
+
+@query
+def epub_stopwords(spark, sf_dir):
+    return with_columns(doc_lines(spark, sf_dir), [("title", BOOK_TITLE)]).select("doc_id", "pos", epub.is_stop(F.col("title")).alias("stop"), text.title_ok("title", epub.STOP).alias("ok"))
+
+
+def _candidates(spark, sf_dir):
+    rows = with_columns(doc_lines(spark, sf_dir), [("title", BOOK_TITLE), ("prio", "cast(pos % 3 as int)"), ("tag_level", "cast(pos % 4 as int)"), ("file_path", "concat('f', pos % 2)")])
+    return rows.select("doc_id", "prio", (5 - F.col("prio")).alias("confidence"), F.concat(F.lit("way"), F.col("prio").cast("string")).alias("source"), "file_path", (F.col("pos") % 7).alias("position"), F.col("pos").alias("enc_pos"), "title", F.lit(1).alias("level"), "tag_level")
+
+
+@query
+def epub_validate(spark, sf_dir):
+    return epub.validate(_candidates(spark, sf_dir)).select("doc_id", "prio", "enc_pos", "title")
+
+
+@query
+def epub_choose(spark, sf_dir):
+    return epub.choose(epub.validate(_candidates(spark, sf_dir)))
+
+
+def _book_texts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("file_path"), "text")
+
+
+def _book_chapters(spark, sf_dir):
+    starts = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
+    two = starts.withColumn("position", F.explode(F.array(F.lit(0), F.lit(5))))
+    return two.filter("position = 0 or doc_id % 2 = 0").select((F.col("doc_id") % 10).alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("file_path"), "position", F.lit(0).alias("enc_pos"), F.concat(F.lit("c"), F.col("position").cast("string"), "lang").alias("title"), F.lit(1).alias("level"))
+
+
+@query
+def epub_content_range(spark, sf_dir):
+    return epub.content_ranges(_book_chapters(spark, sf_dir), _book_texts(spark, sf_dir)).select("doc_id", "file_path", "position", "file_idx", "until")
+
+
+@query
+def epub_build(spark, sf_dir):
+    return epub.build(_book_chapters(spark, sf_dir), _book_texts(spark, sf_dir))
+
+
+@query
+def epub_blocks(spark, sf_dir):
+    return epub.blocks(_book_nodes(spark, sf_dir))
+
+
+@query
+def epub_cascade(spark, sf_dir):
+    nodes, files = _book_nodes(spark, sf_dir), _book_files(spark, sf_dir)
+    return epub.cascade(nodes, epub.plain_texts(nodes), files.select("doc_id", "file_path"))
+
+
+@query
+def epub_mojibake_ratio(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(text.mojibake_ratio("text"), 9).alias("ratio"))
