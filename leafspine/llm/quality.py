@@ -12,6 +12,7 @@ the orders 5, 4 and 3 of its keys need; orders 2 and 1 are one table of at most
    continuation counts and, per order, the discounts.
 3. Keys asked for join the counts of their shard and get probabilities, which return to their blocks.
 4. The texts of each block meet the probabilities of its keys: the mean of log2 p is the perplexity's logarithm.
+   This is done first for the held-out documents alone, which give the thresholds, then for all.
 
 Trusted are documents with quality 1 and toxic 0 in labels, all of them; every ``FOLDS``-th (by hash) is held out
 of the training and gives the quantiles, so thresholds rest on text the model hasn't seen. A document is rejected
@@ -36,8 +37,9 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import partitions, ship, stored
+from .common import release, ship, stored
 
 ORDER, CLASSES, BITS = 5, 1024, 10
 BLOCK_CHARS, CHUNK_CHARS, SHARDS = 24_000_000, 1_000_000, 96
@@ -221,6 +223,7 @@ def gather(rows: DataFrame, text_col: str, shards: int, subs: int) -> DataFrame:
                 if len(held) >= 12:
                     held[:] = [np.unique(np.concatenate(held))] if held is asked else [merged(held)]
         yield from flush()
+        release()
 
     return rows.mapInArrow(run, "kind int, shard int, sub int, block long, keys binary, counts binary")
 
@@ -244,8 +247,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], names=["order", "what", "n"])
 
 
-def score(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """rows (with ``__trust``) with ``__chars`` and ``__bits``: characters, and bits a character (null without)."""
+def answers_for(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+    """block, keys and bits (-log2 p) of every key in the texts of rows (with ``__trust``), from the trusted ones."""
     spark = rows.sparkSession
     ship(spark)
     subs = max(1, rows.rdd.getNumPartitions() // 64)
@@ -271,10 +274,23 @@ def score(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -> Data
     by_sub = model.withColumn("sub", F.explode(F.sequence(F.lit(0), F.lit(subs - 1))))
     asks = told.filter("kind = 0").select("shard", "sub", "block", "keys")
     answers = asks.groupBy("shard", "sub").cogroup(by_sub.groupBy("shard", "sub")).applyInArrow(answer, "block long, keys binary, bits binary")
+    return stored(answers, "answers")
+
+
+def score(rows: DataFrame, answers: DataFrame, text_col: str = "text", held_out: list[str] | None = None) -> DataFrame:
+    """rows with ``__chars`` and ``__bits``: characters, and bits a character (null without). held_out: only the rows
+    held out, with these columns; the blocks are cut from all rows nevertheless."""
     at = rows.columns.index(text_col)
+    kept = rows.columns if held_out is None else list(dict.fromkeys([*held_out, text_col, "__trust"]))
+    text_at = kept.index(text_col)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, chunk in _blocks(batches, at):
+            if held_out is not None:
+                chunk = chunk.select(kept)
+                chunk = chunk.filter(pa.array([t == 2 for t in chunk.column("__trust").to_pylist()]))
+                if not len(chunk):
+                    continue
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, chunk.schema) as w:
                 w.write_table(chunk)
@@ -289,7 +305,7 @@ def score(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -> Data
         for data in chunks.column("rows").to_pylist():
             t = pa.ipc.open_stream(zstandard.decompress(data)).read_all()
             n, sums = [], []
-            for text in t.column(at).to_pylist():
+            for text in t.column(text_at).to_pylist():
                 if text:
                     k = keys_of(text)
                     i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
@@ -300,9 +316,12 @@ def score(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -> Data
                     sums.append(None)
                 n.append(len(text or ""))
             out.append(t.append_column("__chars", pa.array(n, pa.int64())).append_column("__bits", pa.array(sums, pa.float64())))
-        return pa.concat_tables(out)
+        release()
+        return pa.concat_tables(out) if out else empty
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    fields = [f for c in kept for f in rows.schema.fields if f.name == c]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    empty = pa.Table.from_batches([], schema=pa.schema([*to_arrow_schema(rows.select(*[F.col(f"`{c}`") for c in kept]).schema), ("__chars", pa.int64()), ("__bits", pa.float64())]))
     texts = rows.mapInArrow(packed, "block long, rows binary")
     return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(apply, f"{schema}, __chars long, __bits double")
 
@@ -325,8 +344,10 @@ def thresholds(scored: DataFrame, lang_col: str = "lang") -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """docs with ``__chars``, ``__bits``, ``__most`` and ``__keep``."""
-    scored = stored(score(flagged(docs, labels, id_col), text_col), "scored")
-    limits = stored(thresholds(scored, lang_col), "limits")
+    rows = flagged(docs, labels, id_col)
+    answers = answers_for(rows, text_col)
+    limits = stored(thresholds(score(rows, answers, text_col, held_out=[lang_col]), lang_col), "limits")
+    scored = score(rows, answers, text_col)
     own = limits.filter("not __all").drop("__all")
     rest = limits.filter("__all").select(*[F.col(c).alias(f"{c}_all") for c in ("__mid", "__most")], F.lit(1).alias("__one"))
     out = scored.withColumns({"__key": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")), "__one": F.lit(1)})
