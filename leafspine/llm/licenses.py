@@ -8,7 +8,7 @@ the whole document first: a template whose bigrams the document doesn't hold in
 passage is looked at.
 
 Passages are runs of whole lines. For each template that is left, the passage of the highest Dice coefficient is
-found among runs whose size lies within the bounds; only lines that hold bigrams of the template start or end one.
+found among runs whose size lies within the bounds; only lines in which a bigram of the template starts begin one.
 
 Templates are a parameter, of bounded size (``MAX_TEMPLATE_BYTES``), and travel with the code.
 
@@ -125,7 +125,10 @@ class Scanner:
     def _best(self, k: int, lines: list[str]) -> dict | None:
         own, size = self.counts[k], int(self.sizes[k])
         tokens = [words(line) for line in lines]
-        touched = [i for i, t in enumerate(tokens) if any(b in own for b in bigrams(t)) or (len(t) == 1 and any(t[0] in b for b in own))]
+        full = [i for i, t in enumerate(tokens) if t]
+        follows = dict(zip(full, [tokens[i][0] for i in full[1:]], strict=False))
+        # a passage starts where a bigram of the template does, one that goes on in the next line included
+        touched = [i for i in full if any(b in own for b in bigrams(tokens[i])) or (tokens[i][-1], follows.get(i)) in own]
         best: tuple[float, int, int] | None = None
         for first in touched:
             common, seen, count, last = 0, Counter(), 0, None
