@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, ship, stored
+from .common import partitions, release, ship, stored
 
 WIDTH, COORDINATES, BLOCK = 5, 125, 256
 _EMPTY = np.uint64(2**64 - 1)
@@ -141,6 +141,7 @@ def sketch_documents(docs: DataFrame, percent: int, width: int = WIDTH, id_col:
                 keys.append(bands(coordinates, r))
                 short.append(coordinates.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["id", "n", "class", "bands", "short"])
+        release()
 
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     return rows.mapInArrow(run, "id long, n long, class binary, bands array<long>, short binary")

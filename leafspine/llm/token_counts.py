@@ -23,7 +23,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, ship
+from .common import release, scratch, ship, stored
 
 #: Chunks whose counts a worker remembers, in two generations of this many.
 MEMO = 300_000
@@ -137,6 +137,8 @@ def encode_misses(misses: DataFrame, path: str) -> DataFrame:
             for i in range(0, len(texts), 250):
                 counts = _COUNTERS[kind, at].count(texts.slice(i, 250).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 250), pa.array(counts, pa.int64())], names=["content_digest", "n_tokens"])
+        _COUNTERS.clear()  # with what it remembers; a worker that waits for its next task holds little
+        release()
 
     return misses.select("content_digest", "text").mapInArrow(encode, "content_digest binary, n_tokens long")
 
@@ -163,4 +165,5 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
     counted = encode_misses(misses, tokenizer_path)
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("content_digest"))
-    return rows.join(cached(cache_path), "content_digest").select("doc_id", "n_bytes", "n_tokens")
+    counts = stored(cached(cache_path), "token-counts")  # a plain table: both sides of the join can be split where copies pile up
+    return rows.join(counts, "content_digest").select("doc_id", "n_bytes", "n_tokens")
