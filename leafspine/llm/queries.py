@@ -123,6 +123,17 @@ select d.doc_id, cast(len(d.ws) as bigint) as n_words, cast(coalesce(c.n_hit, 0)
   cast(coalesce(i.n_items, 0) as bigint) as n_items, sha256(coalesce(i.ids, '')) as items_sha256,
   coalesce(c.n_hit, 0) > 0 as contaminated
 from dw d left join covered c on d.doc_id = c.doc_id left join items i on d.doc_id = i.doc_id""",
+    "op6_minhash": f"""
+with recursive w as (select doc_id, list_filter(string_split_regex({_LOWER.format("coalesce(text, '')")}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents),
+s as (select distinct doc_id, array_to_string(ws[i:i + 4], ' ') as g from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) as i from w where len(ws) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 85 * (x.n + y.n - k)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select a as doc_id, b as r from edges union select reach.doc_id, e.b from reach join edges e on e.a = reach.r),
+least_ids as (select doc_id, min(r) as r from reach group by doc_id)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(l.r, d.doc_id)) as component_id, d.doc_id = least(d.doc_id, coalesce(l.r, d.doc_id)) as kept
+from documents d left join n on n.doc_id = d.doc_id left join least_ids l on l.doc_id = d.doc_id""",
     "op9_line_dedup": f"""
 with lines as (
   select doc_id, pos, line, trim({_LOWER.format("line")}, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as key
