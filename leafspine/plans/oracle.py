@@ -390,3 +390,12 @@ select doc_id, prio, n, 'way' || prio || case when n < 2 then ' (备选)' else '
 select doc_id, (row_number() over (partition by doc_id order by file_idx, position))::int as chapter_index, title, 1 as level, n_files, word_count from b where word_count > 0""",
     "epub_mojibake_ratio": "select doc_id, round(length(regexp_replace(text, '[^\\x{80}-\\x{24f}]', '', 'g')) / length(regexp_replace(text, '\\P{L}', '', 'g')), 9) as ratio from documents",
 }
+
+#: Extensions with the reader that takes them first, as one list.
+_FORMATS = (
+    "pdf pdf,epub epub,docx docx,doc docx,html html,htm html,xhtml html,md markdown,markdown markdown,mdown markdown,mkd markdown,mkdn markdown,json json,jsonl json,csv csv,tsv csv,tab csv,"
+    "xml xml,xht xml,rss xml,atom xml,opml xml,rtf rtf,txt txt"
+)
+_CODE = "py pyw pyi pyc pyo js jsx ts tsx mjs cjs java class jar c cpp cc cxx h hpp hxx cs csx go rs rlib rb rbw php php3 php4 php5 phtml swift kt kts scala sc pl pm sh bash zsh fish ps1 psm1 sql css scss sass less yaml yml toml ini conf cfg properties env"
+ORACLE_SQL["supported_formats"] = f"""select string_split(x, ' ')[1] as ext, string_split(x, ' ')[2] as reader from (select unnest(string_split('{_FORMATS}', ',')) as x)
+union all select unnest(string_split('{_CODE}', ' ')), 'code'"""
