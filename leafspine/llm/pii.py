@@ -80,10 +80,11 @@ HOMOGLYPHS = dict(
 )
 #: Characters that are not seen.
 INVISIBLE = "­​‌‍⁠﻿"
-#: The digits 0 to 9 in four languages.
+#: The digits 0 to 9 in four languages, with the spoken zero.
 SPELLED = {
     w: str(i)
     for names in (
+        "oh one two three four five six seven eight nine",
         "zero one two three four five six seven eight nine",
         "null eins zwei drei vier fünf sechs sieben acht neun",
         "zéro un deux trois quatre cinq six sept huit neuf",
@@ -113,6 +114,9 @@ _ODD = re.compile("[" + "".join(map(re.escape, sorted(c for c in LETTERS if c <=
 _BRACKETED = re.compile(rf"(?:[ \t]{{1,3}})?[\[({{<]\s{{0,3}}(?:(@|(?:{AT}))|(\.|(?:{DOT})))\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
 _BARE_DOT = re.compile(rf"[ \t]{{1,3}}\b(?:{DOT})\b[ \t]{{1,3}}(?=[A-Za-z0-9])", re.I)
 _BARE_AT = re.compile(rf"[ \t]{{1,3}}(?:{AT})[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:\.[A-Za-z0-9-]{{1,63}}){{0,8}}(?:[ \t]{{1,3}}(?:{DOT})[ \t]{{1,3}}[A-Za-z0-9]|\s{{0,3}}[\[({{<]\s{{0,3}}(?:{DOT}|\.)\s{{0,3}}[\])}}>]))", re.I)
+_JOINED = re.compile(r"([-_*])(?:(at)|dot)\1", re.I)
+_SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:[ \t]{1,3}@[ \t]{0,3}|@[ \t]{1,3})(?=[A-Za-z0-9-]{1,63}\.[A-Za-z0-9])")
+_MARKED_WORDS = [f"{c}{w}{c}" for c in "-_*" for w in ("at", "dot")]
 _WORD_DIGIT = "|".join(sorted((f"[{w[0]}{w[0].upper()}]{w[1:]}" for w in SPELLED), key=len, reverse=True))
 _DIGIT_RUN = re.compile(rf"(?:\bplus[ \t]{{1,3}})?\b(?:{_WORD_DIGIT})(?:[ \t,.-]{{1,3}}(?:{_WORD_DIGIT}|[0-9]{{1,4}})){{3,}}\b")
 _DIGIT_PART = re.compile(rf"plus|{_WORD_DIGIT}|[0-9]|[.]", re.I)
@@ -172,6 +176,10 @@ def deobfuscate(text: str) -> Traced | None:
         steps += [(_BARE_AT, _whole(lambda m: "@"))] if dotted or "." in low else []
         steps += [(_BRACKETED, _whole(lambda m: "@" if m.group(1) else "."))] if bracket else []
         steps += [(_BARE_DOT, _whole(lambda m: "."))] if dotted else []
+    if any(w in low for w in _MARKED_WORDS):
+        steps.append((_JOINED, _whole(lambda m: "@" if m.group(2) else ".")))
+    if " @" in low or "@ " in low:
+        steps.append((_SPACED_AT, _whole(lambda m: "@")))
     if not steps:
         return None
     traced = steps.pop(0) if isinstance(steps[0], Traced) else None
