@@ -373,6 +373,8 @@ def test_base_spans(text):
     ("bob＠mail.example.com", "email", "bob＠mail.example.com", "bob@mail.example.com"),
     ("call plus one five five five one two three four five six seven!", "phone", "plus one five five five one two three four five six seven", "+15551234567"),
     ("at 192[.]168(dot)0 dot 12 up", "ip", "192[.]168(dot)0 dot 12", "192.168.0.12"),
+    ("or ann_at_example_dot_org", "email", "ann_at_example_dot_org", "ann@example.org"),
+    ("to ann @ mail.example.org", "email", "ann @ mail.example.org", "ann@mail.example.org"),
     ("４１１１ １１１１ １１１１ １１１１", "card", "４１１１ １１１１ １１１１ １１１１", "4111 1111 1111 1111"),
     ("4111 1111​ 1111 1111", "card", "4111 1111​ 1111 1111", "4111 1111 1111 1111"),
 ])
