@@ -65,3 +65,9 @@ def code_documents(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split("content", "\n", -1), lambda x: strip(x) != "")
     info = F.concat(F.lit("文件: "), F.col("name"), F.lit("\n语言: "), language("ext"))
     return docs.select("doc_id", F.concat(F.lit("代码: "), F.col("name")).alias("title"), info.alias("info"), language("ext").alias("language"), F.length("content").cast("long").alias("word_count"), F.size(lines).cast("long").alias("paragraph_count"))
+
+
+def comments(lines: DataFrame) -> DataFrame:
+    """Comments of lines (doc_id, ext, pos, line) by the family of the extension."""
+    own = lambda exts: lines.filter(F.col("ext").isin(*exts)).drop("ext")
+    return hash_comments(own(HASH_FAMILY)).unionByName(slash_comments(own(SLASH_FAMILY))).unionByName(markup_comments(own(MARKUP_FAMILY)))

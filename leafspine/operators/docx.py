@@ -66,14 +66,24 @@ def classify(paras: DataFrame) -> DataFrame:
     return s.withColumn("subheading_level", F.when(F.col("is_chapter_title"), 0).otherwise(sub))
 
 
-def chapters(classified: DataFrame) -> DataFrame:
-    """doc_id, chapter_index, title, word_count, paragraph_count; what stands before the first chapter is dropped, a
-    document without one is a chapter named by its first paragraph. The first paragraph isn't content unless alone."""
+def _segmented(classified: DataFrame) -> DataFrame:
     s = classified.withColumn("seg", running_segment(F.col("is_chapter_title")))
     s = s.withColumn("any", F.max("seg").over(Window.partitionBy("doc_id")) > 0).filter("not any or seg >= 1")
     inside = Window.partitionBy("doc_id", "seg")
     s = s.withColumns({"rn": F.row_number().over(inside.orderBy("pos")), "size": F.count(F.lit(1)).over(inside)})
-    s = s.withColumn("content", (F.col("rn") > 1) | (F.col("size") == 1))
+    return s.withColumn("content", (F.col("rn") > 1) | (F.col("size") == 1))
+
+
+def chapter_blocks(classified: DataFrame) -> DataFrame:
+    """doc_id, chapter_index, pos, type, text, level of what chapters hold."""
+    s = _segmented(classified).withColumn("chapter_index", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seg")))
+    return s.filter("content").select("doc_id", "chapter_index", "pos", F.when(F.col("subheading_level") > 0, "heading").otherwise("paragraph").alias("type"), "text", F.col("subheading_level").alias("level"))
+
+
+def chapters(classified: DataFrame) -> DataFrame:
+    """doc_id, chapter_index, title, word_count, paragraph_count; what stands before the first chapter is dropped, a
+    document without one is a chapter named by its first paragraph. The first paragraph isn't content unless alone."""
+    s = _segmented(classified)
     made = s.groupBy("doc_id", "seg").agg(
         F.substr(F.min_by("text", "pos"), F.lit(1), F.when(F.max("any"), 100).otherwise(50)).alias("title"), F.coalesce(F.sum(F.when(F.col("content"), F.length("text"))), F.lit(0)).cast("long").alias("word_count"),
         F.count_if(F.col("content") & (F.col("subheading_level") == 0)).alias("paragraph_count"),

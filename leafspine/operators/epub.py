@@ -183,12 +183,26 @@ def content_ranges(chapters: DataFrame, files: DataFrame) -> DataFrame:
 def build(chapters: DataFrame, files: DataFrame) -> DataFrame:
     """doc_id, chapter_index, title (100 characters at most), level, n_files, word_count of chapters that have text;
     files are (doc_id, file_path, text)."""
+    return build_ranges(chapters, files).drop("file_idx", "until")
+
+
+def build_ranges(chapters: DataFrame, files: DataFrame) -> DataFrame:
+    """The built chapters with the range of files that each covers."""
     spans = content_ranges(chapters, files)
     numbered = files.select("doc_id", F.col("text"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("file_path")) - 1).alias("idx"))
     inside = spans.join(numbered, "doc_id").filter("idx >= file_idx and idx < until")
-    made = inside.groupBy("doc_id", "file_idx", "position", "enc_pos", "title", "level").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).cast("long").alias("word_count")).filter("word_count > 0")
+    made = inside.groupBy("doc_id", "file_idx", "until", "position", "enc_pos", "title", "level").agg(F.count(F.lit(1)).alias("n_files"), F.sum(F.length("text")).cast("long").alias("word_count")).filter("word_count > 0")
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("file_idx", "position", "enc_pos"))
-    return made.select("doc_id", n.alias("chapter_index"), F.substr("title", F.lit(1), F.lit(100)).alias("title"), "level", "n_files", "word_count")
+    return made.select("doc_id", n.alias("chapter_index"), F.substr("title", F.lit(1), F.lit(100)).alias("title"), "level", "n_files", "word_count", "file_idx", "until")
+
+
+def chapter_blocks(built: DataFrame, nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """doc_id, chapter_index, pos, type, text, level of the elements in the files of each chapter."""
+    idx = files.select("doc_id", "file_path", (F.row_number().over(Window.partitionBy("doc_id").orderBy("file_path")) - 1).alias("idx"))
+    own = blocks(nodes).join(idx, ["doc_id", "file_path"])
+    inside = own.join(built.select("doc_id", "chapter_index", "file_idx", "until"), "doc_id").filter("idx >= file_idx and idx < until")
+    pos = F.row_number().over(Window.partitionBy("doc_id", "chapter_index").orderBy("idx", "pos")) - 1
+    return inside.withColumn("pos", pos).select("doc_id", "chapter_index", "pos", "type", "text", "level")
 
 
 def blocks(nodes: DataFrame) -> DataFrame:

@@ -56,7 +56,12 @@ def segments(nodes: DataFrame) -> DataFrame:
 
 
 def chapters(nodes: DataFrame, dedup: bool = False) -> DataFrame:
-    """doc_id, chapter_index (from 0), title, word_count, text of nodes of whole pages.
+    """doc_id, chapter_index (from 0), title, word_count, text of nodes of whole pages."""
+    return chapter_segments(nodes, dedup).drop("seg")
+
+
+def chapter_segments(nodes: DataFrame, dedup: bool = False) -> DataFrame:
+    """The chapters with the segment that each is made of.
 
     Each element between two boundaries adds its whole text, so nested elements add theirs again; with dedup on, only
     elements whose parent lies outside the chapter do. A boundary without a title ends a chapter and starts none. A
@@ -69,9 +74,9 @@ def chapters(nodes: DataFrame, dedup: bool = False) -> DataFrame:
     made = s.filter("seg >= 1").groupBy("doc_id", "seg").agg(F.min_by("title", "pos").alias("title"), joined(F.when(shown, F.col("text")), "").alias("flat"), joined(F.when(shown, F.col("lines")), "\n").alias("text"))
     made = made.filter(F.col("title").isNotNull() & has_substance("flat", "title"))
     made = made.withColumn("word_count", mixed_word_count("text")).filter("word_count > 0")
-    made = made.withColumn("chapter_index", F.row_number().over(ordered(pos="seg")) - 1).select("doc_id", "chapter_index", "title", "word_count", "text")
+    made = made.withColumn("chapter_index", F.row_number().over(ordered(pos="seg")) - 1).select("doc_id", "seg", "chapter_index", "title", "word_count", "text")
     headless = s.withColumn("top", F.max("seg").over(Window.partitionBy("doc_id"))).filter("top = 0 and tag = 'body'")
-    body = headless.withColumn("rn", F.row_number().over(ordered())).filter("rn = 1").select("doc_id", F.lit(0).alias("chapter_index"), F.lit("正文").alias("title"), mixed_word_count("lines").alias("word_count"), F.col("lines").alias("text"))
+    body = headless.withColumn("rn", F.row_number().over(ordered())).filter("rn = 1").select("doc_id", "seg", F.lit(0).alias("chapter_index"), F.lit("正文").alias("title"), mixed_word_count("lines").alias("word_count"), F.col("lines").alias("text"))
     return made.unionByName(body.filter("word_count > 0"))
 
 

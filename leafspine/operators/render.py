@@ -87,7 +87,7 @@ def write_markdown(rendered: DataFrame, directory: str) -> DataFrame:
                 files.append(os.path.join(folder, name))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.string())], names=["doc_id", "file"])
 
-    return rendered.select("doc_id", "file_name", "markdown").mapInArrow(run, "doc_id long, file string")
+    return rendered.select("doc_id", "file_name", "markdown").mapInArrow(run, f"doc_id {dict(rendered.dtypes)['doc_id']}, file string")
 
 
 def summary(files: DataFrame, chapters: DataFrame, requested: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CHAPTER, SPACE, strip
@@ -101,15 +101,26 @@ def blocks(lines: DataFrame) -> DataFrame:
     )
 
 
-def chapters(blocks: DataFrame, is_boundary=None, preamble: bool = True, first_index: int = 1) -> DataFrame:
+def _titled(blocks: DataFrame, is_boundary=None) -> DataFrame:
+    boundary = (F.col("type") == "heading") & ((F.col("level") == 1) | F.col("text").rlike(CHAPTER)) if is_boundary is None else is_boundary
+    seg = blocks.withColumn("seg", running_segment(boundary))
+    inside = Window.partitionBy("doc_id", "seg").orderBy("pos")
+    return seg.withColumn("is_title", (F.row_number().over(inside) == 1) & (F.col("type") == "heading"))
+
+
+def chapter_blocks(blocks: DataFrame, is_boundary=None) -> DataFrame:
+    """The blocks with the index of their chapter, without those that are its title."""
+    numbered = _titled(blocks, is_boundary).withColumn("chapter_index", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seg")))
+    return numbered.filter(~F.col("is_title")).drop("seg", "is_title")
+
+
+def chapters(blocks: DataFrame, is_boundary=None) -> DataFrame:
     """doc_id, chapter_index, title, level, word_count, paragraph_count from blocks (doc_id, pos, type, text, level).
 
     A boundary starts a chapter; blocks before the first are a chapter of their own. The first block is the title if
     it is a heading and doesn't count; other chapters are named by their number.
     """
-    boundary = (F.col("type") == "heading") & ((F.col("level") == 1) | F.col("text").rlike(CHAPTER)) if is_boundary is None else is_boundary
-    seg = blocks.withColumn("seg", running_segment(boundary))
-    titled = seg.withColumn("rn", F.row_number().over(_inside())).withColumn("is_title", (F.col("rn") == 1) & (F.col("type") == "heading"))
+    titled = _titled(blocks, is_boundary)
     made = titled.groupBy("doc_id", "seg").agg(
         F.max(F.when(F.col("is_title"), F.col("text"))).alias("title"), F.min("pos").alias("pos"),
         F.coalesce(F.sum(F.when(~F.col("is_title"), F.length("text"))), F.lit(0)).cast("long").alias("word_count"),
@@ -119,11 +130,5 @@ def chapters(blocks: DataFrame, is_boundary=None, preamble: bool = True, first_i
     return made.select("doc_id", "chapter_index", F.coalesce("title", F.concat(F.lit("章节 "), F.col("chapter_index").cast("string"))).alias("title"), F.lit(1).alias("level"), "word_count", "paragraph_count")
 
 
-def _inside():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("doc_id", "seg").orderBy("pos")
-
-
 def doc_totals(chapters: DataFrame) -> DataFrame:
     return chapters.groupBy("doc_id").agg(F.sum("word_count").cast("long").alias("total_words"), F.count(F.lit(1)).alias("total_chapters"), F.sum("paragraph_count").cast("long").alias("total_paragraphs"))

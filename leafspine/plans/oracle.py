@@ -399,3 +399,12 @@ _FORMATS = (
 _CODE = "py pyw pyi pyc pyo js jsx ts tsx mjs cjs java class jar c cpp cc cxx h hpp hxx cs csx go rs rlib rb rbw php php3 php4 php5 phtml swift kt kts scala sc pl pm sh bash zsh fish ps1 psm1 sql css scss sass less yaml yml toml ini conf cfg properties env"
 ORACLE_SQL["supported_formats"] = f"""select string_split(x, ' ')[1] as ext, string_split(x, ' ')[2] as reader from (select unnest(string_split('{_FORMATS}', ',')) as x)
 union all select unnest(string_split('{_CODE}', ' ')), 'code'"""
+
+_DOC_CHAPTERS = measured(_TOC_MATCH) + _PDF_CHAPTERS[len(_PDF) :]
+ORACLE_SQL["pdf_document_chapters"] = f"""with {_DOC_CHAPTERS},
+y1 as (select *, count(idx) over (partition by doc_id) as found from matched),
+y2 as (select *, (row_number() over (partition by doc_id order by toc_pos))::int as chapter_index, lead(idx) over (partition by doc_id order by toc_pos) as stop from y1 where found >= 3 and idx is not null),
+y3 as (select y2.doc_id, chapter_index, sum(length(replace(replace(text, ' ', ''), chr(10), '')))::bigint as wc, count(*) filter (where b.pos > idx and (body_sized or period or ratio < 1.15)) as pc
+  from y2 join based b on b.doc_id = y2.doc_id and b.pos >= idx and (stop is null or b.pos < stop) group by 1, 2)
+select doc_id, chapter_index, title, level, coalesce(wc, 0)::bigint as word_count, coalesce(pc, 0)::bigint as paragraph_count from y2 left join y3 using (doc_id, chapter_index)
+union all select doc_id, (row_number() over (partition by doc_id order by seg))::int, title, level, word_count, paragraph_count from n4 where doc_id not in (select doc_id from y2)"""

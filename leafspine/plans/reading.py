@@ -1,4 +1,5 @@
-"""Reading files: the rows of the binaryFile source (path, content, length) to chapters, each format by its operators.
+"""Reading files: the rows of the binaryFile source (path, content, length) to chapters and blocks, each format by its
+operators.
 
 Files are split by reader once; each branch is a plan of its own and all are united. Formats that need a native parser
 (laid-out pages, images) enter as relations of lines instead: ``operators.pdf`` and ``operators.ocr``.
@@ -11,61 +12,122 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import code, dispatch, docx, epub, html, markdown, markup, tabular, txt
+from ..operators import code, dispatch, docx, epub, html, markdown, markup, render, tabular, txt
 from ..sources import containers, parse
 from ..sources import html as sources_html
 
-COLUMNS = ["path", "chapter_index", "title", "word_count"]
-
-
-def _shaped(chapters: DataFrame) -> DataFrame:
-    path = "doc_id" if "doc_id" in chapters.columns else "path"
-    return chapters.select(F.col(path).cast("string").alias("path"), F.col("chapter_index").cast("int").alias("chapter_index"), "title", F.col("word_count").cast("long").alias("word_count"))
-
-
-def _ids(texts: DataFrame) -> DataFrame:
-    """Parsers in ``sources`` name documents by numbers."""
-    return texts.withColumn("n", F.xxhash64("path"))
-
-
-def _back(chapters: DataFrame, ids: DataFrame) -> DataFrame:
-    return chapters.join(ids.select(F.col("n").alias("doc_id"), "path"), "doc_id").drop("doc_id")
+Parts = list[DataFrame]
+
+
+def _chapters(df: DataFrame) -> DataFrame:
+    path = "path" if "path" in df.columns else "doc_id"
+    return df.select(F.col(path).cast("string").alias("path"), F.col("chapter_index").cast("int").alias("chapter_index"), "title", F.col("word_count").cast("long").alias("word_count"))
+
+
+def _blocks(df: DataFrame) -> DataFrame:
+    path = "path" if "path" in df.columns else "doc_id"
+    level = F.col("level").cast("int") if "level" in df.columns else F.lit(0)
+    pos = F.col("pos").cast("int") if "pos" in df.columns else F.lit(0)
+    kind = F.col("type") if "type" in df.columns else F.lit("paragraph")
+    return df.select(F.col(path).cast("string").alias("path"), F.col("chapter_index").cast("int").alias("chapter_index"), pos.alias("pos"), kind.alias("type"), "text", level.alias("level"))
+
+
+class Reading:
+    """The plans for a set of files; nothing runs before a result is asked for."""
+
+    def __init__(self, files: DataFrame):
+        self.files = files.withColumns({"reader": dispatch.reader("path"), "ext": dispatch.extension("path")})
+
+    def _texts(self, name: str, encodings=parse.UTF8_FIRST, lenient: bool = False) -> DataFrame:
+        return parse.decoded(self.files.filter(F.col("reader") == name), encodings, lenient).filter("text is not null")
+
+    @staticmethod
+    def _numbered(texts: DataFrame) -> DataFrame:
+        """Parsers in ``sources`` name documents by numbers."""
+        return texts.withColumn("n", F.xxhash64("path"))
+
+    @staticmethod
+    def _named(rows: DataFrame, numbered: DataFrame) -> DataFrame:
+        return rows.join(numbered.select(F.col("n").alias("doc_id"), "path"), "doc_id").drop("doc_id")
+
+    def _txt(self) -> tuple[Parts, Parts]:
+        b = txt.blocks(txt.split_lines(self._texts("txt"), "text", "path"))
+        return [txt.chapters(b)], [txt.chapter_blocks(b)]
+
+    def _markdown(self) -> tuple[Parts, Parts]:
+        """A file that is no UTF-8 isn't looked into: it is one chapter."""
+        md = self._texts("markdown")
+        lines = txt.split_lines(md.filter("encoding = 'utf-8'"), "text", "path")
+        b = markdown.blocks(lines)
+        rest = markdown.whole(md.select(F.col("path").alias("doc_id"), "text"), lines)
+        whole = rest.select("doc_id", "chapter_index").join(md.select(F.col("path").alias("doc_id"), "text"), "doc_id")
+        return [markdown.chapters(b), rest], [b.filter("seg >= 1").withColumnRenamed("seg", "chapter_index"), whole]
+
+    def _html(self) -> tuple[Parts, Parts]:
+        pages = self._numbered(self._texts("html", ("utf-8",)))
+        nodes = sources_html.nodes(pages.select(F.col("n").alias("doc_id"), F.col("path").alias("file_path"), html.without_scripts("text").alias("html")))
+        chapters = html.chapter_segments(nodes)
+        b = html.blocks(nodes).join(chapters.select("doc_id", "seg", "chapter_index"), ["doc_id", "seg"])
+        return [self._named(chapters, pages)], [self._named(b, pages)]
+
+    def _json(self) -> tuple[Parts, Parts]:
+        js = self._numbered(self._texts("json"))
+        chapters = self._named(parse.json_chapters(js.select(F.col("n").alias("doc_id"), F.col("text").alias("content"))), js)
+        return [chapters], [chapters]
+
+    def _csv(self) -> tuple[Parts, Parts]:
+        cs = self._numbered(self._texts("csv"))
+        rows = parse.csv_rows(cs.select(F.col("n").alias("doc_id"), dispatch.extension("path").alias("ext"), F.col("text").alias("content")))
+        head, chunks = (self._named(x, cs) for x in (tabular.csv_header(rows), tabular.csv_chunks(rows)))
+        captions = chunks.select("path", "chapter_index", F.lit(0).alias("pos"), F.lit("table").alias("type"), F.col("caption").alias("text"))
+        return [head, chunks], [head, captions, chunks.withColumn("pos", F.lit(1))]
+
+    def _markup(self) -> tuple[Parts, Parts]:
+        xml = markup.xml_chapters(self._texts("xml").select(F.col("path").alias("doc_id"), F.col("text").alias("content")))
+        source = self._texts("rtf", ("utf-8",), True).select(F.col("path").alias("doc_id"), F.col("text").alias("content"))
+        rtf = markup.rtf_chapters(source)
+        lines = source.select("doc_id", markup.rtf_text("content").alias("text"))
+        return [xml, rtf], [xml, rtf.filter("paragraph_count > 0").select("doc_id", "chapter_index").join(lines, "doc_id")]
+
+    def _code(self) -> tuple[Parts, Parts]:
+        source = self._texts("code", parse.CODE_ENCODINGS)
+        source = source.select(F.col("path").alias("doc_id"), dispatch.file_name("path").alias("name"), dispatch.extension("path").alias("ext"), F.col("text").alias("content"))
+        docs = code.code_documents(source).withColumn("chapter_index", F.lit(1))
+        lines = source.select("doc_id", "ext", F.posexplode(F.split("content", "\n", -1)).alias("pos", "line"))
+        quotes = code.comments(lines).select("doc_id", F.lit(1).alias("chapter_index"), (F.col("pos") + 1).alias("pos"), F.lit("quote").alias("type"), F.col("comment").alias("text"))
+        info = docs.select("doc_id", "chapter_index", F.lit(0).alias("pos"), F.col("info").alias("text"))
+        full = source.select("doc_id", F.lit(1).alias("chapter_index"), F.lit(2**31 - 1).alias("pos"), F.lit("code").alias("type"), F.col("content").alias("text"))
+        return [docs], [info, quotes, full]
+
+    def _docx(self) -> tuple[Parts, Parts]:
+        s = docx.classify(docx.paragraphs_from_runs(containers.word_runs(self.files.filter("reader = 'docx'"))))
+        return [docx.chapters(s)], [docx.chapter_blocks(s)]
+
+    def _epub(self) -> tuple[Parts, Parts]:
+        books = self._numbered(containers.book_files(self.files.filter("reader = 'epub'"))).select("n", "path", "file_path", "html")
+        nodes = sources_html.nodes(books.select(F.col("n").alias("doc_id"), "file_path", "html"))
+        plain, ids = epub.plain_texts(nodes), books.select("n", "path").distinct()
+        built = epub.build_ranges(epub.cascade(nodes, plain, plain.select("doc_id", "file_path")), plain)
+        return [self._named(built, ids)], [self._named(epub.chapter_blocks(built, nodes, plain), ids)]
+
+    def _all(self) -> list[tuple[Parts, Parts]]:
+        return [f() for f in (self._txt, self._markdown, self._html, self._json, self._csv, self._markup, self._code, self._docx, self._epub)]
+
+    def chapters(self) -> DataFrame:
+        """path, chapter_index, title, word_count of every file that has a reader and text."""
+        return reduce(DataFrame.unionByName, [_chapters(c) for cs, _ in self._all() for c in cs])
+
+    def blocks(self) -> DataFrame:
+        """path, chapter_index, pos, type, text, level of what the chapters hold."""
+        return reduce(DataFrame.unionByName, [_blocks(b) for _, bs in self._all() for b in bs])
+
+    def markdown(self, made_at: str, footer: str = "") -> DataFrame:
+        """path, chapter_index, title, file_name, markdown, display_count: a Markdown file for each chapter."""
+        bodies = render.bodies(self.blocks().withColumnRenamed("path", "doc_id"))
+        chapters = self.chapters().select(F.col("path").alias("doc_id"), "chapter_index", "title", F.lit(1).alias("level"), F.lit(None).cast("string").alias("hierarchy_path"))
+        made = render.render(chapters.join(bodies, ["doc_id", "chapter_index"], "left"), made_at, footer)
+        return made.select(F.col("doc_id").alias("path"), "chapter_index", "title", "file_name", "markdown", "display_count")
 
 
 def read_chapters(files: DataFrame) -> DataFrame:
-    """path, chapter_index, title, word_count of every file that has a reader and text."""
-    routed = files.withColumn("reader", dispatch.reader("path")).withColumn("ext", dispatch.extension("path"))
-
-    def texts(name: str, encodings=parse.UTF8_FIRST, lenient: bool = False) -> DataFrame:
-        return parse.decoded(routed.filter(F.col("reader") == name), encodings, lenient).filter("text is not null")
-
-    lines = txt.split_lines(texts("txt"), "text", "path")
-    md = texts("markdown")
-    md_lines = txt.split_lines(md, "text", "path")
-    pages = _ids(texts("html", ("utf-8",)))
-    nodes = sources_html.nodes(pages.select(F.col("n").alias("doc_id"), F.col("path").alias("file_path"), html.without_scripts("text").alias("html")))
-    js, cs = _ids(texts("json")), _ids(texts("csv"))
-    rows = parse.csv_rows(cs.select(F.col("n").alias("doc_id"), dispatch.extension("path").alias("ext"), F.col("text").alias("content")))
-    source = texts("code", parse.CODE_ENCODINGS)
-    source = source.select(F.col("path").alias("doc_id"), dispatch.file_name("path").alias("name"), dispatch.extension("path").alias("ext"), F.col("text").alias("content"))
-    runs = containers.word_runs(routed.filter("reader = 'docx'"))
-    books = containers.book_files(routed.filter("reader = 'epub'"))
-    book_ids = _ids(books).select("n", "path", "file_path", "html")
-    book_nodes = sources_html.nodes(book_ids.select(F.col("n").alias("doc_id"), "file_path", "html"))
-    plain = epub.plain_texts(book_nodes)
-    book_chapters = epub.build(epub.cascade(book_nodes, plain, plain.select("doc_id", "file_path")), plain)
-    parts = [
-        txt.chapters(txt.blocks(lines)),
-        markdown.chapters(markdown.blocks(md_lines)),
-        markdown.whole(md.select(F.col("path").alias("doc_id"), "text"), md_lines),
-        _back(html.chapters(nodes), pages),
-        _back(parse.json_chapters(js.select(F.col("n").alias("doc_id"), F.col("text").alias("content"))), js),
-        _back(tabular.csv_header(rows), cs),
-        _back(tabular.csv_chunks(rows), cs),
-        markup.xml_chapters(texts("xml").select(F.col("path").alias("doc_id"), F.col("text").alias("content"))),
-        markup.rtf_chapters(texts("rtf", ("utf-8",), True).select(F.col("path").alias("doc_id"), F.col("text").alias("content"))),
-        code.code_documents(source).withColumn("chapter_index", F.lit(1)),
-        docx.chapters(docx.classify(docx.paragraphs_from_runs(runs))),
-        _back(book_chapters, book_ids.select("n", "path").distinct()),
-    ]
-    return reduce(DataFrame.unionByName, map(_shaped, parts))
+    return Reading(files).chapters()

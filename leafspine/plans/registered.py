@@ -273,6 +273,12 @@ def pdf_toc_chapters(spark, sf_dir):
     return pdf.toc_chapters(lines, pdf.toc_match(lines, pdf.toc(lines)))
 
 
+@query
+def pdf_document_chapters(spark, sf_dir):
+    """By contents pages where they are found, by sizes elsewhere."""
+    return pdf.document_chapters(_toc(spark, sf_dir))
+
+
 # Word paragraphs
 
 

@@ -16,18 +16,22 @@ CODE_ENCODINGS = ("utf-8", "gbk", "gb2312", "latin-1", "cp1252")
 BOOK_ENCODINGS = ("utf-8", "gbk", "gb2312", "gb18030", "big5")
 
 
-def decode(data: bytes, encodings: tuple[str, ...] = UTF8_FIRST, lenient: bool = False) -> str:
-    """The text by the first encoding that fits; lenient: bytes that are no UTF-8 are left out if none does."""
+def decode_as(data: bytes, encodings: tuple[str, ...] = UTF8_FIRST, lenient: bool = False) -> tuple[str, str]:
+    """The text and the first encoding that fits; lenient: bytes that are no UTF-8 are left out if none does."""
     for name in encodings:
         try:
-            return data.decode(name)
+            return data.decode(name), name
         except UnicodeDecodeError:
             continue
     if lenient:
-        return data.decode("utf-8", "ignore")
+        return data.decode("utf-8", "ignore"), "utf-8-ignore"
     raise ValueError("no encoding fits")
 
 
+def decode(data: bytes, encodings: tuple[str, ...] = UTF8_FIRST, lenient: bool = False) -> str:
+    return decode_as(data, encodings, lenient)[0]
+
+
 def as_text(value) -> str:
     """Text of a JSON value: ``key: value`` and ``[i] value`` lines, scalars as Python writes them."""
     if isinstance(value, str):
@@ -93,20 +97,20 @@ def csv_rows(docs: DataFrame) -> DataFrame:
 
 
 def decoded(files: DataFrame, encodings: tuple[str, ...] = UTF8_FIRST, lenient: bool = False) -> DataFrame:
-    """files (as the binaryFile source gives them: path, length, content) with ``text`` instead of the bytes. Files
-    whose bytes fit no encoding have a null text."""
+    """files (as the binaryFile source gives them: path, length, content) with ``text`` and ``encoding`` instead of the
+    bytes. Files whose bytes fit no encoding have null ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = []
+            found = []
             for data in batch.column(1).to_pylist():
                 try:
-                    texts.append(decode(data, encodings, lenient))
+                    found.append(decode_as(data, encodings, lenient))
                 except ValueError:
-                    texts.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["path", "text"])
+                    found.append((None, None))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1))], names=["path", "text", "encoding"])
 
-    return files.select("path", "content").mapInArrow(run, "path string, text string")
+    return files.select("path", "content").mapInArrow(run, "path string, text string, encoding string")
 
 
 def repair_mojibake(text: str) -> str:

@@ -189,12 +189,16 @@ def book_file():
 
 def test_reading_files(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    files = {"a.txt": "x\n# A\ny".encode(), "b.md": b"# M\nz", "c.json": b'{"k": "v"}', "d.csv": b"a,b\n1,2", "e.py": b"# c\nx", "f.docx": word_file(), "g.epub": book_file(), "h.rtf": rb"{\rtf1 }abc", "i.xml": b"<item>q</item>", "j.html": b"<body><h1>T</h1><p>a b c d e f</p></body>", "k.docx": b"broken", "l.png": b"?"}
+    files = {"a.txt": "x\n# A\ny".encode(), "b.md": b"# M\nz", "c.json": b'{"k": "v"}', "d.csv": b"a,b\n1,2", "e.py": b"# c\nx", "f.docx": word_file(), "g.epub": book_file(), "h.rtf": rb"{\rtf1 }abc", "i.xml": b"<item>q</item>", "j.html": b"<body><h1>T</h1><p>a b c d e f</p></body>", "k.docx": b"broken", "l.png": b"?", "m.md": "# 第一章".encode("gbk")}
     for name, data in files.items():
         (tmp_path / "in" / name).write_bytes(data)
     df = spark.read.format("binaryFile").load(str(tmp_path / "in"))
     got = {(r.path.rsplit("/", 1)[1], r.chapter_index, r.title) for r in reading.read_chapters(df).collect()}
-    assert {("a.txt", 1, "章节 1"), ("a.txt", 2, "A"), ("b.md", 1, "M"), ("c.json", 1, "k"), ("d.csv", 1, "表头信息"), ("d.csv", 2, "数据行 1-1"), ("e.py", 1, "代码: e.py"), ("f.docx", 1, "Title"), ("g.epub", 1, "Chapter 1"), ("g.epub", 2, "Chapter 2"), ("h.rtf", 1, "全文"), ("i.xml", 1, "ITEM: q"), ("j.html", 0, "T")} == got
+    assert {("a.txt", 1, "章节 1"), ("a.txt", 2, "A"), ("b.md", 1, "M"), ("m.md", 1, "全文"), ("c.json", 1, "k"), ("d.csv", 1, "表头信息"), ("d.csv", 2, "数据行 1-1"), ("e.py", 1, "代码: e.py"), ("f.docx", 1, "Title"), ("g.epub", 1, "Chapter 1"), ("g.epub", 2, "Chapter 2"), ("h.rtf", 1, "全文"), ("i.xml", 1, "ITEM: q"), ("j.html", 0, "T")} == got
+    blocks = {(r.path.rsplit("/", 1)[1], r.chapter_index, r.type, r.text) for r in reading.Reading(df).blocks().collect()}
+    assert {("a.txt", 2, "paragraph", "y"), ("b.md", 1, "heading", "M"), ("c.json", 1, "paragraph", "v"), ("d.csv", 2, "table", "表格数据 (1 行)"), ("d.csv", 2, "paragraph", "a=1; b=2"), ("e.py", 1, "quote", "c"), ("e.py", 1, "code", "# c\nx"), ("f.docx", 1, "paragraph", "body text"), ("g.epub", 2, "heading", "Chapter 2"), ("h.rtf", 1, "paragraph", "abc"), ("i.xml", 1, "paragraph", "q"), ("j.html", 0, "paragraph", "a b c d e f"), ("m.md", 1, "paragraph", "# 第一章")} <= blocks
+    made = {r.path.rsplit("/", 1)[1]: r for r in reading.Reading(df).markdown("2025-01-01 00:00").filter("chapter_index = 1").collect()}
+    assert made["f.docx"].file_name == "1_Title.md" and "body text" in made["f.docx"].markdown
     assert {r.error is None for r in containers.readable(df.filter("path like '%k.docx'"), "docx").collect()} == {False}
 
 
