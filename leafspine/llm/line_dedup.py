@@ -44,7 +44,8 @@ def dropped_positions(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, i
     lines = stored(split.filter(F.length("line") >= min_chars).select("__id", "__hash", "pos", F.unhex(F.md5("line")).alias("key")), "lines")
     held = lines.groupBy("key", "__id").agg(F.lit(1).alias("one"))
     counted = held.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), F.max("__id").alias("last"))
-    frequent = counted.filter(F.col("docs") >= min_docs).select("key", "last")
+    # a plain table: both sides of the join can be split where a line is in very many documents
+    frequent = stored(counted.filter(F.col("docs") >= min_docs).select("key", "last"), "frequent")
     gone = lines.join(frequent, "key").filter(~F.col("__id").eqNullSafe(F.col("last")))
     return gone.groupBy("__id", "__hash").agg(F.collect_set("pos").alias("__drop"))
 
