@@ -39,11 +39,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import release, ship, stored
+from .common import partitions, release, ship, stored
 
 ORDER, CLASSES, BITS = 5, 1024, 10
 BLOCK_CHARS, CHUNK_CHARS, SHARDS = 24_000_000, 1_000_000, 96
-FOLDS, PRIOR_CHARS, HIGH, SLACK, BINS, FEW = 5, 100.0, 0.98, 1.0, 1000, 20
+FOLDS, PRIOR_CHARS, HIGH, SLACK, BINS, FEW = 5, 100.0, 0.98, 0.5, 100, 20
 #: Log probabilities travel as 16-bit steps of 1/2048 bit.
 STEP = 2048
 #: The most trusted ids that are broadcast (16 bytes each); beyond it they join by a shuffle.
@@ -251,7 +251,7 @@ def answers_for(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -
     """block, keys and bits (-log2 p) of every key in the texts of rows (with ``__trust``), from the trusted ones."""
     spark = rows.sparkSession
     ship(spark)
-    subs = max(1, rows.rdd.getNumPartitions() // 64)
+    subs = max(1, partitions(spark) // 64)  # groups of blocks, so that no task holds the requests of all
     told = stored(gather(rows, text_col, shards, subs), "grams")
     counts = told.filter("kind = 1").select("shard", "sub", "keys", "counts")
     if subs > 1:
