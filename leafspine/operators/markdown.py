@@ -15,17 +15,28 @@ BULLET, NUMBER = rf"^[-*+][{SPACE}]+(.+)$", rf"^[0-9]+\.[{SPACE}]+(.+)$"
 def blocks(lines: DataFrame) -> DataFrame:
     """doc_id, pos, type, text, level, list_ordered, seg (0 before the first chapter); a block a line. Fence marks are
     no blocks, what stands between them is read like other lines."""
-    s = lines.withColumn("s", strip("line")).filter(F.col("s") != "")
-    h1, h2, bullet, number = (F.col("s").rlike(p) for p in (H1, H2, BULLET, NUMBER))
-    fence = F.col("s").startswith("```")
-    kind = F.when(h1 | h2, "heading").when(bullet | number, "list").when(fence, None).when(F.col("s").startswith(">"), "quote").otherwise("paragraph")
-    text = F.lit(None).cast("string")
-    for test, pattern in ((number, NUMBER), (bullet, BULLET), (h2, H2), (h1, H1)):
-        text = F.when(test, strip(F.regexp_extract("s", pattern, 1))).otherwise(text)
-    text = F.when(F.col("type") == "quote", strip(F.substr("s", F.lit(2), F.length("s")))).when(F.col("type") == "paragraph", F.col("s")).otherwise(text)
-    out = s.withColumns({"type": kind, "level": F.when(h1, 1).when(h2, 2).otherwise(0)})
-    out = out.filter("type is not null").withColumns({"text": text, "list_ordered": F.when(F.col("type") == "list", ~bullet)})
-    return out.withColumn("seg", running_segment(F.col("level") == 1)).select("doc_id", "pos", "type", "text", "level", "list_ordered", "seg")
+    s = lines.withColumn("s", strip("line"))
+    t = F.col("s")
+    kind = (
+        F.when(t == "", "blank")
+        .when(t.rlike(H1), "h1")
+        .when(t.rlike(H2), "h2")
+        .when(t.rlike(BULLET), "bullet")
+        .when(t.rlike(NUMBER), "number")
+        .when(t.startswith("```"), "fence")
+        .when(t.startswith(">"), "quote")
+        .otherwise("paragraph")
+    )
+    s = s.withColumn("kind", kind)
+    k = F.col("kind")
+    text = F.when(k == "paragraph", t).when(k == "number", strip(F.regexp_extract("s", NUMBER, 1))).otherwise(strip(F.regexp_replace("s", r"^(##?|[-*+>])", "")))
+    out = s.withColumns({
+        "type": F.when(k.isin("h1", "h2"), "heading").when(k.isin("bullet", "number"), "list").otherwise(k), "level": F.when(k == "h1", 1).when(k == "h2", 2).otherwise(0),
+        "text": text, "list_ordered": F.when(k.isin("bullet", "number"), k == "number"),
+    })
+    # blank lines and fences go behind the window: before it, the test would be pushed down and the rules run twice
+    numbered = out.withColumn("seg", running_segment(F.col("level") == 1)).filter("kind not in ('blank', 'fence')")
+    return numbered.select("doc_id", "pos", "type", "text", "level", "list_ordered", "seg")
 
 
 def chapters(blocks: DataFrame) -> DataFrame:

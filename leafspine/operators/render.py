@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_count, safe_filename, strip
 from ..plans.segment import joined
+from ..sources.shipping import ship
 
 #: Marks of the first three levels.
 MARKS = {1: "【章】", 2: "【节】", 3: "【小节】"}
@@ -87,6 +88,7 @@ def write_markdown(rendered: DataFrame, directory: str) -> DataFrame:
                 files.append(os.path.join(folder, name))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.string())], names=["doc_id", "file"])
 
+    ship(rendered.sparkSession)
     return rendered.select("doc_id", "file_name", "markdown").mapInArrow(run, f"doc_id {dict(rendered.dtypes)['doc_id']}, file string")
 
 

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .parse import BOOK_ENCODINGS, decode, repair_mojibake
+from .shipping import ship
 
 _DC, _OPF, _BOX = "{http://purl.org/dc/elements/1.1/}", "{http://www.idpf.org/2007/opf}", "{urn:oasis:names:tc:opendocument:xmlns:container}"
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -81,6 +82,7 @@ def readable(files: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_failure(reader, d) for d in batch.column(1).to_pylist()], pa.string())], names=["path", "error"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "path string, error string")
 
 
@@ -95,6 +97,7 @@ def book_files(files: DataFrame) -> DataFrame:
                     columns = [[path] * len(own), list(own), list(own.values()), *([meta[k]] * len(own) for k in ("title", "creator", "publisher"))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "file_path", "html", "title", "author", "publisher"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "path string, file_path string, html string, title string, author string, publisher string")
 
 
@@ -110,4 +113,5 @@ def word_runs(files: DataFrame) -> DataFrame:
                     rows = read_word(data)
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "doc_id string, pos int, run_no int, text string, size double, bold boolean, italic boolean, font string, style_name string, alignment string")

@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shipping import ship
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Texts in these are no text of the elements around them.
 SILENT = frozenset(("script", "style"))
@@ -86,4 +88,5 @@ def nodes(files: DataFrame) -> DataFrame:
                 columns += [pa.array([n[f] for n in made], pa.int32() if f in _INTS else pa.string()) for f in _FIELDS]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file_path", *_FIELDS])
 
+    ship(files.sparkSession)
     return files.select("doc_id", "file_path", "html").mapInArrow(run, NODES)

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shipping import ship
+
 #: The keys that give an array element its title, in order.
 TITLE_KEYS = ("title", "name", "chapter", "section", "heading", "topic")
 UTF8_FIRST = ("utf-8", "gbk", "gb2312", "latin-1")
@@ -77,6 +79,7 @@ def json_chapters(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "chapter_index", "title", "text", "type", "word_count", "paragraph_count"],
             )
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "content").mapInArrow(run, "doc_id long, chapter_index int, title string, text string, type string, word_count long, paragraph_count long")
 
 
@@ -93,6 +96,7 @@ def csv_rows(docs: DataFrame) -> DataFrame:
                     cells.append(row)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(cells, pa.list_(pa.string()))], names=["doc_id", "row_no", "cells"])
 
+    ship(docs.sparkSession)
     return docs.select("doc_id", "ext", "content").mapInArrow(run, "doc_id long, row_no int, cells array<string>")
 
 
@@ -110,6 +114,7 @@ def decoded(files: DataFrame, encodings: tuple[str, ...] = UTF8_FIRST, lenient:
                     found.append((None, None))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([f[i] for f in found], pa.string()) for i in (0, 1))], names=["path", "text", "encoding"])
 
+    ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "path string, text string, encoding string")
 
 
