@@ -6,13 +6,13 @@ import ctypes
 import gc
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_SHIPPED: set[str] = set()
+from ..sources.shipping import ship as sources_ship
+
+_SET: set[str] = set()
 #: Arrow batches stay below this many rows, so that a batch of long texts stays small.
 BATCH_ROWS = "2000"
 
@@ -22,18 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker (once per application)."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
-        return
-    root = Path(__file__).resolve().parents[1]
-    target = Path(tempfile.mkdtemp(prefix="leafspine-")) / "leafspine_pkg.zip"
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(target))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-    _SHIPPED.add(app)
+    """Make this package importable in every Python worker, and keep Arrow batches small (once for an application)."""
+    if sources_ship(spark) or spark.sparkContext.applicationId not in _SET:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        _SET.add(spark.sparkContext.applicationId)
 
 
 def shared_dir(spark: SparkSession) -> str:
