@@ -42,7 +42,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .common import partitions, release, ship, stored
 
 ORDER, CLASSES, BITS = 5, 1024, 10
-BLOCK_CHARS, CHUNK_CHARS, SHARDS = 24_000_000, 1_000_000, 96
+BLOCK_CHARS, CHUNK_CHARS, SHARDS = 12_000_000, 1_000_000, 96
 FOLDS, PRIOR_CHARS, HIGH, SLACK, BINS, FEW = 5, 100.0, 0.98, 0.5, 100, 20
 #: Log probabilities travel as 16-bit steps of 1/2048 bit.
 STEP = 2048
