@@ -17,12 +17,13 @@ the orders 5, 4 and 3 of its keys need; orders 2 and 1 are one table of at most
 Trusted are documents with quality 1 and toxic 0 in labels, all of them; every ``FOLDS``-th (by hash) is held out
 of the training and gives the quantiles, so thresholds rest on text the model hasn't seen. A document is rejected
 if its bits a character, shrunk towards its language's median by ``PRIOR_CHARS`` characters, lie over the quantile
-``HIGH`` of its language by more than ``SLACK`` of the quantile's distance to the median. Quantiles are
-read off histograms of ``BINS`` bins a bit, which merge in any order to the same result. A language with fewer than
-``FEW`` held-out documents takes the quantiles of all.
+``HIGH`` of its language by more than ``SLACK`` of the quantile's distance to the median. That threshold is shrunk
+towards one ``WIDE_BITS`` higher, which weighs as much as ``PRIOR_DOCS`` held-out documents: the fewer of a language's
+documents are held out, the more is kept, by one law at every size. Other languages have no say in it. Quantiles are
+read off histograms of ``BINS`` bins a bit, which merge in any order to the same result.
 
 Defined results: a null or empty text has no characters, null bits and is kept (nothing speaks against it); a null
-language is a language; without labels nothing is trusted and everything is kept; labels of unknown ids are ignored,
+language is a language; documents of a language of which none is held out are kept, too; without labels nothing is trusted and everything is kept; labels of unknown ids are ignored,
 a document with several labels is trusted if all are; rows that repeat an id are scored each; an empty table gives
 no rows; extra columns are kept.
 """
@@ -43,7 +44,8 @@ from .common import partitions, release, ship, stored
 
 ORDER, CLASSES, BITS = 5, 1024, 10
 BLOCK_CHARS, CHUNK_CHARS, SHARDS = 12_000_000, 1_000_000, 96
-FOLDS, PRIOR_CHARS, HIGH, SLACK, BINS, FEW = 5, 100.0, 0.98, 0.5, 100, 20
+FOLDS, PRIOR_CHARS, HIGH, SLACK, BINS = 5, 100.0, 0.98, 0.5, 100
+WIDE_BITS, PRIOR_DOCS = 2.0, 1.0
 #: Log probabilities travel as 16-bit steps of 1/2048 bit.
 STEP = 2048
 #: The most trusted ids that are broadcast (16 bytes each); beyond it they join by a shuffle.
@@ -328,18 +330,18 @@ def score(rows: DataFrame, answers: DataFrame, text_col: str = "text", held_out:
 
 def thresholds(scored: DataFrame, lang_col: str = "lang") -> DataFrame:
     """``__lang``, ``__mid`` and ``__most`` bits a character, from histograms of the held-out trusted
-    documents; the row with ``__all`` true holds for languages with few."""
+    documents of each language that has any."""
     bins = scored.filter("__trust = 2 and __bits is not null").select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")).alias("lang"), F.floor(F.col("__bits") * BINS).alias("bin"))
     bins = bins.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
-    both = bins.select(F.lit(False).alias("all"), "lang", "bin", "n").unionByName(bins.groupBy("bin").agg(F.sum("n").alias("n")).select(F.lit(True).alias("all"), F.lit("").alias("lang"), "bin", "n"))
-    own = Window.partitionBy("all", "lang")
-    ranked = both.withColumns({"upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "of": F.sum("n").over(own)})
+    own = Window.partitionBy("lang")
+    ranked = bins.withColumns({"upto": F.sum("n").over(own.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "of": F.sum("n").over(own)})
 
     def at(q: float):
         return (F.min(F.when(F.col("upto") >= F.col("of") * q, F.col("bin"))) + 0.5) / BINS
 
-    made = ranked.groupBy("all", "lang").agg(at(0.5).alias("mid"), at(HIGH).alias("high"), F.max("of").alias("of")).filter((F.col("of") >= FEW) | F.col("all"))
-    return made.select(F.col("all").alias("__all"), F.col("lang").alias("__lang"), F.col("mid").alias("__mid"), (F.col("high") + SLACK * (F.col("high") - F.col("mid"))).alias("__most"))
+    made = ranked.groupBy("lang").agg(at(0.5).alias("mid"), at(HIGH).alias("high"), F.max("of").alias("of"))
+    wider = F.lit(WIDE_BITS * PRIOR_DOCS) / (F.col("of") + PRIOR_DOCS)
+    return made.select(F.col("lang").alias("__lang"), F.col("mid").alias("__mid"), (F.col("high") + SLACK * (F.col("high") - F.col("mid")) + wider).alias("__most"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -348,11 +350,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     answers = answers_for(rows, text_col)
     limits = stored(thresholds(score(rows, answers, text_col, held_out=[lang_col]), lang_col), "limits")
     scored = score(rows, answers, text_col)
-    own = limits.filter("not __all").drop("__all")
-    rest = limits.filter("__all").select(*[F.col(c).alias(f"{c}_all") for c in ("__mid", "__most")], F.lit(1).alias("__one"))
-    out = scored.withColumns({"__key": F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")), "__one": F.lit(1)})
-    out = out.join(F.broadcast(own), F.col("__key") == F.col("__lang"), "left").join(F.broadcast(rest), "__one", "left")  # a row a language, at most one
-    out = out.withColumns({c: F.coalesce(c, f"{c}_all") for c in ("__mid", "__most")})
+    out = scored.withColumn("__key", F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")))
+    out = out.join(F.broadcast(limits), F.col("__key") == F.col("__lang"), "left")  # a row a language
     shrunk = (F.col("__bits") * F.col("__chars") + F.col("__mid") * PRIOR_CHARS) / (F.col("__chars") + PRIOR_CHARS)
     keep = F.coalesce(shrunk <= F.col("__most"), F.lit(True))
     return out.withColumn("__keep", keep).select(*[F.col(f"`{c}`") for c in docs.columns], "__trust", "__chars", "__bits", "__most", "__keep")

@@ -190,6 +190,28 @@ def test_quality(spark, docs, none):
     assert all(r["__keep"] for r in quality.classify(docs, labels.limit(0)).collect())
 
 
+def test_thresholds_are_one_law(spark):
+    rows, sizes = [], {"big": 400, "a": 1, "b": 6, "c": 19, "d": 20}
+    for i, (lang, n) in enumerate(sizes.items()):
+        rows += [(lang, 2, 2.005 + i + 0.5 * (j % 2)) for j in range(n)] + [(lang, 1, 30.0)]
+    rows += [("unheld", 1, 9.0), ("untrusted", 0, 9.0)]
+    got = {r["__lang"]: (r["__mid"], r["__most"]) for r in quality.thresholds(spark.createDataFrame(rows, "lang string, __trust int, __bits double")).collect()}
+    assert got.keys() == sizes.keys()
+    for i, (lang, n) in enumerate(sizes.items()):
+        high, mid = 2.005 + i + 0.5 * (n > 1), 2.005 + i
+        assert got[lang] == pytest.approx((mid, high + quality.SLACK * (high - mid) + quality.WIDE_BITS * quality.PRIOR_DOCS / (n + quality.PRIOR_DOCS))), lang
+
+
+def test_rare_languages_are_kept(spark):
+    """Clean texts of a language without trusted ones, beside a language with many."""
+    far = ["".join(chr(ord("а") + ord(c) % 32) if c.isalpha() else c for c in prose(60, f"r{i}")) for i in range(5)]
+    texts = [*[prose(60, f"g{i}") for i in range(120)], *far, far[0]]
+    rows = spark.createDataFrame([(i, t, "en" if i < 120 or i == 125 else "xx") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r["__keep"] for r in quality.classify(rows, labels).collect()}
+    assert all(kept[i] for i in range(120, 125)) and not kept[125]
+
+
 # 4, 10
 
 
