@@ -7,8 +7,10 @@ needs a passage of at least ``b*d/(2-d)`` bigrams, of which at least ``d*(a+b)/2
 the whole document first: a template whose bigrams the document doesn't hold in that number is left out before any
 passage is looked at.
 
-Passages are runs of whole lines. For each template that is left, the passage of the highest Dice coefficient is
-found among runs whose size lies within the bounds; only lines in which a bigram of the template starts begin one.
+Passages are runs of words, wherever they begin and end in a line. For each template that is left, the passage of the
+highest Dice coefficient is found among runs whose size lies within the bounds; the best run begins and ends with a
+bigram of the template, so only those are looked at, and the lines of its first and last word are reported.
+``Scanner.scan`` alone takes runs of whole lines unless told otherwise.
 
 Templates are a parameter, of bounded size (``MAX_TEMPLATE_BYTES``), and travel with the code.
 
@@ -104,8 +106,9 @@ class Scanner:
             for b, n in c.items():
                 self.matrix[k, self.bigram[b]] = n
 
-    def scan(self, text: str | None) -> list[dict]:
-        """For each template that a passage matches: name, dice and the lines of the best passage."""
+    def scan(self, text: str | None, within: bool = False) -> list[dict]:
+        """For each template that a passage matches: name, dice and the lines of the best passage. within: passages may
+        begin and end within lines."""
         if not text or not self.names:
             return []
         tokens = words(text)
@@ -120,7 +123,39 @@ class Scanner:
         held = np.minimum(self.matrix[:, at], n).sum(axis=1)
         # a passage of a bigrams has at least least*(a+b)/2 of the template's b, and a >= low
         left = np.flatnonzero((held >= self.least * (self.low + self.sizes) / 2 - 1e-9) & (len(tokens) >= self.low))
-        return [m for k in left if (m := self._best(int(k), text.split("\n")))] if len(left) else []
+        if not len(left):
+            return []
+        best, lines = self._best_within if within else self._best, text.split("\n")
+        return [m for k in left if (m := best(int(k), lines))]
+
+    def _best_within(self, k: int, lines: list[str]) -> dict | None:
+        own, size, high = self.counts[k], int(self.sizes[k]), self.high[k] + 1e-9
+        tokens, line_of = [], []
+        for n, line in enumerate(lines):
+            found = words(line)
+            tokens += found
+            line_of += [n] * len(found)
+        single = len(next(iter(own))) == 1  # a template of one word has that word and is matched by it alone
+        grams = [(w,) for w in tokens] if single else list(zip(tokens, tokens[1:], strict=False))
+        high = 1 if single else high
+        hits = [i for i, b in enumerate(grams) if b in own]
+        best: tuple[float, int, int] | None = None
+        far = 0
+        for a, first in enumerate(hits):
+            while far < len(hits) and hits[far] - first + 1 <= high:
+                far += 1
+            most = min(size, far - a)  # common bigrams of a passage from here, which has at least as many
+            if 2 * most / (most + size) < self.least - 1e-12 or (best and 2 * most / (most + size) <= -best[0]):
+                continue
+            common, seen = 0, {}
+            for end in hits[a:far]:
+                b = grams[end]
+                seen[b] = n = seen.get(b, 0) + 1
+                common += n <= own[b]
+                score = 2 * common / (end - first + 1 + size)
+                if score >= self.least - 1e-12 and (best is None or (-score, first, end) < best):
+                    best = (-score, first, end)
+        return best and {"license": self.names[k], "dice": -best[0], "first_line": line_of[best[1]], "last_line": line_of[best[2] + (not single)]}
 
     def _best(self, k: int, lines: list[str]) -> dict | None:
         own, size = self.counts[k], int(self.sizes[k])
@@ -166,7 +201,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = shared.value
         for batch in batches:
-            made = [sorted(scanner.scan(t), key=lambda m: (-m["dice"], m["license"])) for t in batch.column(at).to_pylist()]
+            made = [sorted(scanner.scan(t, within=True), key=lambda m: (-m["dice"], m["license"])) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, _ARROW)], names=[*batch.schema.names, matches_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)

@@ -305,6 +305,31 @@ def test_license_passages(lines):
         assert got.get(name, 0) == (pytest.approx(best) if best >= 0.6 - 1e-12 else 0)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("abcd"), max_size=7).map(" ".join), max_size=5), st.sampled_from([0.3, 0.6, 0.8]))
+def test_license_passages_within_lines(lines, least):
+    templates = {"t": "a b c d a b", "u": "b b", "v": "d"}
+    got = {m["license"]: m for m in licenses.Scanner(templates, least).scan("\n".join(lines), within=True)}
+    tokens = [(w, n) for n, line in enumerate(lines) for w in licenses.words(line)]
+    for name, text in templates.items():
+        own = Counter(licenses.bigrams(licenses.words(text)))
+        runs = [(-licenses.dice(Counter(licenses.bigrams([w for w, _ in tokens[i:j]])), own), i, j) for i in range(len(tokens)) for j in range(i + 1, len(tokens) + 1)]
+        score, i, j = min(runs, default=(0, 0, 0))
+        if -score >= least - 1e-12:
+            assert got[name] == {"license": name, "dice": pytest.approx(-score), "first_line": tokens[i][1], "last_line": tokens[j - 1][1]}
+        else:
+            assert name not in got
+
+
+def test_licenses_within_lines(spark):
+    """Licences that share their line with other words."""
+    mit = licenses.TEMPLATES["MIT text"].replace("\n", " ")
+    texts = ["This is Released under the MIT License. ok then", f"{prose(150, 'p')} {mit} {prose(150, 'q')}", f"{prose(9, 'r')}\n{prose(5, 's')} {licenses.TEMPLATES['MPL-2.0 notice'].replace('. If', '.' + chr(10) + 'If')} {prose(90, 't')}\nend"]
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    best = {r.doc_id: tuple(r["__licenses"][0]) for r in rows if r["__licenses"]}
+    assert best == {0: ("MIT statement", 1.0, 0, 0), 1: ("MIT text", 1.0, 0, 0), 2: ("MPL-2.0 notice", 1.0, 1, 2)}
+
+
 # 6
 
 
