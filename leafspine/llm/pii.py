@@ -3,7 +3,7 @@
 Identifiers are first found in the text as it stands (the base spans). Then transducers rewrite the text, each
 keeping for every character it puts out the source span it stands for: homoglyphs and compatibility forms become
 ASCII, invisible characters go, bracketed or spelled ``at`` and ``dot`` become ``@`` and ``.``, and runs of spelled
-digits become digits. The same detectors run over the rewritten text, and what they find is mapped back to source
+digits become digits: four parts or more, or fewer beside digits or a plus. The same detectors run over the rewritten text, and what they find is mapped back to source
 offsets. An added span that lies inside a base span of its kind is no news and is left out; base spans always stay.
 
 Offsets are code points, ends exclusive. Detectors are linear in the text, whatever it holds.
@@ -117,9 +117,13 @@ _BARE_AT = re.compile(rf"[ \t]{{1,3}}(?:{AT})[ \t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}
 _JOINED = re.compile(r"([-_*])(?:(at)|dot)\1", re.I)
 _SPACED_AT = re.compile(r"(?<=[A-Za-z0-9])(?:[ \t]{1,3}@[ \t]{0,3}|@[ \t]{1,3})(?=[A-Za-z0-9-]{1,63}\.[A-Za-z0-9])")
 _MARKED_WORDS = [f"{c}{w}{c}" for c in "-_*" for w in ("at", "dot")]
-_WORD_DIGIT = "|".join(sorted((f"[{w[0]}{w[0].upper()}]{w[1:]}" for w in SPELLED), key=len, reverse=True))
-_DIGIT_RUN = re.compile(rf"(?:\bplus[ \t]{{1,3}})?\b(?:{_WORD_DIGIT})(?:[ \t,.-]{{1,3}}(?:{_WORD_DIGIT}|[0-9]{{1,4}})){{3,}}\b")
-_DIGIT_PART = re.compile(rf"plus|{_WORD_DIGIT}|[0-9]|[.]", re.I)
+_WORD_DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
+_DIGIT_RUN = re.compile(rf"(?:\bplus[ \t]{{1,3}})?\b(?:{_WORD_DIGIT})(?:[ \t,.-]{{1,3}}(?:{_WORD_DIGIT}|[0-9]{{1,4}})){{3,}}\b", re.I)
+#: What _DIGIT_RUN leaves: runs of any length, taken if digits or a plus stand next to them, and a spelled plus before digits.
+_SHORT_RUN = re.compile(rf"(?:\bplus[ \t]{{1,3}}|\+[ \t]{{0,3}})?\b(?:{_WORD_DIGIT})(?:[ \t,.()-]{{1,3}}(?:{_WORD_DIGIT})\b)*+\b|\bplus[ \t]{{1,3}}(?=[0-9])", re.I)
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][ \t,.()-]{1,3}\Z"), re.compile(r"[ \t,.()-]{1,3}[0-9]")
+_DIGIT_PART = re.compile(rf"plus|{_WORD_DIGIT}|[0-9]|[.+]", re.I)
+_LETTER_RUN = re.compile(r"[^\W\d_]+")
 
 
 class Traced:
@@ -129,13 +133,16 @@ class Traced:
         self.text, self.starts, self.ends = text, list(range(len(text))), list(range(1, len(text) + 1))
 
     def rewrite(self, pattern: re.Pattern, put) -> bool:
-        """Replace each match by what put gives, pairs (string, start and end in the match); whether any matched."""
+        """Replace each match by what put gives, pairs (string, start and end in the match), or leave it if that is None;
+        whether any was replaced."""
         text, starts, ends, last = [], [], [], 0
         for m in pattern.finditer(self.text):
+            if (pieces := put(m)) is None:
+                continue
             text.append(self.text[last : m.start()])
             starts += self.starts[last : m.start()]
             ends += self.ends[last : m.start()]
-            for piece, s, e in put(m):
+            for piece, s, e in pieces:
                 text.append(piece)
                 starts += [self.starts[m.start() + s]] * len(piece)
                 ends += [self.ends[m.start() + e - 1]] * len(piece)
@@ -153,6 +160,11 @@ def _spelled(m: re.Match):
         yield ("+" if word == "plus" else SPELLED.get(word, word)), part.start(), part.end()
 
 
+def _short(m: re.Match):
+    plus = m.group()[0] == "+" or m.group()[:4].lower() == "plus"
+    return _spelled(m) if plus or _DIGIT_BEFORE.search(m.string[max(m.start() - 4, 0) : m.start()]) or _DIGIT_AFTER.match(m.string, m.end()) else None
+
+
 def _whole(by):
     return lambda m: [(by(m), 0, len(m.group()))]
 
@@ -162,15 +174,17 @@ _DOT_WORDS = DOT.split("|")
 
 def deobfuscate(text: str) -> Traced | None:
     """The rewritten text, or None if nothing in it is disguised. Cheap tests say which transducers can apply."""
-    low = text.lower()
-    dotted = any(w in low for w in _DOT_WORDS)
-    steps = []
+    low, steps = text.lower(), []
     if not text.isascii() and _ODD.search(text):
         traced = Traced(text)
         traced.rewrite(_ODD, _whole(lambda m: LETTERS.get(m.group(), m.group())))
         low, steps = traced.text.lower(), [traced]
-    if not SPELLED.keys().isdisjoint(low.replace(",", " ").replace(".", " ").replace("-", " ").split()):
+    dotted = any(w in low for w in _DOT_WORDS)
+    spelled = not SPELLED.keys().isdisjoint(_LETTER_RUN.findall(low))
+    if spelled:
         steps.append((_DIGIT_RUN, _spelled))
+    if "plus" in low or (spelled and ("+" in low or _DIGIT.search(low))):
+        steps.append((_SHORT_RUN, _short))
     bracket = any(c in low for c in "[({<")
     if dotted or bracket:
         steps += [(_BARE_AT, _whole(lambda m: "@"))] if dotted or "." in low else []
@@ -178,7 +192,7 @@ def deobfuscate(text: str) -> Traced | None:
         steps += [(_BARE_DOT, _whole(lambda m: "."))] if dotted else []
     if any(w in low for w in _MARKED_WORDS):
         steps.append((_JOINED, _whole(lambda m: "@" if m.group(2) else ".")))
-    if " @" in low or "@ " in low:
+    if any(w in low for w in (" @", "@ ", "\t@", "@\t")):
         steps.append((_SPACED_AT, _whole(lambda m: "@")))
     if not steps:
         return None
@@ -187,8 +201,10 @@ def deobfuscate(text: str) -> Traced | None:
         if traced is None:
             if pattern.search(text) is None:
                 continue
-            traced = Traced(text)
-        traced.rewrite(pattern, put)
+            fresh = Traced(text)
+            traced = fresh if fresh.rewrite(pattern, put) else None
+        else:
+            traced.rewrite(pattern, put)
     return traced
 
 

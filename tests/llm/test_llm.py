@@ -431,6 +431,30 @@ def test_disguises(text, kind, source, value):
     assert pii.redact(text, found) == text.replace(source, f"[{kind}]")
 
 
+@pytest.mark.parametrize(("text", "kind", "source", "value"), [
+    ("to jane at example d\u043et com now", "email", "jane at example d\u043et com", "jane@example.com"),
+    ("to jane at example d\u200bot com now", "email", "jane at example d\u200bot com", "jane@example.com"),
+    ("to jane at example \uff44\uff4f\uff54 com now", "email", "jane at example \uff44\uff4f\uff54 com", "jane@example.com"),
+    ("to ann\t@\tmail.example.org", "email", "ann\t@\tmail.example.org", "ann@mail.example.org"),
+    ("call PLUS FIVE FIVE Five fiVe one two three four five!", "phone", "PLUS FIVE FIVE Five fiVe one two three four five", "+555512345"),
+    ("ring F\u00dcNF SECHS", None, None, None),
+    ("call +1 555 123 four 567 now", "phone", "+1 555 123 four 567", "+1 555 123 4 567"),
+    ("call +1 (five five five) 123 4567 now", "phone", "+1 (five five five) 123 4567", "+1 (555) 123 4567"),
+    ("call plus 1 555 123 4567 now", "phone", "plus 1 555 123 4567", "+1 555 123 4567"),
+    ("call +one 555 1234 567 now", "phone", "+one 555 1234 567", "+15551234567"),
+    ("at 192.168.zero.12 up", "ip", "192.168.zero.12", "192.168.0.12"),
+    ("pay 4111 1111 1111 11 one one", "card", "4111 1111 1111 11 one one", "4111 1111 1111 11 11"),
+])
+def test_disguises_at_the_gates(text, kind, source, value):
+    found = [(s["kind"], text[s["start"] : s["end"]], s["value"]) for s in pii.spans(text) if not s["base"]]
+    assert found == ([(kind, source, value)] if kind else [])
+
+
+@pytest.mark.parametrize("text", ["one (two) 5 six", "a plus one, plus 2", "at 192.168.0.1 one of", "one " * 30_000, "(one) " * 30_000, "plus " * 30_000, "1 one " * 30_000])
+def test_short_runs_stay_small(text):
+    assert [s for s in pii.spans(text) if not s["base"]] == []
+
+
 @pytest.mark.parametrize("text", ["look at example.com", "he is at home. dot com", "un deux trois", "one two, three", "l'état au point de vue", "(dot) and [at]"])
 def test_clean_texts_stay(text):
     assert pii.spans(text) == []
