@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.shipping import ship as sources_ship
 
 _SET: set[str] = set()
-#: Arrow batches stay below this many rows, so that a batch of long texts stays small.
-BATCH_ROWS = "2000"
+#: Arrow batches stay below this many rows and bytes, so that a batch of long texts stays small on both sides.
+BATCH_ROWS, BATCH_BYTES = "2000", "4m"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,7 @@ def ship(spark: SparkSession) -> None:
     """Make this package importable in every Python worker, and keep Arrow batches small (once for an application)."""
     if sources_ship(spark) or spark.sparkContext.applicationId not in _SET:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
         _SET.add(spark.sparkContext.applicationId)
 
 

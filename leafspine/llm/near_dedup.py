@@ -39,6 +39,8 @@ from pyspark.sql import functions as F
 from .common import partitions, release, ship, stored
 
 WIDTH, COORDINATES, BLOCK = 5, 125, 256
+#: Shingle hashes that a worker remembers while it verifies pairs, 8 bytes each.
+RECENT = 1_000_000
 _EMPTY = np.uint64(2**64 - 1)
 _ROUND_KEYS = np.array([xxhash.xxh3_64_intdigest(f"round {i}".encode()) for i in range(2 * COORDINATES)], dtype=np.uint64)
 _BAND_KEYS = np.array([xxhash.xxh3_64_intdigest(f"band {i}".encode()) for i in range(COORDINATES)], dtype=np.uint64)
@@ -63,6 +65,8 @@ def shingles(words: list[bytes], width: int = WIDTH) -> set[bytes]:
 
 
 def _hashes(words: list[bytes], joined: bytes, width: int) -> np.ndarray:
+    """The set of a text that has words, as sorted 64-bit hashes: of n shingles two share one with a chance of
+    n * n / 2**65 (3e-8 for a million)."""
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(joined)], dtype=np.uint64)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
@@ -168,22 +172,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
     right = texts.select(F.col("node").alias("b"), F.col("z").alias("zb"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unzip, recent = zstandard.ZstdDecompressor(), {}
+        unzip, recent, weight = zstandard.ZstdDecompressor(), {}, 0
 
-        def of(z: bytes) -> set[bytes]:
+        def of(z: bytes) -> np.ndarray:
+            nonlocal weight
             if z not in recent:
-                if len(recent) >= 32:
-                    recent.pop(next(iter(recent)))
-                recent[z] = shingles(unzip.decompress(z).split(), width)
+                joined = unzip.decompress(z)
+                recent[z] = _hashes(joined.split(), joined, width)
+                weight += len(recent[z])
+                while weight > RECENT and len(recent) > 2:
+                    weight -= len(recent.pop(next(iter(recent))))
             return recent[z]
 
         for batch in batches:
             keep = []
             for za, zb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = of(za), of(zb)
-                both = len(x & y)
+                both = int(_shared_counts(x, [y])[0])
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        recent.clear()
+        release()
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long").distinct()
 
@@ -212,15 +221,15 @@ def _shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
 
 
 def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) across components in the same bucket; members: band, bucket, node, label, n, short, bands, z.
+    """Links (a, b) across components in the same bucket; members: band, bucket, k, node, label, n, short, bands, z.
 
-    A bucket of m members is dealt into blocks of about BLOCK, and each pair of blocks is one group of rows. A pair is
+    ``k`` is the number of blocks of about BLOCK that the bucket's members are dealt into; each pair of blocks is one
+    group of rows. A pair is
     looked at in its first common band alone; sizes and sketches rule most pairs out, the full sets decide on the
     rest where they are, and only links leave the task.
     """
     least = _least_matches(percent)
-    blocks = members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
-    dealt = members.join(blocks, "bucket").withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
+    dealt = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).alias("second"), (F.col("i") == F.col("j")).alias("own"), "band", "node", "label", "n", "short", "bands", "z")
     dealt = dealt.repartition(partitions(members.sparkSession), "cell").sortWithinPartitions("cell", "second", "node")
@@ -275,6 +284,7 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
                 yield from finished(t.combine_chunks(), False)
         if held is not None and len(held):
             yield from finished(held.combine_chunks(), True)
+        release()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
@@ -285,7 +295,8 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
     owned = rows.filter("id is not null and class is not null")
     reps = stored(owned.groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")), "classes")
     buckets = reps.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last")
+    # plain tables, here and below: both sides of a join by bucket can be split where a bucket is large
+    shared = stored(buckets.groupBy("bucket").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first < last"), "shared")
     members = stored(buckets.join(shared, "bucket").select("band", "bucket", "node", "first"), "members")
 
     def zipped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,7 +315,8 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
     labels = stored(components(links), "labels")
 
     labelled = members.join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
-    open_buckets = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x < y").select("bucket")
+    of_bucket = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+    open_buckets = stored(of_bucket.filter("x < y").select("bucket", "k"), "open")
     still = labelled.join(open_buckets, "bucket").join(reps.select("node", "n", "short", "bands"), "node").join(texts, "node")
     links = links.unionByName(_across(still, percent, width))
     # an id with several texts joins their classes

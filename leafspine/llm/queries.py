@@ -83,8 +83,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
-    decoded = bpe.decode(encoded.select("doc_id", "__ids"), vocabulary)
+    decoded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     return decoded.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.sha2("__ids", 256).alias("ids_sha256"), F.sha2("__decoded", 256).alias("decoded_sha256"))
 
 
