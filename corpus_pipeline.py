@@ -44,8 +44,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, their number, and whether they decode to the text."""
-    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), vocabulary), vocabulary)
+    decoded = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     same = F.coalesce(F.col("text"), F.lit("")) == F.col("__decoded")
     return decoded.select("doc_id", (F.octet_length("__ids") / 4).cast("long").alias("n_tokens"), F.col("__ids").alias("ids"), same.alias("round_trip"))
 
