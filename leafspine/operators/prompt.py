@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from ..functions.text import SPACE, cjk_count, strip
 
 OUTLINE, PREVIEW = 15, 8000
+#: Fixed value: the name of a prompt file.
+FILE_NAME = "AI分析提示词.md"
 CUT = f"\n\n...[内容过长，已截取前{PREVIEW}字符]"
 
 
+def _is_chapter(folder: Column, file_name: Column) -> Column:
+    return folder.rlike("^[0-9]+_") & file_name.endswith(".md") & ~file_name.startswith("0") & ~file_name.startswith("AI")
+
+
 def chapter_files(files: DataFrame) -> DataFrame:
     """The file of each numbered folder (folder, file_name): the first by name that is Markdown and starts with neither
     0 nor AI; folders in the order of number and name."""
-    number = F.regexp_extract("folder", r"^([0-9]+)_", 1)
-    ok = (number != "") & F.col("file_name").endswith(".md") & ~F.col("file_name").startswith("0") & ~F.col("file_name").startswith("AI")
+    ok = _is_chapter(F.col("folder"), F.col("file_name"))
     return files.filter(ok).groupBy("folder").agg(F.min("file_name").alias("file_name")).withColumn("number", F.regexp_extract("folder", r"^([0-9]+)_", 1).cast("int"))
 
 
@@ -67,10 +72,19 @@ TEMPLATE = """# 章节分析
 """
 
 
-def prompts(files: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """folder, title, word_count and ``prompt`` of files (folder, content)."""
+def prompts(files: DataFrame, template: str = TEMPLATE, name: str = "folder") -> DataFrame:
+    """folder, title, word_count and ``prompt`` of files (folder, content); name: the column that an untitled file is
+    called after."""
     b = files.withColumn("body", body("content"))
-    rows = b.join(outlines(b), "folder").withColumns({"title": title("content", "folder"), "word_count": cjk_count("body")})
+    rows = b.join(outlines(b), "folder").withColumns({"title": title("content", name), "word_count": cjk_count("body")})
     parts = [F.lit(p) for p in template.split("{}")]
     filled = F.concat(parts[0], "title", parts[1], F.col("word_count").cast("string"), parts[2], "outline", parts[3], preview("body"), parts[4])
     return rows.select("folder", "title", "word_count", "n_headers", filled.alias("prompt"))
+
+
+def prompts_of_folders(files: DataFrame, template: str = TEMPLATE) -> DataFrame:
+    """folder (its whole path), title, word_count, n_headers, ``prompt`` and ``file_name`` for each numbered folder of
+    chapter files (path, content as text)."""
+    named = files.select(F.regexp_extract("path", "^(.*)/[^/]+$", 1).alias("folder"), F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("name"), F.regexp_extract("path", "([^/]+)$", 1).alias("file_name"), "content")
+    first = named.filter(_is_chapter(F.col("name"), F.col("file_name"))).groupBy("folder", "name").agg(F.min_by("content", "file_name").alias("content"))
+    return prompts(first, template, "name").withColumn("file_name", F.lit(FILE_NAME))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,43 +58,64 @@ def render(chapters: DataFrame, made_at: str, footer: str = "") -> DataFrame:
     return chapters.withColumns({"markdown": F.concat_ws("\n", *lines), "word_count": words.cast("long"), "display_count": display_count(F.coalesce("body", F.lit(""))), "file_name": name})
 
 
-def hierarchy(chapters: DataFrame, max_depth: int = 6) -> DataFrame:
-    """chapters (doc_id, chapter_id, parent_id, chapter_index) with ``hierarchy_path``, indexes from the root down, by
-    one join a level; rows deeper than max_depth are left out."""
-    level = chapters.filter("parent_id is null").withColumn("hierarchy_path", F.col("chapter_index").cast("string"))
-    out = level
-    for _ in range(1, max_depth):
-        parent = level.select("doc_id", F.col("chapter_id").alias("parent_id"), F.col("hierarchy_path").alias("above"))
-        level = chapters.join(parent, ["doc_id", "parent_id"]).withColumn("hierarchy_path", F.concat("above", F.lit("."), F.col("chapter_index").cast("string"))).select(*out.columns)
-        out = out.unionByName(level)
-    return out
-
-
-def write_markdown(rendered: DataFrame, directory: str) -> DataFrame:
-    """Write each chapter to ``directory/doc_id/file_name`` from the tasks; doc_id, file and success of each. A file is
-    written whole under another name and renamed, so a retried task leaves one result."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
+def hierarchy(chapters: DataFrame) -> DataFrame:
+    """chapters (doc_id, chapter_id, parent_id, chapter_index) with ``hierarchy_path``, indexes from the root down, at
+    any depth. Rows whose ancestors are missing or form a circle have no root and are left out.
+
+    Each round joins every open row with the ancestor it has reached, so the known part of a path doubles: a tree of
+    depth n takes log2(n) rounds. Rows whose ancestor is finished finish in that round; if none did, the rest are circles.
+    """
+    step = chapters.withColumns({"__up": F.col("parent_id").cast("string"), "__path": F.col("chapter_index").cast("string")}).persist()
+    opened = step.filter("__up is not null").count()
+    while opened:
+        above = step.select("doc_id", F.col("chapter_id").cast("string").alias("__up"), F.col("__up").alias("__next"), F.col("__path").alias("__above"))
+        known = step.filter("__up is not null").join(above, ["doc_id", "__up"])
+        moved = known.withColumns({"__up": F.col("__next"), "__path": F.concat("__above", F.lit("."), "__path")}).select(*step.columns)
+        new = step.filter("__up is null").unionByName(moved).persist()
+        left = new.filter("__up is not null").count()
+        closed = left < opened
+        step.unpersist()
+        step, opened = new, left
+        if not closed:
+            break
+    return step.filter("__up is null").withColumnRenamed("__path", "hierarchy_path").drop("__up")
+
+
+def write_files(rows: DataFrame, directory: str, mounted: bool = False) -> DataFrame:
+    """Write rows (folder, file_name, text) to ``directory/folder/file_name`` from the tasks; folder and file of each.
+
+    directory is a URI of a store that all tasks see (file, hdfs, s3, gs) or a local path. On a cluster a local path is
+    taken only if ``mounted`` says that it is the same folder on every machine: each executor would write to a disk of
+    its own. A file is written whole under another name and moved, so a retried task leaves one result.
+    """
+    local = "://" not in directory or directory.startswith("file:")
+    if local and not mounted and not rows.sparkSession.sparkContext.master.startswith("local["):
+        raise ValueError("a local folder isn't shared by the executors: name a URI of a shared store, or say that it is mounted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-        import uuid
-
+        store, root = fs.FileSystem.from_uri(directory) if ":/" in directory else (fs.LocalFileSystem(), directory)
         for batch in batches:
             files = []
-            for doc, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                folder = os.path.join(directory, str(doc))
-                os.makedirs(folder, exist_ok=True)
-                part = os.path.join(folder, f".{uuid.uuid4().hex}")
-                with open(part, "w", encoding="utf-8") as f:
-                    f.write(text)
-                os.replace(part, os.path.join(folder, name))
-                files.append(os.path.join(folder, name))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.string())], names=["doc_id", "file"])
-
-    ship(rendered.sparkSession)
-    return rendered.select("doc_id", "file_name", "markdown").mapInArrow(run, f"doc_id {dict(rendered.dtypes)['doc_id']}, file string")
+            for folder, name, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = f"{root.rstrip('/')}/{folder}"
+                store.create_dir(own, recursive=True)
+                part, whole = f"{own}/.{uuid.uuid4().hex}", f"{own}/{name}"
+                with store.open_output_stream(part) as f:
+                    f.write(text.encode())
+                if not local and store.get_file_info(whole).type != fs.FileType.NotFound:
+                    store.delete_file(whole)
+                store.move(part, whole)
+                files.append(whole)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(files, pa.string())], names=["folder", "file"])
+
+    ship(rows.sparkSession)
+    return rows.select("folder", "file_name", "text").mapInArrow(run, f"folder {dict(rows.dtypes)['folder']}, file string")
+
+
+def write_markdown(rendered: DataFrame, directory: str, mounted: bool = False) -> DataFrame:
+    """Write each chapter to ``directory/doc_id/file_name`` (:func:`write_files`); doc_id and file of each."""
+    rows = rendered.select(F.col("doc_id").alias("folder"), "file_name", F.col("markdown").alias("text"))
+    return write_files(rows, directory, mounted).withColumnRenamed("folder", "doc_id")
 
 
 def summary(files: DataFrame, chapters: DataFrame, requested: DataFrame) -> DataFrame:

@@ -41,15 +41,6 @@ class Reading:
     def _texts(self, name: str, encodings=parse.UTF8_FIRST, lenient: bool = False) -> DataFrame:
         return parse.decoded(self.files.filter(F.col("reader") == name), encodings, lenient).filter("text is not null")
 
-    @staticmethod
-    def _numbered(texts: DataFrame) -> DataFrame:
-        """Parsers in ``sources`` name documents by numbers."""
-        return texts.withColumn("n", F.xxhash64("path"))
-
-    @staticmethod
-    def _named(rows: DataFrame, numbered: DataFrame) -> DataFrame:
-        return rows.join(numbered.select(F.col("n").alias("doc_id"), "path"), "doc_id").drop("doc_id")
-
     def _txt(self) -> tuple[Parts, Parts]:
         b = txt.blocks(txt.split_lines(self._texts("txt"), "text", "path"))
         return [txt.chapters(b)], [txt.chapter_blocks(b)]
@@ -64,22 +55,19 @@ class Reading:
         return [markdown.chapters(b), rest], [b.filter("seg >= 1").withColumnRenamed("seg", "chapter_index"), whole]
 
     def _html(self) -> tuple[Parts, Parts]:
-        pages = self._numbered(self._texts("html", ("utf-8",)))
-        nodes = sources_html.nodes(pages.select(F.col("n").alias("doc_id"), F.col("path").alias("file_path"), html.without_scripts("text").alias("html")))
+        pages = self._texts("html", ("utf-8",))
+        nodes = sources_html.nodes(pages.select(F.col("path").alias("doc_id"), F.col("path").alias("file_path"), html.without_scripts("text").alias("html")))
         chapters = html.chapter_segments(nodes)
-        b = html.blocks(nodes).join(chapters.select("doc_id", "seg", "chapter_index"), ["doc_id", "seg"])
-        return [self._named(chapters, pages)], [self._named(b, pages)]
+        return [chapters], [html.blocks(nodes).join(chapters.select("doc_id", "seg", "chapter_index"), ["doc_id", "seg"])]
 
     def _json(self) -> tuple[Parts, Parts]:
-        js = self._numbered(self._texts("json"))
-        chapters = self._named(parse.json_chapters(js.select(F.col("n").alias("doc_id"), F.col("text").alias("content"))), js)
+        chapters = parse.json_chapters(self._texts("json").select(F.col("path").alias("doc_id"), F.col("text").alias("content")))
         return [chapters], [chapters]
 
     def _csv(self) -> tuple[Parts, Parts]:
-        cs = self._numbered(self._texts("csv"))
-        rows = parse.csv_rows(cs.select(F.col("n").alias("doc_id"), dispatch.extension("path").alias("ext"), F.col("text").alias("content")))
-        head, chunks = (self._named(x, cs) for x in (tabular.csv_header(rows), tabular.csv_chunks(rows)))
-        captions = chunks.select("path", "chapter_index", F.lit(0).alias("pos"), F.lit("table").alias("type"), F.col("caption").alias("text"))
+        rows = parse.csv_rows(self._texts("csv").select(F.col("path").alias("doc_id"), dispatch.extension("path").alias("ext"), F.col("text").alias("content")))
+        head, chunks = tabular.csv_header(rows), tabular.csv_chunks(rows)
+        captions = chunks.select("doc_id", "chapter_index", F.lit(0).alias("pos"), F.lit("table").alias("type"), F.col("caption").alias("text"))
         return [head, chunks], [head, captions, chunks.withColumn("pos", F.lit(1))]
 
     def _markup(self) -> tuple[Parts, Parts]:
@@ -104,11 +92,11 @@ class Reading:
         return [docx.chapters(s)], [docx.chapter_blocks(s)]
 
     def _epub(self) -> tuple[Parts, Parts]:
-        books = self._numbered(containers.book_files(self.files.filter("reader = 'epub'"))).select("n", "path", "file_path", "html")
-        nodes = sources_html.nodes(books.select(F.col("n").alias("doc_id"), "file_path", "html"))
-        plain, ids = epub.plain_texts(nodes), books.select("n", "path").distinct()
-        built = epub.build_ranges(epub.cascade(nodes, plain, plain.select("doc_id", "file_path")), plain)
-        return [self._named(built, ids)], [self._named(epub.chapter_blocks(built, nodes, plain), ids)]
+        books = containers.book_files(self.files.filter("reader = 'epub'"))
+        nodes = sources_html.nodes(books.select(F.col("path").alias("doc_id"), "file_path", "html"))
+        plain = epub.plain_texts(nodes)
+        built = epub.build_ranges(epub.cascade(nodes, plain), plain)
+        return [built], [epub.chapter_blocks(built, nodes, plain)]
 
     def _all(self) -> list[tuple[Parts, Parts]]:
         return [f() for f in (self._txt, self._markdown, self._html, self._json, self._csv, self._markup, self._code, self._docx, self._epub)]

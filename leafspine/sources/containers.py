@@ -6,7 +6,8 @@ from __future__ import annotations
 import io
 import posixpath
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 from urllib.parse import unquote
 from xml.etree import ElementTree as ET
 
@@ -66,12 +67,13 @@ def read_word(data: bytes) -> list[tuple]:
     return rows
 
 
-def _failure(f, data: bytes) -> str | None:
+def _attempt(f: Callable[[bytes], Any], data: bytes) -> tuple[Any, str | None]:
+    """What f makes of the bytes, or its error. Damaged archives raise errors of many kinds (zip, zlib, XML, encryption,
+    names that are missing), and each file fails alone: any of them means that the file can't be read."""
     try:
-        f(data)
-    except (zipfile.BadZipFile, KeyError, ET.ParseError, AttributeError, ValueError) as e:
-        return f"{type(e).__name__}: {e}"
-    return None
+        return f(data), None
+    except Exception as e:  # noqa: BLE001
+        return None, f"{type(e).__name__}: {e}"
 
 
 def readable(files: DataFrame, kind: str) -> DataFrame:
@@ -80,7 +82,7 @@ def readable(files: DataFrame, kind: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_failure(reader, d) for d in batch.column(1).to_pylist()], pa.string())], names=["path", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_attempt(reader, d)[1] for d in batch.column(1).to_pylist()], pa.string())], names=["path", "error"])
 
     ship(files.sparkSession)
     return files.select("path", "content").mapInArrow(run, "path string, error string")
@@ -92,8 +94,9 @@ def book_files(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if _failure(read_book, data) is None:
-                    meta, own = read_book(data)
+                made, error = _attempt(read_book, data)
+                if error is None:
+                    meta, own = made
                     columns = [[path] * len(own), list(own), list(own.values()), *([meta[k]] * len(own) for k in ("title", "creator", "publisher"))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], names=["path", "file_path", "html", "title", "author", "publisher"])
 
@@ -109,8 +112,8 @@ def word_runs(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if _failure(read_word, data) is None:
-                    rows = read_word(data)
+                rows, error = _attempt(read_word, data)
+                if error is None:
                     yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows), pa.string()), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", *names])
 
     ship(files.sparkSession)

@@ -15,7 +15,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Texts in these are no text of the elements around them.
 SILENT = frozenset(("script", "style"))
 
-NODES = "doc_id long, file_path string, pos int, end_pos int, parent int, tag string, depth int, source_line int, attr_title string, attr_class string, attr_style string, text string, lines string, n_strings int"
+NODES = "file_path string, pos int, end_pos int, parent int, tag string, depth int, source_line int, attr_title string, attr_class string, attr_style string, text string, lines string, n_strings int"
 _FIELDS = ("pos", "end_pos", "parent", "tag", "depth", "source_line", "attr_title", "attr_class", "attr_style", "text", "lines", "n_strings")
 _INTS = frozenset(("pos", "end_pos", "parent", "depth", "source_line", "n_strings"))
 
@@ -76,17 +76,25 @@ def parse(html: str) -> list[dict]:
     return tree.nodes
 
 
+def parsed(html: str) -> list[dict]:
+    """:func:`parse`; no nodes of a page that the parser gives up on (a marked section that is none, as ``<![foo bar>``)."""
+    try:
+        return parse(html)
+    except (AssertionError, ValueError):
+        return []
+
+
 def nodes(files: DataFrame) -> DataFrame:
-    """Nodes of files (doc_id, file_path, html)."""
+    """Nodes of files (doc_id, file_path, html); doc_id of any type. A page that can't be parsed gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 doc, path, html = (batch.column(k)[i].as_py() for k in range(3))
-                made = parse(html)
-                columns = [pa.array([doc] * len(made), pa.int64()), pa.array([path] * len(made), pa.string())]
+                made = parsed(html)
+                columns = [pa.array([doc] * len(made), batch.column(0).type), pa.array([path] * len(made), pa.string())]
                 columns += [pa.array([n[f] for n in made], pa.int32() if f in _INTS else pa.string()) for f in _FIELDS]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "file_path", *_FIELDS])
 
     ship(files.sparkSession)
-    return files.select("doc_id", "file_path", "html").mapInArrow(run, NODES)
+    return files.select("doc_id", "file_path", "html").mapInArrow(run, f"doc_id {dict(files.dtypes)['doc_id']}, {NODES}")

@@ -39,9 +39,9 @@ def as_text(value) -> str:
     if isinstance(value, str):
         return value
     if isinstance(value, dict):
-        return "\n".join(f"{k}: {as_text(v)}" for k, v in value.items())
+        return "\n".join([f"{k}: {as_text(v)}" for k, v in value.items()])  # lists, not generators: one frame a level
     if isinstance(value, list):
-        return "\n".join(f"[{i}] {as_text(v)}" for i, v in enumerate(value, 1))
+        return "\n".join([f"[{i}] {as_text(v)}" for i, v in enumerate(value, 1)])
     return str(value)
 
 
@@ -50,20 +50,30 @@ def _element_title(item, number: int) -> str:
     return named or f"第{number}项"
 
 
-def chapters_of_json(content: str) -> list[tuple[int, str, str, str]]:
-    """(index, title, text, type) of the chapters of JSON or JSON lines; anything else is one code chapter."""
+def _elements(content: str) -> list[tuple[str, str]]:
+    """(title, text) of the elements of JSON or JSON lines; raises for what is neither, nested too deeply or, with its
+    escapes resolved, no Unicode text."""
     try:
-        try:
-            data = json.loads(content)
-        except json.JSONDecodeError:
-            data = [json.loads(line) for line in content.split("\n") if line.strip()]
-    except (ValueError, RecursionError):
-        data = None
+        data = json.loads(content)
+    except json.JSONDecodeError:
+        data = [json.loads(line) for line in content.split("\n") if line.strip()]
     pairs = []
     if isinstance(data, dict):
         pairs = [(str(k), as_text(v)) for k, v in data.items()]
     elif isinstance(data, list):
         pairs = [(_element_title(x, i), as_text(x)) for i, x in enumerate(data, 1)]
+    for pair in pairs:
+        "".join(pair).encode()
+    return pairs
+
+
+def chapters_of_json(content: str) -> list[tuple[int, str, str, str]]:
+    """(index, title, text, type) of the chapters of JSON or JSON lines; anything else, nesting beyond Python's stack and
+    halves of surrogate pairs included, is one code chapter with the raw content."""
+    try:
+        pairs = _elements(content)
+    except (ValueError, RecursionError):
+        pairs = []
     return [(i, t, x, "paragraph") for i, (t, x) in enumerate(pairs, 1)] or [(1, "JSON内容", content, "code")]
 
 
@@ -74,30 +84,37 @@ def json_chapters(docs: DataFrame) -> DataFrame:
         for batch in batches:
             rows = [(d, *c) for d, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in chapters_of_json(content or "")]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.string()) for i in (2, 3, 4)),
+                [pa.array([r[0] for r in rows], batch.column(0).type), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.string()) for i in (2, 3, 4)),
                  pa.array([len(r[3]) for r in rows], pa.int64()), pa.array([r[3].count("\n\n") + 1 if r[4] == "paragraph" else 1 for r in rows], pa.int64())],
                 names=["doc_id", "chapter_index", "title", "text", "type", "word_count", "paragraph_count"],
             )
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "content").mapInArrow(run, "doc_id long, chapter_index int, title string, text string, type string, word_count long, paragraph_count long")
+    return docs.select("doc_id", "content").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, chapter_index int, title string, text string, type string, word_count long, paragraph_count long")
+
+
+def cells_of_csv(content: str, delimiter: str) -> list[list[str]]:
+    """The rows of CSV text, read line by line; none at all if the text can't be read (a carriage return inside an
+    unquoted cell). Cells may be of any length."""
+    csv.field_size_limit(2**31 - 1)
+    try:
+        return list(csv.reader(content.split("\n"), delimiter=delimiter))
+    except csv.Error:
+        return []
 
 
 def csv_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_no, cells) of documents (doc_id, ext, content); tab for tsv and tab files, comma for others."""
+    """(doc_id, row_no, cells) of documents (doc_id, ext, content); tab for tsv and tab files, comma for others. A file
+    that can't be read gives no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, numbers, cells = [], [], []
             for doc, ext, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for i, row in enumerate(csv.reader((content or "").split("\n"), delimiter="\t" if ext in ("tsv", "tab") else ",")):
-                    ids.append(doc)
-                    numbers.append(i)
-                    cells.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int32()), pa.array(cells, pa.list_(pa.string()))], names=["doc_id", "row_no", "cells"])
+                rows = cells_of_csv(content or "", "\t" if ext in ("tsv", "tab") else ",")
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(rows), batch.column(0).type), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], names=["doc_id", "row_no", "cells"])
 
     ship(docs.sparkSession)
-    return docs.select("doc_id", "ext", "content").mapInArrow(run, "doc_id long, row_no int, cells array<string>")
+    return docs.select("doc_id", "ext", "content").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, row_no int, cells array<string>")
 
 
 def decoded(files: DataFrame, encodings: tuple[str, ...] = UTF8_FIRST, lenient: bool = False) -> DataFrame:
