@@ -1,7 +1,7 @@
 """The layout engine: laid-out lines to headings to chapters, without collecting a document.
 
-Input: lines (doc_id, pos from 0, page_num, text, font_size, x0, y0, x1, y1, page_width, page_height). Per-document
-numbers (base size, thresholds) are aggregates joined back on doc_id; everything else is windows over (doc_id, pos).
+Input: lines (doc_id, pos from 0, page_num, text, font_size, x0, y0, x1, y1, page_width, page_height). Everything is
+windows over the document, numbers for whole documents (base size, thresholds) too, so lines are read and dealt once.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SPACE, strip
 from ..plans.segment import earlier, first_known, joined, last_known, later, ordered, running_segment
+from ..plans.storage import stored
 
 #: Labels, note headings, words of imprint lines.
 LABEL = r"^(【[章节篇卷部]】|\[[章节篇卷部]\]|[（(][章节篇卷部][)）])$"
@@ -54,33 +55,55 @@ def measured(lines: DataFrame) -> DataFrame:
     })
 
 
+def _sized(lines: DataFrame) -> DataFrame:
+    """lines with ``base``, the most frequent rounded size of the document; of equally frequent ones the first that occurs."""
+    alike = Window.partitionBy("doc_id", "size")
+    s = lines.withColumn("size", F.bround("font_size"))
+    s = s.withColumn("often", F.struct((-F.count(F.lit(1)).over(alike)).alias("n"), F.min("pos").over(alike).alias("first"), F.col("size")))
+    return s.withColumn("base", F.min("often").over(Window.partitionBy("doc_id"))["size"]).drop("size", "often")
+
+
 def base_size(lines: DataFrame) -> DataFrame:
-    """doc_id and ``base``, the most frequent rounded size; of equally frequent ones the first that occurs."""
-    sizes = lines.groupBy("doc_id", F.bround("font_size").alias("size")).agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    return sizes.groupBy("doc_id").agg(F.min_by("size", F.struct(-F.col("n"), F.col("first"))).alias("base"))
+    """doc_id and ``base``."""
+    return _sized(lines).groupBy("doc_id").agg(F.first("base").alias("base"))
 
 
 def with_base(lines: DataFrame) -> DataFrame:
-    s = measured(lines).join(base_size(lines), "doc_id")
+    s = _sized(measured(lines))
     s = s.withColumn("ratio", F.when(F.col("base") > 0, F.col("font_size") / F.col("base")).otherwise(1.0))
     return s.withColumn("body_sized", F.col("ratio").between(0.9, 1.1))
 
 
+def _may_head() -> Column:
+    roomy = F.when(F.col("ratio") >= 1.39, F.col("loose")).otherwise(F.col("apart"))
+    return (F.length("s") >= 2) & ~F.col("short_margin") & ~F.col("label") & ~F.col("period") & (F.col("ratio") > 1.0) & roomy
+
+
 def candidates(based: DataFrame) -> DataFrame:
     """Lines that may be headings, by size and the room around them."""
-    roomy = F.when(F.col("ratio") >= 1.39, F.col("loose")).otherwise(F.col("apart"))
-    return based.filter((F.length("s") >= 2) & ~F.col("short_margin") & ~F.col("label") & ~F.col("period") & (F.col("ratio") > 1.0) & roomy)
+    return based.filter(_may_head())
 
 
-def thresholds(based: DataFrame) -> DataFrame:
-    """doc_id, ``level1`` and ``level2``: the mean size of the candidates without those of the most frequent size, and
+def with_thresholds(based: DataFrame) -> DataFrame:
+    """based with ``level1`` and ``level2``: the mean size of the candidates without those of the most frequent size, and
     0.8 of it or 1.1 of the base size."""
-    sizes = candidates(based).groupBy("doc_id", "font_size").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("n"), "first"))).filter("rank > 1")
-    mean = ranked.groupBy("doc_id").agg((F.sum(F.col("font_size") * F.col("n")) / F.sum("n")).alias("mean"))
-    bases = based.groupBy("doc_id").agg(F.first("base").alias("base")).join(mean, "doc_id", "left")
-    level1 = F.coalesce("mean", F.col("base") * 1.4)
-    return bases.select("doc_id", level1.alias("level1"), F.when(F.col("mean").isNull(), F.col("base") * 1.1).otherwise(F.greatest(F.col("mean") * 0.8, F.col("base") * 1.1)).alias("level2"))
+    doc, alike = Window.partitionBy("doc_id"), Window.partitionBy("doc_id", "may_head", "font_size")
+    s = based.withColumn("may_head", F.coalesce(_may_head(), F.lit(False)))
+    s = s.withColumns({"n_alike": F.count(F.lit(1)).over(alike), "first": F.min("pos").over(alike)})
+    often = F.struct(F.col("n_alike"), -F.col("first"))
+    s = s.withColumn("top", F.max(F.when(F.col("may_head"), often)).over(doc))
+    counted = F.col("may_head") & (F.col("pos") == F.col("first")) & (often != F.col("top"))  # one line for each other size
+    mean = F.sum(F.when(counted, F.col("font_size") * F.col("n_alike"))).over(doc) / F.sum(F.when(counted, F.col("n_alike"))).over(doc)
+    s = s.withColumn("mean", mean).withColumns({
+        "level1": F.coalesce("mean", F.col("base") * 1.4),
+        "level2": F.when(F.col("mean").isNull(), F.col("base") * 1.1).otherwise(F.greatest(F.col("mean") * 0.8, F.col("base") * 1.1)),
+    })
+    return s.drop("may_head", "n_alike", "first", "top", "mean")
+
+
+def thresholds(based: DataFrame) -> DataFrame:
+    """doc_id, ``level1`` and ``level2``."""
+    return with_thresholds(based).groupBy("doc_id").agg(F.first("level1").alias("level1"), F.first("level2").alias("level2"))
 
 
 def body_x0() -> Column:
@@ -90,7 +113,7 @@ def body_x0() -> Column:
 
 def classify(based: DataFrame, level2_as_body: bool = True, level3_as_body: bool = True) -> DataFrame:
     """based with ``level`` (0 body, 1 to 3) and ``as_body``."""
-    s = based.join(thresholds(based), "doc_id").withColumn("body_x0", body_x0())
+    s = with_thresholds(based).withColumn("body_x0", body_x0())
     cut = F.col("level1") - F.least(F.lit(0.2), F.col("level1") * 0.01)
     near = F.coalesce(F.abs(F.col("x0") - F.nullif("body_x0", F.lit(0.0))) <= 10, F.lit(False))
     barred = (F.length("s") < 2) | F.col("short_margin") | F.col("label") | F.col("note") | F.col("period")
@@ -120,20 +143,27 @@ def independence(classified: DataFrame) -> DataFrame:
     return s.withColumn("independent", F.when(heading, F.coalesce(decided, F.lit(False)))).drop("soon", "e1", "e2", "e3", "f1", "f2", "f3")
 
 
-def merge_headings(headings: DataFrame) -> DataFrame:
-    """Headings after merging, with ``title``: one of level 1 without body text takes in the next heading. In a run of
-    such headings every other one leads, if a heading follows it."""
-    s = headings.withColumn("hungry", (F.col("level") == 1) & ~F.col("independent"))
-    s = s.withColumn("breaks", F.sum((~F.col("hungry")).cast("int")).over(earlier()))
-    run = Window.partitionBy("doc_id", F.coalesce("breaks", F.lit(0)), "hungry").orderBy("pos")
-    s = s.withColumn("nth", F.row_number().over(run)).withColumn("follower", F.lead("s").over(ordered()))
-    s = s.withColumn("leads", F.col("hungry") & (F.col("nth") % 2 == 1) & F.col("follower").isNotNull())
-    s = s.withColumn("next_text", F.lead("text").over(ordered()))
-    s = s.withColumn("eaten", F.coalesce(F.lag("leads").over(ordered()), F.lit(False))).filter(~F.col("eaten"))
-    return s.select(
-        "doc_id", "pos", "level", F.when(F.col("leads"), F.concat("text", F.lit(" - "), "next_text")).otherwise(F.col("text")).alias("title"),
-        (F.col("independent") | F.col("leads")).alias("independent"), (F.col("as_body") & ~F.col("leads")).alias("as_body"),
-    )
+def with_merged(lines: DataFrame) -> DataFrame:
+    """lines of any level with ``head`` (a heading after merging), its ``title``, ``m_ind`` and ``m_body``: a heading of
+    level 1 without body text takes in the next heading. In a run of such headings every other one leads, if a heading
+    follows it."""
+    own = Window.partitionBy("doc_id", "heading").orderBy("pos")
+    s = lines.withColumn("heading", F.col("level") > 0).withColumn("hungry", (F.col("level") == 1) & ~F.col("independent"))
+    s = s.withColumn("breaks", F.coalesce(F.sum((~F.col("hungry")).cast("int")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    run = Window.partitionBy("doc_id", "heading", "breaks", "hungry").orderBy("pos")
+    s = s.withColumns({"nth": F.row_number().over(run), "next_text": F.lead("text").over(own)})
+    s = s.withColumn("leads", F.col("hungry") & (F.col("nth") % 2 == 1) & F.col("next_text").isNotNull())
+    s = s.withColumn("head", F.col("heading") & ~F.coalesce(F.lag("leads").over(own), F.lit(False)))
+    s = s.withColumns({
+        "title": F.when(F.col("head"), F.when(F.col("leads"), F.concat("text", F.lit(" - "), "next_text")).otherwise(F.col("text"))),
+        "m_ind": F.col("head") & (F.col("independent") | F.col("leads")), "m_body": F.col("head") & F.col("as_body") & ~F.col("leads"),
+    })
+    return s.drop("heading", "hungry", "breaks", "nth", "next_text", "leads")
+
+
+def merge_headings(lines: DataFrame) -> DataFrame:
+    """The headings after merging."""
+    return with_merged(lines).filter("head").select("doc_id", "pos", "level", "title", F.col("m_ind").alias("independent"), F.col("m_body").alias("as_body"))
 
 
 def in_notes(based: DataFrame) -> DataFrame:
@@ -154,15 +184,13 @@ def _letters(text: Column) -> Column:
 def chapters(lines: DataFrame, level2_as_body: bool = True, level3_as_body: bool = True) -> DataFrame:
     """doc_id, chapter_index, title, level, word_count, paragraph_count by the sizes of headings. A chapter runs to the
     next heading that isn't body, independent or not, or to the next heading of notes."""
-    s = in_notes(independence(classify(with_base(lines), level2_as_body, level3_as_body)))
-    merged = merge_headings(s.filter("level > 0")).select("doc_id", "pos", "title", F.col("independent").alias("m_ind"), F.col("as_body").alias("m_body"), F.lit(True).alias("head"))
-    s = s.join(merged, ["doc_id", "pos"], "left")
-    bound = (F.coalesce("head", F.lit(False)) & ~F.coalesce("m_body", F.lit(False))) | F.col("note")
+    s = with_merged(in_notes(independence(classify(with_base(lines), level2_as_body, level3_as_body))))
+    bound = (F.col("head") & ~F.col("m_body")) | F.col("note")
     s = s.withColumn("seg", running_segment(bound))
     opens = bound & ~F.col("note") & F.col("m_ind") & ~F.col("in_note") & ~F.col("title").rlike(NOTE)
     s = s.withColumn("opens", F.coalesce(opens, F.lit(False)))
     shown = ~F.col("in_note") & ~F.col("short_margin") & ~is_imprint(F.col("s"))
-    plain = F.when(F.coalesce("head", F.lit(False)), False).otherwise(F.col("body_sized") | F.col("period") | (estimated_level(F.col("ratio")) == 0))
+    plain = F.when(F.col("head"), False).otherwise(F.col("body_sized") | F.col("period") | (estimated_level(F.col("ratio")) == 0))
     made = s.groupBy("doc_id", "seg").agg(
         F.max("opens").alias("opens"), F.max(F.when(F.col("opens"), F.col("title"))).alias("title"), F.max(F.when(F.col("opens"), F.col("level"))).alias("level"),
         F.coalesce(F.sum(F.when(shown, _letters(F.col("text")))), F.lit(0)).cast("long").alias("word_count"), F.count_if(shown & plain & ~F.col("opens")).alias("paragraph_count"),
@@ -195,30 +223,40 @@ def toc_match(lines: DataFrame, entries: DataFrame) -> DataFrame:
         same = same & (F.coalesce(F.lead("page_num", k).over(ordered()), F.lit(-1)) == F.col("page_num"))
         glued = F.concat(glued, F.coalesce(F.lead("s", k).over(ordered()), F.lit("")))
         runs.append(F.when(same, F.translate(glued, " 　", "")))
-    s = s.withColumn("runs", F.array_compact(F.array(*runs))).select("doc_id", "pos", "page_num", "s", "n", "runs")
-    wanted = entries.filter("type <> 'part'").withColumn("flat", F.translate("title", " 　", ""))
+    s = s.withColumn("runs", F.array_compact(F.array(*runs))).select(F.col("doc_id").alias("of"), "pos", "page_num", "s", "n", "runs")
+    wanted = entries.withColumn("flat", F.translate("title", " 　", ""))
+    alike = (F.col("of") == F.col("doc_id")) & (F.substr("s", F.lit(1), F.lit(3)) == F.substr("title", F.lit(1), F.lit(3)))  # holds for each hit
     hit = (F.col("s") == F.col("title")) | (F.col("title").startswith(F.col("s")) & (F.length("s") >= 3) & F.exists("runs", lambda r: F.contains(r, F.col("flat"))))
     late = (F.col("type") == "section") & (F.col("pos") / F.col("n") >= 0.95)
-    found = s.join(wanted, "doc_id").filter((F.col("page_num") >= F.col("from_page")) & hit & ~late).groupBy("doc_id", "toc_pos").agg(F.min("pos").alias("index"))
-    return entries.join(found, ["doc_id", "toc_pos"], "left")
+    found = wanted.join(s, alike & (F.col("type") != "part") & (F.col("page_num") >= F.col("from_page")) & hit & ~late, "left")
+    return found.groupBy(*entries.columns).agg(F.min("pos").alias("index"))
+
+
+def _enough(matched: DataFrame) -> DataFrame:
+    """The entries found, of documents with three or more."""
+    found = matched.withColumn("n_found", F.count("index").over(Window.partitionBy("doc_id")))
+    return found.filter("n_found >= 3 and index is not null")
 
 
 def toc_chapters(lines: DataFrame, matched: DataFrame) -> DataFrame:
-    """Chapters of documents with three entries found or more: each runs to where the next entry starts."""
-    enough = F.count("index").over(Window.partitionBy("doc_id")) >= 3
-    found = matched.withColumn("enough", enough).filter("enough and index is not null")
-    by_toc = Window.partitionBy("doc_id").orderBy("toc_pos")
-    found = found.withColumns({"chapter_index": F.row_number().over(by_toc), "end": F.lead("index").over(by_toc)}).select("doc_id", "chapter_index", "title", "level", "index", "end")
-    s = with_base(lines).select("doc_id", "pos", "text", "body_sized", "period", "ratio")
-    inside = (F.col("pos") >= F.col("index")) & (F.col("end").isNull() | (F.col("pos") < F.col("end")))
-    joined_ = found.join(s, "doc_id").filter(inside)
-    plain = (F.col("pos") > F.col("index")) & (F.col("body_sized") | F.col("period") | (estimated_level(F.col("ratio")) == 0))
-    counts = joined_.groupBy("doc_id", "chapter_index").agg(F.sum(_letters(F.col("text"))).cast("long").alias("word_count"), F.count_if(plain).alias("paragraph_count"))
-    return found.join(counts, ["doc_id", "chapter_index"], "left").select("doc_id", "chapter_index", "title", "level", F.coalesce("word_count", F.lit(0)).cast("long").alias("word_count"), F.coalesce("paragraph_count", F.lit(0)).cast("long").alias("paragraph_count"))
+    """Chapters of documents with three entries found or more: each runs to where the next entry starts. Counts are
+    differences of running sums, looked up where the entries start."""
+    plain = F.col("body_sized") | F.col("period") | (estimated_level(F.col("ratio")) == 0)
+    whole = Window.partitionBy("doc_id")
+    s = with_base(lines).withColumns({"letters": _letters(F.col("text")), "plain": F.coalesce(plain, F.lit(False)).cast("long")})
+    s = s.withColumns({"letters_to": F.sum("letters").over(earlier()), "plain_to": F.sum("plain").over(earlier()), "letters_of": F.sum("letters").over(whole), "plain_of": F.sum("plain").over(whole)})
+    s = s.select("doc_id", F.col("pos").alias("index"), F.coalesce("letters_to", F.lit(0)).alias("letters_to"), F.coalesce("plain_to", F.lit(0)).alias("plain_to"), "plain", "letters_of", "plain_of")
+    by_toc = whole.orderBy("toc_pos")
+    found = _enough(matched).join(s, ["doc_id", "index"]).withColumn("end", F.lead("index").over(by_toc))
+    span = lambda part: F.coalesce(F.lead(f"{part}_to").over(by_toc), F.col(f"{part}_of")) - F.col(f"{part}_to")
+    forward = F.col("end").isNull() | (F.col("end") > F.col("index"))
+    counts = {"word_count": span("letters"), "paragraph_count": span("plain") - F.col("plain")}
+    return found.select("doc_id", F.row_number().over(by_toc).alias("chapter_index"), "title", "level", *[F.when(forward, v).otherwise(0).cast("long").alias(k) for k, v in counts.items()])
 
 
 def document_chapters(lines: DataFrame) -> DataFrame:
-    """By the table of contents where three entries or more are found, by sizes elsewhere."""
-    by_toc = toc_chapters(lines, toc_match(lines, toc(lines)))
-    rest = lines.join(by_toc.select("doc_id").distinct(), "doc_id", "left_anti")
-    return by_toc.unionByName(chapters(rest))
+    """By the table of contents where three entries or more are found, by sizes elsewhere. The entries with their lines
+    are stored first: both ways ask for them, and they are a small part of the lines."""
+    matched = stored(toc_match(lines, toc(lines)), "contents")
+    rest = lines.join(_enough(matched).select("doc_id").distinct(), "doc_id", "left_anti")
+    return toc_chapters(lines, matched).unionByName(chapters(rest))

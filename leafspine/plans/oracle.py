@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from ..functions.text import CHAPTER, CJK, SPACE
-from .fixtures import BOOK, BOOK_TITLE, CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PDF_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TOC_PARTS, TXT, XML_PIECE, case_of
+from .fixtures import (
+    BOOK, BOOK_HEAD, CLASS, CODE_C, CODE_HASH, DOCX_COLUMNS, DOCX_HEAD, EXT, EXTENSION_LIST, FONT_HEAD, MD, NAME, OCR_COLUMNS, OCR_HEAD, PDF_COLUMNS, PDF_HEAD,
+    PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, STYLE, TOC_PARTS, TOC_Y, TXT, XML_PIECE, case_of,
+)
 
 W = "over (partition by doc_id order by pos rows between unbounded preceding and current row)"
 WB = "over (partition by doc_id order by pos rows between unbounded preceding and 1 preceding)"
@@ -18,6 +21,13 @@ DOC_LINES = """raw_lines as (select doc_id, generate_subscripts(ls, 1) - 1 as po
   from (select doc_id, string_split(text, chr(10)) as ls from documents))"""
 
 
+def headed(head: str, where: str = "true") -> str:
+    """Headings at even positions, whole lines at odd ones."""
+    return f"""lines0 as (select doc_id, generate_subscripts(ls, 1) - 1 as pos, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)),
+lines1 as (select doc_id, pos, {head} as head, line from lines0 where {where}),
+raw_lines as (select doc_id, pos * 2 as pos, head as line from lines1 where head is not null union all select doc_id, pos * 2 + 1, line from lines1)"""
+
+
 def lines(marks) -> str:
     return f"{DOC_LINES},\nlines as (select doc_id, pos, {case_of(marks)} as line from raw_lines)"
 
@@ -173,7 +183,7 @@ bases as (select doc_id, size as base from (select *, row_number() over (partiti
 based as (select p2.*, base, font_size / base as ratio, font_size / base between 0.9 and 1.1 as body_sized from p2 join bases using (doc_id))"""
 
 
-_PDF = measured(f"""{DOC_LINES},
+_PDF = measured(f"""{headed(PDF_HEAD)},
 pdf0 as (select *, {PDF_COLUMNS[0][1]} as page_num, {PDF_COLUMNS[1][1]} as font_size, {PDF_COLUMNS[2][1]} as text from raw_lines),
 pdf as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in PDF_COLUMNS[3:])}, page_num, font_size, text from pdf0)""")
 _CAND = f"""{_PDF},
@@ -218,7 +228,8 @@ n4 as (select doc_id, seg, max(title) filter (where opens) as title, max(level)
     count(*) filter (where shown and plain and not opens) as paragraph_count from n3 group by 1, 2 having bool_or(opens))"""
 _TOC_LINES = f"""{DOC_LINES},
 t0 as ({" union all ".join(f"select doc_id, {k} as k, {n} as n, {page} as page_num, cast({size} as double) as font_size, {text} as text from raw_lines where {where}" for k, n, page, size, text, where in TOC_PARTS)}),
-pdf as (select doc_id, row_number() over (partition by doc_id order by k, n) - 1 as pos, page_num, font_size, text, 72.0::double as x0, 300.0::double as x1, 100.0::double as y0, 112.0::double as y1, 600.0::double as page_width, 780.0::double as page_height from t0)"""
+t1 as (select doc_id, row_number() over (partition by doc_id order by k, n) - 1 as pos, page_num, font_size, text from t0),
+pdf as (select *, 72.0::double as x0, 300.0::double as x1, {TOC_Y} as y0, {TOC_Y} + 14 as y1, 600.0::double as page_width, 780.0::double as page_height from t1)"""
 _TOC = f"""{_TOC_LINES},
 u1 as (select *, {strip("text")} as s from pdf),
 u2 as (select doc_id, min(pos) as sp from u1 where s = '目录' and font_size >= 20 group by 1),
@@ -259,8 +270,8 @@ select doc_id, chapter_index, title, level, coalesce(wc, 0)::bigint as word_coun
 }
 
 _NUM = "0-9一二三四五六七八九十百千万"
-_DOCX = f"""{DOC_LINES},
-paras as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in DOCX_COLUMNS)} from raw_lines where line <> ''),
+_DOCX = f"""{headed(DOCX_HEAD, "line <> ''")},
+paras as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in DOCX_COLUMNS)} from raw_lines),
 sz as (select doc_id, font_size, row_number() over (partition by doc_id order by font_size, pos) - 1 as i, count(*) over (partition by doc_id) as n from paras where font_size <> 0),
 st as (select doc_id, min(font_size) as min_size, max(font_size) as max_size, avg(font_size) as mean_size, max(font_size) filter (where i = n // 4) as q1_size,
     max(font_size) filter (where i = n // 2) as median_size, max(font_size) filter (where i = 3 * n // 4) as q3_size from sz group by 1),
@@ -277,7 +288,7 @@ e2 as (select *, max(seg) over (partition by doc_id) > 0 as has from e1),
 e3 as (select *, row_number() over (partition by doc_id, seg order by pos) as rn, count(*) over (partition by doc_id, seg) as size from e2 where not has or seg >= 1),
 e4 as (select doc_id, seg, min_by(text, pos)[1:case when bool_or(has) then 100 else 50 end] as title, coalesce(sum(length(text)) filter (where rn > 1 or size = 1), 0)::bigint as word_count,
     count(*) filter (where (rn > 1 or size = 1) and subheading_level = 0) as paragraph_count from e3 group by 1, 2)"""
-_OCR = f"""{DOC_LINES},
+_OCR = f"""{headed(OCR_HEAD)},
 ocr0 as (select doc_id, pos, {", ".join(f"{e} as {n}" for n, e in OCR_COLUMNS)} from raw_lines),
 ocr1 as (select *, {strip("text")} as s from ocr0 where text <> '' and confidence > 0.5),
 ocr2 as (select doc_id, pos, text, s, case when length(s) < 30 and regexp_matches(s, '(?i)^(第[{_NUM}]+[章节篇回]|(Chapter|Part)[{SPACE}]+[0-9]+|[0-9一二三四五六七八九十]+[、.{SPACE}]|摘要|前言|引言|结论|总结|附录)') then 'heading'
@@ -328,7 +339,7 @@ select doc_id, pos::int as pos, text, font_size, is_bold, is_italic, font_name,
   || '**层级路径**：' || coalesce(path, n::varchar) || '  ' || chr(10) || '**字数统计**：' || length(body) || ' 字  ' || chr(10) || '**生成时间**：2025-01-01 00:00  ' || chr(10) || chr(10) || '---' || chr(10) || chr(10)
   || coalesce(nullif(body, ''), '*（本章内容为空）*') || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '*leafspine*' as markdown, length(body)::bigint as word_count,
   ({count_re("body", CJK)} + {count_re("body", f"[^{SPACE}]+")})::bigint as display_count, replace(coalesce(path, n::varchar), '.', '_') || '_' || {filename("coalesce(nullif(title, ''), 'chapter_' || n)")} || '.md' as file_name from g4""",
-    "safe_filename": f"""with d as (select doc_id, case when doc_id % 50 = 0 then ' . ' else ' ./' || text[1:90] || case when doc_id % 2 = 0 then 'a?b*c:d"e<f>g|h\\i' || chr(13) || '.. ' else '' end end as name from documents) select doc_id, {filename("name")} as file_name from d""",
+    "safe_filename": f"""with d as (select doc_id, {NAME} as name from documents) select doc_id, {filename("name")} as file_name from d""",
     "hierarchy_path": """select 'r' || r_regionkey as chapter_id, (r_regionkey + 1)::varchar as hierarchy_path from region
 union all select 'n' || n_nationkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) from nation
 union all select 's' || s_suppkey, (n_regionkey + 1) || '.' || (n_nationkey + 1) || '.' || s_suppkey from supplier join nation on s_nationkey = n_nationkey""",
@@ -359,28 +370,31 @@ _PATTERNS = [
     (f"^[0-9]{{1,2}}[.{SPACE}]+[^\\n]+", 2), (f"^[（(]?[0-9]{{1,2}}[)）]?[、.{SPACE}]+[^\\n]+", 2), (f"^[（(]?[一二三四五六七八九十百千]+[)）]?[、.{SPACE}]+[^\\n]+", 2),
 ]
 _BOOK_TEXTS = f"""{lines(BOOK)}, texts as (select doc_id, string_agg(line, chr(10) order by pos) as text from lines group by 1),
-hits as ({" union all ".join(f"select doc_id, text, {k} as pattern, {level} as level, generate_subscripts(ms, 1) - 1 as nth, unnest(ms) as m from (select *, regexp_extract_all(text, '(?im){p}') as ms from texts)" for k, (p, level) in enumerate(_PATTERNS))})"""
-_CANDS = f"""{DOC_LINES}, c0 as (select *, {BOOK_TITLE} as title, (pos % 3)::int as prio, 'f' || (pos % 2) as file_path from raw_lines),
+found as ({" union all ".join(f"select doc_id, {k} as pattern, {level} as level, generate_subscripts(ms, 1) - 1 as nth, unnest(ms) as m, unnest(gs[1:len(ms)]) as g from (select doc_id, regexp_extract_all(text, '(?im){p}') as ms, string_split_regex(text, '(?im){p}') as gs from texts)" for k, (p, level) in enumerate(_PATTERNS))}),
+hits as (select *, length(g) + coalesce(sum(length(g) + length(m)) over (partition by doc_id, pattern order by nth rows between unbounded preceding and 1 preceding), 0) as position from found)"""
+_CANDS = f"""{headed(BOOK_HEAD)}, c0 as (select *, line as title, (pos % 3)::int as prio, 'f' || (pos % 2) as file_path from raw_lines),
 c1 as (select *, row_number() over (partition by doc_id, prio order by file_path, pos % 7, pos) as rn from c0),
 valid as (select * from c1 where (regexp_matches(title, '(?i)第[{_ZH}]+[章讲]|Chapter[{SPACE}]*[0-9]+|^[0-9]+[{SPACE}]+|^[0-9]+[.{SPACE}]') and pos % 4 < 3) or length(title) >= 50 or rn = 1)"""
-_RANGES = """f as (select doc_id as d, doc_id % 10 as doc_id, lpad(doc_id::varchar, 8, '0') as file_path, text, lang, (row_number() over (partition by doc_id % 10 order by lpad(doc_id::varchar, 8, '0')) - 1)::int as idx from documents),
+_RANGES = """f as (select doc_id as d, doc_id // 50 as doc_id, lpad(doc_id::varchar, 8, '0') as file_path, text, lang, (row_number() over (partition by doc_id // 50 order by lpad(doc_id::varchar, 8, '0')) - 1)::int as idx from documents),
 ch as (select f.doc_id, file_path, p as position, 'c' || p || lang as title, idx as file_idx from f, (select unnest([0, 5]) as p) where d % 3 = 0 and (p = 0 or d % 2 = 0)),
 rg as (select *, coalesce(lead(file_idx) over (partition by doc_id order by file_path, position), 1073741824)::int as until from ch)"""
 ORACLE_SQL |= {
     "html_title": f"select page_id, {strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")} as title, length(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>', '', 'g'), '(?is)<style.*?</style>', '', 'g'))::int as n_chars from pages",
     "html_word_count": f"select doc_id, ({count_re("text || '中文'", CJK)} + {count_re("text", "[a-zA-Z]+")})::bigint as word_count from documents",
-    "html_substance": f"""with d as (select doc_id, string_split(text, chr(10))[1] as t, text[1:length(string_split(text, chr(10))[1]) + 20] as x from documents),
+    "html_substance": f"""with d as (select doc_id, string_split(text, chr(10))[1] as t, text as x from documents),
 r as (select doc_id, case when t <> '' and instr(x, t) > 0 then x[1:instr(x, t) - 1] || x[instr(x, t) + length(t):] else x end as rest from d) select doc_id, {count_re('rest', CJK)} > 3 or {count_re('rest', '[a-zA-Z]+')} >= 5 as substance from r""",
-    "html_block_types": "select doc_id, [null, 'heading', 'paragraph', 'list', 'quote', 'code', 'table', 'paragraph', null][doc_id % 9 + 1] as type from documents",
-    "html_style": """with d as (select doc_id, doc_id % 5 as a, doc_id % 7 as b, doc_id % 3 as c from documents)
-select doc_id, a = 0 or b = 0 or c = 0 as bold, a = 1 or b = 1 or c = 0 as italic, case b when 0 then 'right' when 1 then 'center' when 2 then 'left' end as alignment from d""",
-    "epub_font_size": f"""with {DOC_LINES}, s as (select doc_id, pos, line[1:40] as t, case pos % 4 when 0 then (pos % 5 + 10) * 1.33::double when 1 then (pos % 5 + 10)::double when 2 then (pos % 5 + 10) * 16::double end as size from raw_lines),
+    "html_block_types": "select doc_id, [null, 'heading', 'paragraph', 'list', 'quote', 'code', 'table', 'paragraph', null][length(text) % 9 + 1] as type from documents",
+    "html_style": f"""with d as (select doc_id, doc_id % 5 as a, lower({STYLE}) as s, lower({CLASS}) as c from documents)
+select doc_id, a = 0 or (contains(s, 'font-weight') and (contains(s, 'bold') or contains(s, '700'))) or contains(c, 'bold') or contains(c, 'strong') as bold,
+  a = 1 or (contains(s, 'font-style') and contains(s, 'italic')) or contains(c, 'italic') or contains(c, 'em') as italic,
+  case when contains(s, 'text-align') then case when contains(s, 'center') then 'center' when contains(s, 'right') then 'right' when contains(s, 'left') then 'left' end end as alignment from d""",
+    "epub_font_size": f"""with {headed(FONT_HEAD)}, s as (select doc_id, pos, line as t, case pos % 4 when 0 then (pos % 5 + 10) * 1.33::double when 1 then (pos % 5 + 10)::double when 2 then (pos % 5 + 10) * 16::double end as size from raw_lines),
 m as (select *, max(size) over (partition by doc_id) as most from s where size is not null and t <> ''),
 k as (select *, row_number() over (partition by doc_id, t order by pos) as rn from m where size >= most * 0.75 and length(t) between 6 and 99 and not contains('{_END}', t[-1]))
-select doc_id, 3 as prio, 3 as confidence, 'font_size' as source, 'f' as file_path, 0 as position, pos::int as enc_pos, t as title, case when size = most then 1 else 2 end as level, 0 as tag_level from k where rn = 1""",
-    "epub_pattern": f"""with {_BOOK_TEXTS}, h as (select doc_id, pattern, level, nth, instr(text, m) as position, {strip("m")} as title from hits)
+select doc_id, 3 as prio, 3 as confidence, 'font_size' as source, 'f' as file_path, 0 as position, pos::bigint as enc_pos, t as title, case when size = most then 1 else 2 end as level, 0 as tag_level from k where rn = 1""",
+    "epub_pattern": f"""with {_BOOK_TEXTS}, h as (select doc_id, pattern, level, nth, position, {strip("m")} as title from hits)
 select doc_id, pattern, nth::int as nth, position::int as position, title, level from h where {title_ok("title")}""",
-    "epub_stopwords": f"with {DOC_LINES}, t as (select *, {BOOK_TITLE} as title from raw_lines) select doc_id, pos::int as pos, regexp_matches(lower(title), '{_STOP}') as stop, {title_ok('title')} as ok from t",
+    "epub_stopwords": f"with {headed(BOOK_HEAD)}, t as (select *, line as title from raw_lines) select doc_id, pos::int as pos, regexp_matches(lower(title), '{_STOP}') as stop, {title_ok('title')} as ok from t",
     "epub_validate": f"with {_CANDS} select doc_id, prio, pos::int as enc_pos, title from valid",
     "epub_choose": f"""with {_CANDS}, n as (select doc_id, prio, count(*) as n from valid group by 1, 2),
 r as (select *, row_number() over (partition by doc_id order by n < 2, case when n >= 2 then prio else prio - 5 end, n desc, prio) as r from n)

@@ -11,7 +11,10 @@ from ..functions import text
 from ..operators import code, dispatch, docx, epub, html, markdown, markup, ocr, pdf, prompt, render, tabular, txt
 from ..sources import html as sources_html
 from ..sources import parse
-from .fixtures import BOOK, BOOK_TITLE, CODE_C, CODE_HASH, DOCX_COLUMNS, EXT, EXTENSION_LIST, MD, OCR_COLUMNS, PROMPT_CONTENT, RTF_HEAD, RTF_PIECE, TXT, XML_PIECE, doc_lines, marked, pdf_lines, table, toc_lines, with_columns
+from .fixtures import (
+    BOOK, BOOK_HEAD, CLASS, CODE_C, CODE_HASH, DOCX_COLUMNS, DOCX_HEAD, EXT, EXTENSION_LIST, FONT_HEAD, FONT_STYLE, MD, NAME, OCR_COLUMNS, OCR_HEAD, PDF_HEAD, PROMPT_CONTENT,
+    RTF_HEAD, RTF_PIECE, STYLE, TAGS, TXT, XML_PIECE, doc_lines, headed, marked, pdf_lines, table, toc_lines, with_columns,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -188,7 +191,7 @@ def code_documents(spark, sf_dir):
 
 
 def _pdf(spark, sf_dir):
-    return pdf_lines(doc_lines(spark, sf_dir))
+    return pdf_lines(headed(doc_lines(spark, sf_dir), PDF_HEAD))
 
 
 @query
@@ -228,7 +231,7 @@ def pdf_independence(spark, sf_dir):
 
 @query
 def pdf_merge(spark, sf_dir):
-    return pdf.merge_headings(pdf.independence(pdf.classify(pdf.with_base(_pdf(spark, sf_dir)))).filter("level > 0"))
+    return pdf.merge_headings(pdf.independence(pdf.classify(pdf.with_base(_pdf(spark, sf_dir)))))
 
 
 @query
@@ -283,7 +286,7 @@ def pdf_document_chapters(spark, sf_dir):
 
 
 def _docx(spark, sf_dir):
-    return with_columns(doc_lines(spark, sf_dir).filter("line <> ''"), DOCX_COLUMNS)
+    return with_columns(headed(doc_lines(spark, sf_dir).filter("line <> ''"), DOCX_HEAD), DOCX_COLUMNS)
 
 
 @query
@@ -326,7 +329,7 @@ def docx_paragraphs(spark, sf_dir):
 
 
 def _ocr(spark, sf_dir):
-    return with_columns(doc_lines(spark, sf_dir), OCR_COLUMNS)
+    return with_columns(headed(doc_lines(spark, sf_dir), OCR_HEAD), OCR_COLUMNS)
 
 
 @query
@@ -368,8 +371,7 @@ def render_markdown(spark, sf_dir):
 
 @query
 def safe_filename(spark, sf_dir):
-    name = F.concat(F.lit(" ./"), F.substr("text", F.lit(1), F.lit(90)), F.when(F.col("doc_id") % 2 == 0, 'a?b*c:d"e<f>g|h\\i\r.. ').otherwise(""))
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 50 == 0, F.lit(" . ")).otherwise(name).alias("name"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(NAME).alias("name"))
     return docs.select("doc_id", text.safe_filename("name").alias("file_name"))
 
 
@@ -471,21 +473,21 @@ def html_word_count(spark, sf_dir):
 @query
 def html_substance(spark, sf_dir):
     first = F.get(F.split("text", "\n", -1), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", html.has_substance(F.substr("text", F.lit(1), F.length(first) + 20), first).alias("substance"))
+    return table(spark, sf_dir, "documents").select("doc_id", html.has_substance("text", first).alias("substance"))
 
 
 @query
 def html_block_types(spark, sf_dir):
-    tags = F.array(*[F.lit(t) for t in ("h1", "h3", "p", "ul", "blockquote", "pre", "table", "span", "script")])
-    tag = F.get(tags, (F.col("doc_id") % 9).cast("int"))
+    """Tags by the lengths of the texts."""
+    tag = F.get(F.array(*map(F.lit, TAGS)), F.length("text") % len(TAGS))
     return table(spark, sf_dir, "documents").select("doc_id", html.block_type(tag).alias("type"))
 
 
 @query
 def html_style(spark, sf_dir):
+    """Whole texts in the attributes."""
     tag = F.when(F.col("doc_id") % 5 == 0, "b").when(F.col("doc_id") % 5 == 1, "em").otherwise("p")
-    css = F.when(F.col("doc_id") % 7 == 0, "Font-Weight: 700; text-align: right").when(F.col("doc_id") % 7 == 1, "font-style: italic; text-align: center").when(F.col("doc_id") % 7 == 2, "text-align:left")
-    nodes = table(spark, sf_dir, "documents").select("doc_id", tag.alias("tag"), css.alias("attr_style"), F.when(F.col("doc_id") % 3 == 0, "Item strong").when(F.col("doc_id") % 3 == 1, "plain").alias("attr_class"))
+    nodes = table(spark, sf_dir, "documents").select("doc_id", tag.alias("tag"), F.expr(STYLE).alias("attr_style"), F.expr(CLASS).alias("attr_class"))
     return html.style(nodes).select("doc_id", "bold", "italic", "alignment")
 
 
@@ -497,7 +499,8 @@ def _book_nodes(spark, sf_dir):
 
 
 def _book_files(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select((F.col("page_id") % 10).alias("doc_id"), F.concat(F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".html")).alias("file_path"), "html")
+    """Twenty pages a book, so that books grow in number and not in size. Class names as books have them."""
+    return table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 20).alias("doc_id"), F.concat(F.lpad(F.col("page_id").cast("string"), 6, "0"), F.lit(".html")).alias("file_path"), F.replace("html", F.lit("<p>"), F.lit('<p class="Chapter_title">')).alias("html"))
 
 
 @query
@@ -512,9 +515,9 @@ def epub_classes(spark, sf_dir):
 
 @query
 def epub_font_size(spark, sf_dir):
-    """Sizes in all units, made from document lines."""
-    css = "concat('x: 1; font-size: ', pos % 5 + 10, CASE WHEN pos % 4 = 0 THEN 'pt' WHEN pos % 4 = 1 THEN 'PX' WHEN pos % 4 = 2 THEN 'em' ELSE '' END)"
-    nodes = doc_lines(spark, sf_dir).select("doc_id", F.lit("f").alias("file_path"), "pos", F.lit("p").alias("tag"), F.expr(css).alias("attr_style"), F.substr("line", F.lit(1), F.lit(40)).alias("text"))
+    """Sizes in all units, on whole lines and headings."""
+    lines = headed(doc_lines(spark, sf_dir), FONT_HEAD)
+    nodes = lines.select("doc_id", F.lit("f").alias("file_path"), "pos", F.lit("p").alias("tag"), F.expr(FONT_STYLE).alias("attr_style"), F.col("line").alias("text"))
     return epub.by_font_size(nodes)
 
 
@@ -534,16 +537,16 @@ def epub_pattern(spark, sf_dir):
 
     lines = marked(doc_lines(spark, sf_dir), BOOK)
     texts = lines.groupBy("doc_id").agg(joined(F.col("line"), "\n").alias("text")).withColumn("file_path", F.lit("f"))
-    return epub.by_pattern(texts).select("doc_id", F.floor(F.col("enc_pos") / 1000000).cast("int").alias("pattern"), (F.col("enc_pos") % 1000000).cast("int").alias("nth"), "position", "title", "level")
+    return epub.by_pattern(texts).select("doc_id", F.shiftright("enc_pos", epub.SHIFT).cast("int").alias("pattern"), (F.col("enc_pos") % (1 << epub.SHIFT)).cast("int").alias("nth"), "position", "title", "level")
 
 
 @query
 def epub_stopwords(spark, sf_dir):
-    return with_columns(doc_lines(spark, sf_dir), [("title", BOOK_TITLE)]).select("doc_id", "pos", epub.is_stop(F.col("title")).alias("stop"), text.title_ok("title", epub.STOP).alias("ok"))
+    return headed(doc_lines(spark, sf_dir), BOOK_HEAD).withColumnRenamed("line", "title").select("doc_id", "pos", epub.is_stop(F.col("title")).alias("stop"), text.title_ok("title", epub.STOP).alias("ok"))
 
 
 def _candidates(spark, sf_dir):
-    rows = with_columns(doc_lines(spark, sf_dir), [("title", BOOK_TITLE), ("prio", "cast(pos % 3 as int)"), ("tag_level", "cast(pos % 4 as int)"), ("file_path", "concat('f', pos % 2)")])
+    rows = with_columns(headed(doc_lines(spark, sf_dir), BOOK_HEAD), [("title", "line"), ("prio", "cast(pos % 3 as int)"), ("tag_level", "cast(pos % 4 as int)"), ("file_path", "concat('f', pos % 2)")])
     return rows.select("doc_id", "prio", (5 - F.col("prio")).alias("confidence"), F.concat(F.lit("way"), F.col("prio").cast("string")).alias("source"), "file_path", (F.col("pos") % 7).alias("position"), F.col("pos").alias("enc_pos"), "title", F.lit(1).alias("level"), "tag_level")
 
 
@@ -558,13 +561,13 @@ def epub_choose(spark, sf_dir):
 
 
 def _book_texts(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select((F.col("doc_id") % 10).alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("file_path"), "text")
+    return table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 50).alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("file_path"), "text")
 
 
 def _book_chapters(spark, sf_dir):
     starts = table(spark, sf_dir, "documents").filter("doc_id % 3 = 0")
     two = starts.withColumn("position", F.explode(F.array(F.lit(0), F.lit(5))))
-    return two.filter("position = 0 or doc_id % 2 = 0").select((F.col("doc_id") % 10).alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("file_path"), "position", F.lit(0).alias("enc_pos"), F.concat(F.lit("c"), F.col("position").cast("string"), "lang").alias("title"), F.lit(1).alias("level"))
+    return two.filter("position = 0 or doc_id % 2 = 0").select(F.floor(F.col("doc_id") / 50).alias("doc_id"), F.lpad(F.col("doc_id").cast("string"), 8, "0").alias("file_path"), "position", F.lit(0).alias("enc_pos"), F.concat(F.lit("c"), F.col("position").cast("string"), "lang").alias("title"), F.lit(1).alias("level"))
 
 
 @query
