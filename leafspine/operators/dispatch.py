@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The readers in the order in which they are asked, with their extensions.
-READERS: dict[str, str] = {
-    "pdf": "pdf",
-    "epub": "epub",
-    "docx": "docx doc",
-    "html": "html htm xhtml",
-    "markdown": "md markdown mdown mkd mkdn",
-    "json": "json jsonl",
-    "csv": "csv tsv tab",
-    "xml": "xml xhtml xht rss atom opml",
-    "rtf": "rtf",
-    "code": (
-        "py pyw pyi pyc pyo js jsx ts tsx mjs cjs java class jar c cpp cc cxx h hpp hxx cs csx go rs rlib rb rbw php php3 php4 php5 phtml "
-        "swift kt kts scala sc pl pm sh bash zsh fish ps1 psm1 sql css scss sass less yaml yml toml ini conf cfg properties env"
-    ),
-    "txt": "txt md markdown",
-}
+READERS: dict[str, list[str]] = {
+    "pdf": ["pdf"],
+    "epub": ["epub"],
+    "docx": ["docx", "doc"],
+    "html": ["html", "htm", "xhtml"],
+    "markdown": ["md", "markdown", "mdown", "mkd", "mkdn"],
+    "json": ["json", "jsonl"],
+    "csv": ["csv", "tsv", "tab"],
+    "xml": ["xml", "xhtml", "xht", "rss", "atom", "opml"],
+    "rtf": ["rtf"],
+    "code": [
+        "py", "pyw", "pyi", "pyc", "pyo", "js", "jsx", "ts", "tsx", "mjs", "cjs", "java", "class", "jar", "c", "cpp", "cc", "cxx", "h", "hpp", "hxx", "cs", "csx", "go", "rs", "rlib",
+        "rb", "rbw", "php", "php3", "php4", "php5", "phtml", "swift", "kt", "kts", "scala", "sc", "pl", "pm", "sh", "bash", "zsh", "fish", "ps1", "psm1", "sql", "css", "scss", "sass",
+        "less", "yaml", "yml", "toml", "ini", "conf", "cfg", "properties", "env",
+    ],
+    "txt": ["txt", "md", "markdown"],
+}
 
 
 def extension(path: str | Column) -> Column:
@@ -40,7 +41,7 @@ def reader(path: str | Column) -> Column:
     ext = extension(path)
     out = F.lit(None).cast("string")
     for name, exts in reversed(READERS.items()):
-        out = F.when(ext.isin(*exts.split()), name).otherwise(out)
+        out = F.when(ext.isin(*exts), name).otherwise(out)
     return out
 
 
@@ -50,7 +51,7 @@ def file_info(files: DataFrame) -> DataFrame:
 
 
 def supported_formats(spark) -> DataFrame:
-    rows = [(i, name, e) for i, (name, exts) in enumerate(READERS.items()) for e in exts.split()]
+    rows = [(i, name, e) for i, (name, exts) in enumerate(READERS.items()) for e in exts]
     df = spark.createDataFrame(rows, "priority int, reader string, ext string")
     return df.groupBy("ext").agg(F.min_by("reader", "priority").alias("reader"))
 

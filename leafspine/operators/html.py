@@ -9,7 +9,7 @@ from ..functions.text import cjk_count, latin_words, mixed_word_count, remove_fi
 from ..plans.segment import joined, ordered, running_segment
 
 #: The block type of each tag; other tags are paragraphs, h1 and h2 are none.
-TYPES = {"heading": "h3 h4 h5 h6", "list": "ul ol", "quote": "blockquote", "code": "pre code", "table": "table"}
+TYPES = {"heading": ["h3", "h4", "h5", "h6"], "list": ["ul", "ol"], "quote": ["blockquote"], "code": ["pre", "code"], "table": ["table"]}
 
 
 def without_scripts(html: str | Column) -> Column:
@@ -26,7 +26,7 @@ def block_type(tag: str | Column) -> Column:
     t = F.col(tag) if isinstance(tag, str) else tag
     out = F.lit("paragraph")
     for kind, tags in TYPES.items():
-        out = F.when(t.isin(*tags.split()), kind).otherwise(out)
+        out = F.when(t.isin(*tags), kind).otherwise(out)
     return F.when(~t.isin("h1", "h2", "script", "style"), out)
 
 

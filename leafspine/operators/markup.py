@@ -9,6 +9,7 @@ from ..functions.text import SPACE, col, count_of, strip
 
 #: The elements that are chapters, in the order in which they are looked for.
 TAGS = ["chapter", "section", "part", "book", "article", "title", "head", "body", "item", "entry"]
+#: Fixed value: the beginning of a line that is a chapter.
 RTF_CHAPTER = r"(?i)^(CHAPTER|SECTION|PART|第[一二三四五六七八九十0-9]+章)"
 
 
@@ -36,7 +37,7 @@ def _matches(content: Column, tag: str) -> Column:
 
 
 def rtf_text(content: str | Column) -> Column:
-    """The text of an RTF source on one line."""
+    """The text of an RTF source on one line. The expressions, in their order."""
     t = F.regexp_replace(col(content), r"\{\\rtf1[^}]*\}", "")
     t = F.regexp_replace(t, rf"\\[a-z]+[0-9]*[{SPACE}]?", " ")
     t = F.regexp_replace(t, rf"\\\*\\[^{SPACE}{{}}]+", " ")

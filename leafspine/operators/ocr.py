@@ -48,6 +48,14 @@ def blocks(lines: DataFrame) -> DataFrame:
     return confident(lines).select("doc_id", "pos", line_type("text").alias("type"), "text", line_level("text").alias("level"))
 
 
-def chapters(blocks: DataFrame) -> DataFrame:
+def _boundary() -> Column:
     t = strip("text")
-    return txt.chapters(blocks, is_boundary=(F.col("type") == "heading") & (t.rlike(CHAPTER) | t.rlike(NUMBERED_HAN)))
+    return (F.col("type") == "heading") & (t.rlike(CHAPTER) | t.rlike(NUMBERED_HAN))
+
+
+def chapters(blocks: DataFrame) -> DataFrame:
+    return txt.chapters(blocks, is_boundary=_boundary())
+
+
+def chapter_blocks(blocks: DataFrame) -> DataFrame:
+    return txt.chapter_blocks(blocks, is_boundary=_boundary())

@@ -23,10 +23,12 @@ MARGIN_ZONE = 0.06
 
 def lines_from_spans(spans: DataFrame) -> DataFrame:
     """Lines from spans (doc_id, page_num, block_no, line_no, span_no, text, size, font, x0, y0, x1, y1): stripped texts
-    without separator, mean size, first font, union of the boxes; empty lines are left out."""
+    without separator, mean size, first font, union of the boxes, the size of the page if spans have it; empty lines are
+    left out."""
     s = spans.withColumn("t", strip("text")).filter("t <> ''")
     made = s.groupBy("doc_id", "page_num", "block_no", "line_no").agg(
-        joined(F.col("t"), "", "span_no").alias("text"), F.avg("size").alias("font_size"), F.min_by("font", "span_no").alias("font_name"), *[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
+        joined(F.col("t"), "", "span_no").alias("text"), F.avg("size").alias("font_size"), F.min_by("font", "span_no").alias("font_name"), *[F.min(c).alias(c) for c in ("x0", "y0")],
+        *[F.max(c).alias(c) for c in ("x1", "y1", "page_width", "page_height") if c in spans.columns])
     n = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "block_no", "line_no")) - 1
     return made.withColumn("pos", n).withColumn("ends_with_period", F.col("text").endswith("。"))
 
@@ -181,23 +183,40 @@ def _letters(text: Column) -> Column:
     return F.length(F.translate(text, " \n", ""))
 
 
-def chapters(lines: DataFrame, level2_as_body: bool = True, level3_as_body: bool = True) -> DataFrame:
-    """doc_id, chapter_index, title, level, word_count, paragraph_count by the sizes of headings. A chapter runs to the
-    next heading that isn't body, independent or not, or to the next heading of notes."""
+def _segments(lines: DataFrame, level2_as_body: bool, level3_as_body: bool) -> DataFrame:
+    """lines with ``seg``, whether they open a chapter, are shown in one, and are plain text."""
     s = with_merged(in_notes(independence(classify(with_base(lines), level2_as_body, level3_as_body))))
     bound = (F.col("head") & ~F.col("m_body")) | F.col("note")
     s = s.withColumn("seg", running_segment(bound))
     opens = bound & ~F.col("note") & F.col("m_ind") & ~F.col("in_note") & ~F.col("title").rlike(NOTE)
-    s = s.withColumn("opens", F.coalesce(opens, F.lit(False)))
     shown = ~F.col("in_note") & ~F.col("short_margin") & ~is_imprint(F.col("s"))
     plain = F.when(F.col("head"), False).otherwise(F.col("body_sized") | F.col("period") | (estimated_level(F.col("ratio")) == 0))
-    made = s.groupBy("doc_id", "seg").agg(
+    s = s.withColumn("opens", F.coalesce(opens, F.lit(False)))
+    return s.withColumns({"shown": shown, "plain": plain & ~F.col("opens")})
+
+
+def chapters(lines: DataFrame, level2_as_body: bool = True, level3_as_body: bool = True) -> DataFrame:
+    """doc_id, chapter_index, title, level, word_count, paragraph_count by the sizes of headings. A chapter runs to the
+    next heading that isn't body, independent or not, or to the next heading of notes."""
+    made = _segments(lines, level2_as_body, level3_as_body).groupBy("doc_id", "seg").agg(
         F.max("opens").alias("opens"), F.max(F.when(F.col("opens"), F.col("title"))).alias("title"), F.max(F.when(F.col("opens"), F.col("level"))).alias("level"),
-        F.coalesce(F.sum(F.when(shown, _letters(F.col("text")))), F.lit(0)).cast("long").alias("word_count"), F.count_if(shown & plain & ~F.col("opens")).alias("paragraph_count"),
+        F.coalesce(F.sum(F.when(F.col("shown"), _letters(F.col("text")))), F.lit(0)).cast("long").alias("word_count"), F.count_if(F.col("shown") & F.col("plain")).alias("paragraph_count"),
     ).filter("opens")
     return made.withColumn("chapter_index", F.row_number().over(ordered(pos="seg"))).select("doc_id", "chapter_index", "title", "level", "word_count", "paragraph_count")
 
 
+def _as_blocks(lines: DataFrame) -> DataFrame:
+    kind = F.when(F.col("plain"), "paragraph").otherwise("heading")
+    return lines.select("doc_id", F.col("chapter_index").cast("int").alias("chapter_index"), "pos", kind.alias("type"), "text", F.when(F.col("plain"), 0).otherwise(estimated_level(F.col("ratio"))).alias("level"))
+
+
+def chapter_blocks(lines: DataFrame, level2_as_body: bool = True, level3_as_body: bool = True) -> DataFrame:
+    """doc_id, chapter_index, pos, type, text, level of the lines that the chapters by sizes hold."""
+    s = _segments(lines, level2_as_body, level3_as_body)
+    s = s.withColumn("opened", F.max("opens").over(Window.partitionBy("doc_id", "seg"))).filter("opened")
+    return _as_blocks(s.withColumn("chapter_index", F.dense_rank().over(Window.partitionBy("doc_id").orderBy("seg"))).filter("shown"))
+
+
 def toc(lines: DataFrame) -> DataFrame:
     """Entries of the contents pages: doc_id, toc_pos, title, level, type, parent. The contents start at a line 目录 of
     20 points or more and run over two pages."""
@@ -254,9 +273,32 @@ def toc_chapters(lines: DataFrame, matched: DataFrame) -> DataFrame:
     return found.select("doc_id", F.row_number().over(by_toc).alias("chapter_index"), "title", "level", *[F.when(forward, v).otherwise(0).cast("long").alias(k) for k, v in counts.items()])
 
 
-def document_chapters(lines: DataFrame) -> DataFrame:
-    """By the table of contents where three entries or more are found, by sizes elsewhere. The entries with their lines
-    are stored first: both ways ask for them, and they are a small part of the lines."""
-    matched = stored(toc_match(lines, toc(lines)), "contents")
-    rest = lines.join(_enough(matched).select("doc_id").distinct(), "doc_id", "left_anti")
-    return toc_chapters(lines, matched).unionByName(chapters(rest))
+def toc_blocks(lines: DataFrame, matched: DataFrame) -> DataFrame:
+    """doc_id, chapter_index, pos, type, text, level of the lines that the chapters by contents hold."""
+    by_toc = Window.partitionBy("doc_id").orderBy("toc_pos")
+    found = _enough(matched).select("doc_id", "index", F.row_number().over(by_toc).alias("chapter_index"), F.lead("index").over(by_toc).alias("end"))
+    inside = (F.col("pos") >= F.col("index")) & (F.col("end").isNull() | (F.col("pos") < F.col("end")))
+    plain = (F.col("pos") > F.col("index")) & (F.col("body_sized") | F.col("period") | (estimated_level(F.col("ratio")) == 0))
+    return _as_blocks(with_base(lines).join(found, "doc_id").filter(inside).withColumn("plain", plain))
+
+
+def contents(lines: DataFrame) -> DataFrame:
+    """The entries of the contents pages with their lines, stored: all that is made of a document asks for them, and they
+    are a small part of the lines."""
+    return stored(toc_match(lines, toc(lines)), "contents")
+
+
+def _by_sizes(lines: DataFrame, matched: DataFrame) -> DataFrame:
+    return lines.join(_enough(matched).select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def document_chapters(lines: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """By the table of contents where three entries or more are found, by sizes elsewhere."""
+    matched = contents(lines) if matched is None else matched
+    return toc_chapters(lines, matched).unionByName(chapters(_by_sizes(lines, matched)))
+
+
+def document_blocks(lines: DataFrame, matched: DataFrame | None = None) -> DataFrame:
+    """The lines in the chapters of :func:`document_chapters`."""
+    matched = contents(lines) if matched is None else matched
+    return toc_blocks(lines, matched).unionByName(chapter_blocks(_by_sizes(lines, matched)))

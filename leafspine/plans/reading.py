@@ -1,8 +1,10 @@
 """Reading files: the rows of the binaryFile source (path, content, length) to chapters and blocks, each format by its
 operators.
 
-Files are split by reader once; each branch is a plan of its own and all are united. Formats that need a native parser
-(laid-out pages, images) enter as relations of lines instead: ``operators.pdf`` and ``operators.ocr``.
+Files are split by reader once; each branch is a plan of its own and all are united. What needs a native parser enters as
+a relation beside the files: ``spans`` of laid-out pages (path and what ``operators.pdf.lines_from_spans`` asks for, with
+page_width and page_height) and ``recognised`` lines (path and what ``operators.ocr.recognised`` asks for). Without spans a
+laid-out file has no chapters; one with fewer than LEAST_WORDS words takes what was recognised, if that is given.
 """
 
 from __future__ import annotations
@@ -12,11 +14,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import code, dispatch, docx, epub, html, markdown, markup, render, tabular, txt
+from ..operators import code, dispatch, docx, epub, html, markdown, markup, ocr, pdf, render, tabular, txt
 from ..sources import containers, parse
 from ..sources import html as sources_html
 
 Parts = list[DataFrame]
+#: Fixed value: the words below which a laid-out file is taken for images.
+LEAST_WORDS = 1000
 
 
 def _chapters(df: DataFrame) -> DataFrame:
@@ -35,7 +39,8 @@ def _blocks(df: DataFrame) -> DataFrame:
 class Reading:
     """The plans for a set of files; nothing runs before a result is asked for."""
 
-    def __init__(self, files: DataFrame):
+    def __init__(self, files: DataFrame, spans: DataFrame | None = None, recognised: DataFrame | None = None):
+        self.spans, self.recognised = spans, recognised
         self.files = files.withColumns({"reader": dispatch.reader("path"), "ext": dispatch.extension("path")})
 
     def _texts(self, name: str, encodings=parse.UTF8_FIRST, lenient: bool = False) -> DataFrame:
@@ -98,8 +103,23 @@ class Reading:
         built = epub.build_ranges(epub.cascade(nodes, plain), plain)
         return [built], [epub.chapter_blocks(built, nodes, plain)]
 
+    def _pdf(self) -> tuple[Parts, Parts]:
+        paths = self.files.filter("reader = 'pdf'").select(F.col("path").alias("doc_id"))
+        made: tuple[Parts, Parts] = ([], [])
+        if self.spans is not None:
+            lines = pdf.lines_from_spans(self.spans.withColumnRenamed("path", "doc_id").join(paths, "doc_id", "left_semi"))
+            matched = pdf.contents(lines)
+            made = [pdf.document_chapters(lines, matched)], [pdf.document_blocks(lines, matched)]
+        if self.recognised is not None:
+            total = made[0][0].groupBy("doc_id").agg(F.sum("word_count").alias("n")) if made[0] else paths.select("doc_id", F.lit(0).alias("n"))
+            thin = paths.join(total, "doc_id", "left").filter(F.coalesce("n", F.lit(0)) < LEAST_WORDS).select("doc_id")
+            seen = ocr.recognised(self.recognised.withColumnRenamed("path", "doc_id").join(thin, "doc_id", "left_semi")).withColumn("confidence", F.lit(1.0))
+            b = ocr.blocks(seen)
+            made = tuple([p.join(thin, "doc_id", "left_anti") for p in parts] + [own] for parts, own in zip(made, (ocr.chapters(b), ocr.chapter_blocks(b)), strict=True))
+        return made
+
     def _all(self) -> list[tuple[Parts, Parts]]:
-        return [f() for f in (self._txt, self._markdown, self._html, self._json, self._csv, self._markup, self._code, self._docx, self._epub)]
+        return [f() for f in (self._txt, self._markdown, self._html, self._json, self._csv, self._markup, self._code, self._docx, self._epub, self._pdf)]
 
     def chapters(self) -> DataFrame:
         """path, chapter_index, title, word_count of every file that has a reader and text."""

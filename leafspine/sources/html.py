@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from .shipping import ship
 
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 #: Texts in these are no text of the elements around them.
 SILENT = frozenset(("script", "style"))
 

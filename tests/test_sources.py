@@ -124,3 +124,36 @@ def test_files_go_to_a_store_by_uri(spark, tmp_path):
     render.write_files(rows, tmp_path.as_uri()).collect()
     render.write_files(rows.replace("old", "new"), tmp_path.as_uri()).collect()
     assert (tmp_path / "f" / "a.md").read_text() == "new" and sorted(p.name for p in tmp_path.rglob("*.md")) == ["a.md", "b.md"] and not list(tmp_path.rglob(".??*"))
+
+
+def test_laid_out_and_recognised_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for name in ("a.pdf", "b.pdf", "c.pdf", "d.txt"):
+        (tmp_path / "in" / name).write_bytes(b"%PDF")
+    files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
+    path = {r.path.rsplit("/", 1)[1]: r.path for r in files.select("path").collect()}
+
+    def page(name, lines):
+        """Lines in a column in the middle of a tall page, each as one span."""
+        return [(path[name], 0, 0, i, 0, t, size, "f", 100.0, 3000.0 + 40 * i, 260.0, 3000.0 + 40 * i + size, 600.0, 10000.0) for i, (t, size) in enumerate(lines)]
+
+    body = [("body text of a line that is long enough to count", 12.0)] * 20
+    spans = [*page("a.pdf", [("First", 20.0), *body, ("Second", 20.0), *body]), *page("b.pdf", [("Scan", 20.0), ("thin body text of it", 12.0), ("and no more of it", 12.0)]), ("/not/there.pdf", *page("b.pdf", [("x", 1.0)])[0][1:])]
+    spans = spark.createDataFrame(spans, "path string, page_num int, block_no int, line_no int, span_no int, text string, size double, font string, x0 double, y0 double, x1 double, y1 double, page_width double, page_height double")
+    box = [[1.0, 2.0], [9.0, 2.0], [9.0, 5.0], [1.0, 5.0]]
+    seen = [(path[n], 0, [(box, "第1章 seen", 0.9), (box, f"text of {n}", 0.8), (box, "doubtful", 0.3)]) for n in ("a.pdf", "b.pdf", "c.pdf")]
+    seen = spark.createDataFrame(seen, "path string, page_num int, lines array<struct<corners: array<array<double>>, text: string, confidence: double>>")
+
+    def titles(reader):
+        return {(r.path.rsplit("/", 1)[1], r.chapter_index, r.title) for r in reader.chapters().collect() if r.path.endswith("pdf")}
+
+    laid = {("a.pdf", 1, "First"), ("a.pdf", 2, "Second"), ("b.pdf", 1, "Scan")}
+    assert titles(reading.Reading(files)) == set()
+    assert titles(reading.Reading(files, spans)) == laid
+    assert titles(reading.Reading(files, None, seen)) == {(f"{n}.pdf", 1, "第1章 seen") for n in "abc"}
+    both = reading.Reading(files, spans, seen)
+    assert titles(both) == {("a.pdf", 1, "First"), ("a.pdf", 2, "Second"), ("b.pdf", 1, "第1章 seen"), ("c.pdf", 1, "第1章 seen")}
+    blocks = {(r.path.rsplit("/", 1)[1], r.chapter_index, r.type, r.text) for r in both.blocks().collect()}
+    assert {("a.pdf", 1, "heading", "First"), ("a.pdf", 2, "paragraph", body[0][0]), ("b.pdf", 1, "paragraph", "text of b.pdf")} <= blocks
+    made = {(r.path.rsplit("/", 1)[1], r.chapter_index): r.markdown for r in both.markdown("2025-01-01 00:00").collect()}
+    assert body[0][0] in made["a.pdf", 1] and "text of c.pdf" in made["c.pdf", 1] and "doubtful" not in made["c.pdf", 1]
