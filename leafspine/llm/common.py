@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..plans.storage import scratch, shared_dir, stored
 from ..sources.shipping import ship as sources_ship
 
+__all__ = ["BATCH_BYTES", "BATCH_ROWS", "Positional", "drop_scratch", "partitions", "release", "scratch", "shared_dir", "ship", "stored", "table", "without"]
+
 _SET: set[str] = set()
 #: Arrow batches stay below this many rows and bytes, so that a batch of long texts stays small on both sides.
 BATCH_ROWS, BATCH_BYTES = "2000", "4m"
@@ -29,37 +31,33 @@ def ship(spark: SparkSession) -> None:
         _SET.add(spark.sparkContext.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where that is unset."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if d:
-        if not jsc.getCheckpointDir().isDefined():
-            spark.sparkContext.setCheckpointDir(d)
-        return d.rstrip("/")
-    if not jsc.getCheckpointDir().isDefined():
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="leafspine-ckpt-"))
-    return jsc.getCheckpointDir().get().rstrip("/")
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
 
+class Positional:
+    """A table under names that say nothing but the position (``rows``), so that no column of an operator's own can clash
+    with one of the table's."""
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/leafspine/{tag}-{uuid.uuid4().hex}"
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.rows = table.toDF(*[f"c{i}" for i in range(len(self.names))])
 
+    def of(self, name: str) -> str:
+        """What a column is called in rows; upper and lower case are one, as in Spark."""
+        return f"c{[n.lower() for n in self.names].index(name.lower())}"
 
-def drop_scratch(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    def back(self, results: tuple[str, ...] = ()) -> list[Column]:
+        """The columns under their own names, without those called like one of the results, which take their place."""
+        taken = {r.lower() for r in results}
+        return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write a small intermediate table to the shared folder and read it back: the lineage ends here and lost
-    executors cost nothing that was already computed."""
-    spark = df.sparkSession
-    path = scratch(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def without(table: DataFrame, *results: str) -> DataFrame:
+    """table without the columns that are called like one of the results, which take their place."""
+    taken = {r.lower() for r in results}
+    return table.select(*[F.col(f"`{c}`") for c in table.columns if c.lower() not in taken])
 
 
 def partitions(spark: SparkSession) -> int:

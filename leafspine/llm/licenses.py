@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import ship
+from .common import release, ship, without
 
 MAX_TEMPLATE_BYTES = 16 << 20
 _TABLE = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -195,6 +195,7 @@ _ARROW = pa.list_(pa.struct([("license", pa.string()), ("dice", pa.float64()), (
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8, text_col: str = "text", matches_col: str = "__licenses") -> DataFrame:
     """docs with the matches of each text, the best first."""
     ship(docs.sparkSession)
+    docs = without(docs, matches_col)
     shared = docs.sparkSession.sparkContext.broadcast(Scanner(TEMPLATES if templates is None else templates, least))
     at = docs.columns.index(text_col)
 
@@ -203,6 +204,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, leas
         for batch in batches:
             made = [sorted(scanner.scan(t, within=True), key=lambda m: (-m["dice"], m["license"])) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, _ARROW)], names=[*batch.schema.names, matches_col])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, `{matches_col}` {MATCHES}")

@@ -11,7 +11,8 @@ to drop are joined back to the documents on a digest of id and text.
 
 Defined results: a null or empty text is one empty line and is returned as it is; a null id is a document that comes before all
 others; rows that repeat an id are one document (each row keeps its own lines); repeated lines inside the kept
-document all stay; an empty table gives no rows; extra columns are kept.
+document all stay; an empty table gives no rows; extra columns are kept, but those named like a result of
+:func:`dedup_lines` give way to it; ids are of any type that has an order.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Positional, stored
 
+RESULTS = ("__n_lines", "__n_dropped")
 BLANK = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -53,8 +55,10 @@ def dropped_positions(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, i
 def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs with the text reassembled from the lines that stay, and ``__n_lines`` and
     ``__n_dropped``."""
-    gone = dropped_positions(docs, min_docs, min_chars, id_col, text_col)
-    keyed = docs.withColumn("__th", _row_hash(text_col))
+    p = Positional(docs)
+    id_col, text_col = p.of(id_col), p.of(text_col)
+    gone = dropped_positions(p.rows, min_docs, min_chars, id_col, text_col)
+    keyed = p.rows.withColumn("__th", _row_hash(text_col))
     joined = keyed.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__hash")), "left")
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rebuilt = joined.withColumn("__n_dropped", F.when(F.col("__drop").isNull(), F.lit(0)).otherwise(F.size("__drop")).cast("long"))
@@ -62,5 +66,13 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     rebuilt = rebuilt.withColumn("__lines", F.when(F.col("__drop").isNotNull(), F.split(text, "\n", -1)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
     kept = F.when(F.col("__drop").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("__lines"), i)), "\n"))
-    columns = [kept.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
-    return rebuilt.select(*columns, "__n_lines", "__n_dropped")
+    return rebuilt.withColumn(text_col, kept).select(*p.back(RESULTS), *RESULTS)
+
+
+def drop_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """docs with the lines that stay, its columns and no others; length_col: a column that holds the text's length."""
+    p = Positional(docs)
+    kept = dedup_lines(p.rows, min_docs, min_chars, p.of(id_col), p.of(text_col))
+    if length_col is not None:
+        kept = kept.withColumn(p.of(length_col), F.length(p.of(text_col)).cast("long"))
+    return kept.select(*p.back())

@@ -21,7 +21,8 @@ Intermediate tables are written to the shared folder. Nothing is collected to th
 
 Defined results: a null or empty text, or one without words, has an empty set and is linked with nothing; rows that
 repeat an id are one document; a row with a null id is linked with nothing, has a null component and is kept; an
-empty table gives no rows; extra columns are kept by :func:`deduplicate`. Ids are integers.
+empty table gives no rows; extra columns are kept by :func:`deduplicate`, whatever their names. Ids that are no
+integers are taken as strings, and the smallest is the first in their order.
 """
 
 from __future__ import annotations
@@ -35,8 +36,9 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from .common import partitions, release, ship, stored
+from .common import Positional, partitions, release, ship, stored
 
 WIDTH, COORDINATES, BLOCK = 5, 125, 256
 #: Shingle hashes that a worker remembers while it verifies pairs, 8 bytes each.
@@ -52,6 +54,11 @@ def rows_per_band(percent: int, t: int = COORDINATES, miss: float = 1e-6) -> int
     return max((r for r in range(1, 11) if (1 - s**r) ** (t // r) < miss), default=1)
 
 
+def id_type(docs: DataFrame, id_col: str) -> str:
+    """What ids are compared as."""
+    return "long" if isinstance(docs.select(F.col(f"`{id_col}`")).schema[0].dataType, IntegralType) else "string"
+
+
 def word_list(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
@@ -125,7 +132,7 @@ def _least_matches(percent: int, t: int = COORDINATES) -> int:
 def sketch_documents(docs: DataFrame, percent: int, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n (set size), class (digest of the words; null without words), bands and the short sketch of every row."""
     ship(docs.sparkSession)
-    r = rows_per_band(percent)
+    r, kind = rows_per_band(percent), id_type(docs, id_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,8 +154,13 @@ def sketch_documents(docs: DataFrame, percent: int, width: int = WIDTH, id_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["id", "n", "class", "bands", "short"])
         release()
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    return rows.mapInArrow(run, "id long, n long, class binary, bands array<long>, short binary")
+    rows = docs.select(F.col(f"`{id_col}`").cast(kind).alias("id"), F.col(f"`{text_col}`").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, n long, class binary, bands array<long>, short binary")
+
+
+def _pair_type(df: DataFrame, column: str) -> str:
+    kind = dict(df.dtypes)[column]
+    return f"a {kind}, b {kind}"
 
 
 def _similar(pairs: DataFrame, percent: int) -> DataFrame:
@@ -163,7 +175,7 @@ def _similar(pairs: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep))
 
     sized = pairs.filter(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, _pair_type(sized, "a"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
@@ -194,7 +206,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> D
         recent.clear()
         release()
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "za", "zb").mapInArrow(run, _pair_type(pairs, "a")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -239,12 +251,14 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
         unzip = zstandard.ZstdDecompressor()
 
         def compare(t: pa.Table) -> list[tuple[int, int]]:
-            node, label, n = (t.column(c).to_numpy() for c in ("node", "label", "n"))
-            if label.min() == label.max():
+            """The rows of t, a cell, that are linked."""
+            n = t.column("n").to_numpy()
+            label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+            if not label.any():
                 return []
             second, z, band = t.column("second").to_numpy(), t.column("z"), t.column("band")[0].as_py()
             own = t.column("own")[0].as_py()
-            short = np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(len(node), -1)
+            short = np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
             keys = np.array(t.column("bands").to_pylist(), dtype=np.int64)
             sets: dict[int, np.ndarray] = {}
 
@@ -255,15 +269,15 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
                 return sets[i]
 
             found = []
-            for x in range(len(node)) if own else np.flatnonzero(~second):
-                y = np.arange(x + 1, len(node)) if own else np.flatnonzero(second)
+            for x in range(len(n)) if own else np.flatnonzero(~second):
+                y = np.arange(x + 1, len(n)) if own else np.flatnonzero(second)
                 y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
                 y = y[(short[y] == short[x]).sum(axis=1) >= least] if len(y) else y
                 y = y[(keys[y] == keys[x]).argmax(axis=1) == band] if len(y) else y
                 if len(y):
                     both = _shared_counts(of(int(x)), [of(int(i)) for i in y])
                     y = y[100 * both >= percent * (n[x] + n[y] - both)]
-                    found += [(int(min(node[x], node[i])), int(max(node[x], node[i]))) for i in y]
+                    found += [(int(x), int(i)) for i in y]
             return found
 
         def finished(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
@@ -273,9 +287,10 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
             if not last:
                 held = t.slice(cuts[-2])
                 cuts.pop()
-            got = [pair for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1 for pair in compare(t.slice(s, e - s))]
+            got = [(s + x, s + y) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1 for x, y in compare(t.slice(s, e - s))]
             if got:
-                yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
+                node = t.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([node.take(pa.array([p[i] for p in got], pa.int64())) for i in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -286,7 +301,8 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
             yield from finished(held.combine_chunks(), True)
         release()
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    found = dealt.mapInArrow(run, _pair_type(dealt, "node"))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,8 +321,9 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
             z = [pack.compress(b" ".join(word_list(t))) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], names=["node", "z"])
 
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("node"), F.col(f"`{text_col}`").alias("text")).filter("node is not null and text is not null")
-    texts = stored(texts.mapInArrow(zipped, "node long, z binary").join(members.select("node").distinct(), "node", "left_semi"), "texts")
+    kind = id_type(docs, id_col)
+    texts = docs.select(F.col(f"`{id_col}`").cast(kind).alias("node"), F.col(f"`{text_col}`").alias("text")).filter("node is not null and text is not null")
+    texts = stored(texts.mapInArrow(zipped, f"node {kind}, z binary").join(members.select("node").distinct(), "node", "left_semi"), "texts")
     left = reps.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("short").alias("sa"))
     right = reps.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("short").alias("sb"))
     stars = stored(members.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "stars")
@@ -332,5 +349,6 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
 
 def deduplicate(docs: DataFrame, percent: int = 80, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document (the smallest id) of each component."""
-    gone = link_documents(docs, percent, width, id_col, text_col).filter("component_id < id").select(F.col("id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    p = Positional(docs)
+    gone = link_documents(docs, percent, width, id_col, text_col).filter("component_id < id").select(F.col("id").alias("gone")).distinct()
+    return p.rows.join(gone, F.col(p.of(id_col)).cast(id_type(docs, id_col)) == F.col("gone"), "left_anti").select(*p.back())

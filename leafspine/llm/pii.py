@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship, without
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -229,12 +229,14 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 def find_personal_data(docs: DataFrame, text_col: str = "text", spans_col: str = "__spans") -> DataFrame:
     """docs with the spans of each text."""
     ship(docs.sparkSession)
+    docs = without(docs, spans_col)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = pa.array([spans(t) for t in batch.column(at).to_pylist()], _ARROW)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], names=[*batch.schema.names, spans_col])
+        release()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     return docs.mapInArrow(run, f"{schema}, `{spans_col}` {SPANS}")
