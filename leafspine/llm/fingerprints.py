@@ -9,17 +9,23 @@ not none, is one shingle.
 
 Defined results: a null or empty text, or one without words, has the empty sketch (fingerprint ''); two empty
 sketches resemble each other fully, an empty and another one not at all; equal texts have equal sketches; repeated
-rows each get their row; null ids come after all others; extra columns are ignored.
+rows each get their row; ids that are no integers are ordered as strings; null ids come after all others; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType, LongType
 
 from .line_dedup import BLANK, ascii_lower
 
 K, WIDTH = 64, 5
+#: Text in a range of ids that is sorted as one, and the most ranges.
+BUCKET_BYTES, MAX_CUTS = 512 << 10, 20_000
 #: 2**64, the number of hashes, and the least of them.
 SPAN, LEAST = float(2**64), float(-(2**63))
 
@@ -74,46 +80,65 @@ def fingerprint(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = 512 << 10, max_cells: int = 200_000) -> DataFrame:
-    """docs with ``next_<c>`` for each of columns: the value in the next row by descending id (equal ids: descending
-    hash of the text), and after the last row that of the first.
+def cut_points(ids: DataFrame, parts: int) -> list:
+    """Ascending values of the column ``sid`` that cut its rows into about as many parts of equal size. Only these values,
+    MAX_CUTS at most, reach the driver; the order that rests on them is exact whatever they are."""
+    if parts <= 1:
+        return []
+    if isinstance(ids.schema["sid"].dataType, LongType):
+        found = ids.agg(F.percentile_approx("sid", [k / parts for k in range(1, parts)], 20 * parts).alias("p")).first()["p"] or []
+    else:  # no quantiles of strings: the least of each of the ranges that a sort would deal
+        ranged = ids.filter("sid is not null").repartitionByRange(min(parts, 512), "sid")
+        found = [r["least"] for r in ranged.groupBy(F.spark_partition_id().alias("range")).agg(F.min("sid").alias("least")).collect()]
+    return sorted(set(found))
+
+
+def bucket_of(value: Column, cuts: list, kind: str) -> Column:
+    """How many of the ascending cuts are at most value, by halving: a look for each bit of their number."""
+    if not cuts:
+        return F.lit(0)
+    bounds = F.from_json(F.lit(json.dumps(cuts)), f"array<{kind}>")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get(bounds, low + step - 1) <= value, low + step).otherwise(low))
+
+
+def dealt(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of docs with a bucket: a range of ids with about bucket_bytes of text. In each bucket the first row of the
+    range below stands as a guest, and in the lowest that of the highest.
 
-    No task sees the whole order: ids are cut into ranges of about bucket_bytes of text (from byte counts of at most
-    max_cells equal cells of the id range), a window runs inside each range, and the first row of the range below
-    is added to each range as a guest. The tables of cells and of first rows are bounded by max_cells.
+    Columns ``sid``, ``h`` (hash of the text), ``bucket`` and ``guest`` are added. Cut points and first rows are found
+    from ids and hashes alone; texts meet in :func:`with_next`.
     """
-    order = docs.withColumns({"__sid": F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(2**63))), "__h": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
+    kind = "bigint" if isinstance(docs.select(F.col(f"`{id_col}`")).schema[0].dataType, IntegralType) else "string"
+    order = docs.withColumns({"sid": F.col(f"`{id_col}`").cast(kind), "h": F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))})
     size = F.coalesce(F.octet_length(f"`{text_col}`"), F.lit(0)) + F.lit(16)
-    s = order.filter(F.col(f"`{id_col}`").isNotNull()).agg(F.min("__sid").alias("low"), F.max("__sid").alias("high"), F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    low, high, total, n = s["low"] or 0, s["high"] or 0, s["bytes"] or 0, s["n"]
-    target = max(bucket_bytes, total * 4 // max_cells)
-    cells = max(1, min(max_cells, n, 8 * (total // target + 1)))
-    width = (high - low) // cells + 1
-    order = order.withColumn("__cell", F.when(F.col(f"`{id_col}`").isNull(), F.lit(-1)).otherwise(F.expr(f"(__sid - {low}) div {width}")).cast("int"))
-    before = Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
-    by_cell = order.groupBy("__cell").agg(F.sum(size).alias("__m"))
-    buckets = by_cell.select("__cell", (F.coalesce(F.sum("__m").over(before), F.lit(0)) / F.lit(target)).cast("int").alias("__bucket"))
-    dealt = order.join(F.broadcast(buckets), "__cell").drop("__cell")
-    firsts = dealt.groupBy("__bucket").agg(F.max(F.struct("__sid", "__h")).alias("__top"))
-    above = Window.orderBy("__bucket")
-    firsts = firsts.select(F.col("__top.__sid").alias("__sid"), F.col("__top.__h").alias("__h"), F.coalesce(F.lead("__bucket").over(above), F.min("__bucket").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("__to"))
-    return _lead(docs, dealt, firsts, columns)
-
-
-def _lead(docs: DataFrame, dealt: DataFrame, firsts: DataFrame, columns: list[str]) -> DataFrame:
-    guests = dealt.join(F.broadcast(firsts), ["__sid", "__h"]).dropDuplicates(["__sid", "__h", "__to"])
-    guests = guests.withColumn("__bucket", F.col("__to")).drop("__to").withColumn("__guest", F.lit(1))
-    everyone = dealt.withColumn("__guest", F.lit(0)).unionByName(guests.select(*dealt.columns, "__guest"))
-    inside = Window.partitionBy("__bucket").orderBy(F.col("__guest"), F.col("__sid").desc(), F.col("__h").desc())
-    led = everyone.withColumns({f"next_{c}": F.lead(f"`{c}`").over(inside) for c in columns})
-    return led.filter(F.col("__guest") == 0).select(*[F.col(f"`{c}`") for c in docs.columns], *[f"next_{c}" for c in columns])
-
-
-def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:
+    total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()["bytes"]
+    cuts = cut_points(order.select("sid"), min(total // bucket_bytes + 1, MAX_CUTS))
+    order = order.withColumn("bucket", F.when(F.col("sid").isNull(), F.lit(-1)).otherwise(bucket_of(F.col("sid"), cuts, kind)))
+    tops = order.groupBy("bucket").agg(F.max(F.struct("sid", "h")).alias("top"))
+    above = Window.orderBy("bucket")  # a row a bucket
+    lowest = F.min("bucket").over(above.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    tops = tops.select(F.col("bucket").alias("top_of"), F.col("top.sid").alias("top_sid"), F.col("top.h").alias("top_h"), F.coalesce(F.lead("bucket").over(above), lowest).alias("to"))
+    is_top = (F.col("bucket") == F.col("top_of")) & F.col("sid").eqNullSafe(F.col("top_sid")) & (F.col("h") == F.col("top_h"))
+    own, as_guest = F.struct(F.col("bucket"), F.lit(0).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(1).alias("guest"))
+    places = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, as_guest))
+    placed = order.join(F.broadcast(tops), is_top, "left").withColumn("place", F.explode(places))
+    return placed.select(*docs.columns, "sid", "h", "place.bucket", "place.guest")
+
+
+def with_next(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of :func:`dealt` without the guests, with ``next_<c>`` for each of columns: the value in the next row by
+    descending id (equal ids: descending hash of the text), and after the last row that of the first."""
+    inside = Window.partitionBy("bucket").orderBy("guest", F.desc("sid"), F.desc("h"))
+    led = rows.withColumns({f"next_{c}": F.lead(f"`{c}`").over(inside) for c in columns})
+    return led.filter(F.col("guest") == 0).drop("sid", "h", "bucket", "guest")
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, width: int = WIDTH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """For every row: id, text, sketch, and of its edited text (the last half of the code points replaced by the
     first as many of the next document): edited and edited_sketch, with next_sketch."""
     own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    led = with_next(with_sketch(own, "text", "sketch", k, width), ["text", "sketch"])
+    led = with_next(with_sketch(dealt(own, bucket_bytes=bucket_bytes), "text", "sketch", k, width), ["text", "sketch"])
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half))
     return with_sketch(led.withColumn("edited", edited).drop("next_text"), "edited", "edited_sketch", k, width)
