@@ -1,9 +1,11 @@
 """Operator 3, quality classifier: an interpolated modified Kneser-Ney model of character 5-grams, trained on trusted
 text; sharded count joins give each document's perplexity, and quantiles of each language give the thresholds.
 
-Characters are classes: code points below 1024 are themselves, others share 512 classes by hash. A 5-gram is a
-50-bit key. Keys are dealt to shards by the last two characters of their context, so a shard holds all counts that
-the orders 5, 4 and 3 of its keys need; orders 2 and 1 are one table of at most 1024 x 1024 numbers.
+Characters are classes: code points below ``PLAIN`` (Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Syriac, N'Ko) are
+themselves, all others share the rest of the ``CLASSES`` by hash, about eleven Han characters a class. A 5-gram is a
+60-bit key. Keys are dealt to shards by the last two characters of their context, so a shard holds all counts that
+the orders 5, 4 and 3 of its keys need; orders 2 and 1 are one sparse table of the bigrams that occur, which is
+broadcast: at most CLASSES * CLASSES entries of 8 bytes (134 MB), some thousands for an alphabet.
 
 1. One pass over the texts, in blocks of about ``BLOCK_CHARS``: each block gives the distinct keys it needs scored
    and, of its trusted texts, keys with counts, by shard. Text isn't shuffled for this; what is passed on grows with
@@ -14,18 +16,18 @@ the orders 5, 4 and 3 of its keys need; orders 2 and 1 are one table of at most
 4. The texts of each block meet the probabilities of its keys: the mean of log2 p is the perplexity's logarithm.
    This is done first for the held-out documents alone, which give the thresholds, then for all.
 
-Trusted are documents with quality 1 and toxic 0 in labels, all of them; every ``FOLDS``-th (by hash) is held out
-of the training and gives the quantiles, so thresholds rest on text the model hasn't seen. A document is rejected
-if its bits a character, shrunk towards its language's median by ``PRIOR_CHARS`` characters, lie over the quantile
-``HIGH`` of its language by more than ``SLACK`` of the quantile's distance to the median. That threshold is shrunk
-towards one ``WIDE_BITS`` higher, which weighs as much as ``PRIOR_DOCS`` held-out documents: the fewer of a language's
-documents are held out, the more is kept, by one law at every size. Other languages have no say in it. Quantiles are
-read off histograms of ``BINS`` bins a bit, which merge in any order to the same result.
+Trusted are documents with quality 1 and toxic 0 in labels. Every ``FOLDS``-th of them (by hash) is held out of the
+training and gives the quantiles, so thresholds rest on text the model hasn't seen; all others are trained on. A
+document is rejected if its bits a character, shrunk towards its language's median by ``PRIOR_CHARS`` characters, lie
+over the quantile ``HIGH`` of its language's held-out documents, to which ``WIDE_BITS * PRIOR_DOCS / (n + PRIOR_DOCS)``
+is added: the uncertainty of a quantile of n documents, by one law at every size. Other languages have no say in it.
+Quantiles are read off histograms of ``BINS`` bins a bit, which merge in any order to the same result.
 
 Defined results: a null or empty text has no characters, null bits and is kept (nothing speaks against it); a null
 language is a language; documents of a language of which none is held out are kept, too; without labels nothing is trusted and everything is kept; labels of unknown ids are ignored,
 a document with several labels is trusted if all are; rows that repeat an id are scored each; an empty table gives
-no rows; extra columns are kept.
+no rows; extra columns are kept, those named like a result of :func:`classify` give way to it. Ids of docs and labels
+that differ in type are compared as docs have them.
 """
 
 from __future__ import annotations
@@ -40,14 +42,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import partitions, release, ship, stored
+from .common import Positional, partitions, release, ship, stored
 
-ORDER, CLASSES, BITS = 5, 1024, 10
+ORDER, BITS, CLASSES, PLAIN = 5, 12, 4096, 2304
 BLOCK_CHARS, CHUNK_CHARS, SHARDS = 12_000_000, 1_000_000, 96
-FOLDS, PRIOR_CHARS, HIGH, SLACK, BINS = 5, 100.0, 0.98, 0.5, 100
+FOLDS, PRIOR_CHARS, HIGH, BINS = 5, 100.0, 0.99, 100
 WIDE_BITS, PRIOR_DOCS = 2.0, 1.0
 #: Log probabilities travel as 16-bit steps of 1/2048 bit.
 STEP = 2048
+RESULTS = ("__trust", "__chars", "__bits", "__most", "__keep")
 #: The most trusted ids that are broadcast (16 bytes each); beyond it they join by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 _LOW2 = np.uint64((1 << (2 * BITS)) - 1)
@@ -55,9 +58,9 @@ _LOW2 = np.uint64((1 << (2 * BITS)) - 1)
 
 def classes(text: str) -> np.ndarray:
     c = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32).astype(np.uint64)
-    far = c >= CLASSES
+    far = c >= PLAIN
     if far.any():
-        c[far] = np.uint64(512) + ((c[far] * np.uint64(2654435761)) >> np.uint64(7)) % np.uint64(512)
+        c[far] = np.uint64(PLAIN) + ((c[far] * np.uint64(2654435761)) >> np.uint64(7)) % np.uint64(CLASSES - PLAIN)
     return c
 
 
@@ -130,28 +133,40 @@ def _level(keys: np.ndarray, counts: np.ndarray, d: list[float], asked: np.ndarr
     return np.where(known, (own + left[at] * below) / total[at], below)
 
 
-def bigram_table(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """p(second | first) for all pairs of classes, from the continuation counts of bigrams."""
-    table = np.zeros((CLASSES, CLASSES))
-    if not len(keys):
-        return np.full((CLASSES, CLASSES), 1 / CLASSES)
-    ones, n1 = _lower(keys, 1)
-    d1, d2 = (discounts([np.sum(c == i) for i in range(1, 5)]) for c in (n1, counts))
-    p1 = np.full(CLASSES, np.array([0.0, *d1])[np.minimum(n1, 3)].sum() / n1.sum() / CLASSES)
-    p1[ones.astype(np.int64)] += (n1 - np.array([0.0, *d1])[np.minimum(n1, 3)]) / n1.sum()
-    first, second = (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64(CLASSES - 1)).astype(np.int64)
-    disc = np.array([0.0, *d2])[np.minimum(counts, 3)]
-    table[first, second] = counts - disc
-    total, left = np.bincount(first, counts, CLASSES), np.bincount(first, disc, CLASSES)
-    seen = total > 0
-    table[seen] = (table[seen] + left[seen, None] * p1) / total[seen, None]
-    table[~seen] = p1
-    return table
-
-
-def probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, d: dict[int, list[float]], pairs: np.ndarray) -> np.ndarray:
+class Bigrams:
+    """p(second | first) of classes, from the sorted keys of the bigrams that occur and their continuation counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.p = keys.astype(np.uint32), np.zeros(0, np.float32)
+        #: Of a bigram that doesn't occur: the weight of its first class times p of its second.
+        self.back, self.single = np.ones(CLASSES), np.full(CLASSES, 1 / CLASSES)
+        if not len(keys):
+            return
+        ones, n1 = _lower(keys, 1)
+        d1, d2 = (discounts([np.sum(c == i) for i in range(1, 5)]) for c in (n1, counts))
+        taken = np.array([0.0, *d1])[np.minimum(n1, 3)]
+        self.single = np.full(CLASSES, taken.sum() / n1.sum() / CLASSES)
+        self.single[ones.astype(np.int64)] += (n1 - taken) / n1.sum()
+        first, second = (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64(CLASSES - 1)).astype(np.int64)
+        disc = np.array([0.0, *d2])[np.minimum(counts, 3)]
+        total, left = np.bincount(first, counts, CLASSES), np.bincount(first, disc, CLASSES)
+        seen = total > 0
+        self.back[seen] = left[seen] / total[seen]
+        self.p = ((counts - disc) / total[first] + self.back[first] * self.single[second]).astype(np.float32)
+
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """p of bigram keys."""
+        p = self.back[(asked >> np.uint64(BITS)).astype(np.int64)] * self.single[(asked & np.uint64(CLASSES - 1)).astype(np.int64)]
+        if len(self.keys):
+            i = np.minimum(np.searchsorted(self.keys, asked.astype(np.uint32)), len(self.keys) - 1)
+            known = self.keys[i] == asked
+            p[known] = self.p[i[known]]
+        return p
+
+
+def probabilities(asked: np.ndarray, keys: np.ndarray, counts: np.ndarray, d: dict[int, list[float]], pairs: Bigrams) -> np.ndarray:
     """p of the asked 5-grams from the counts of their shard."""
-    p = pairs[((asked >> np.uint64(BITS)) & np.uint64(CLASSES - 1)).astype(np.int64), (asked & np.uint64(CLASSES - 1)).astype(np.int64)]
+    p = pairs.of(asked & _LOW2)
     four, c4 = _lower(keys, 4)
     three, c3 = _lower(four, 3)
     for order, k, c in ((3, three, c3), (4, four, c4), (5, keys, counts)):
@@ -177,7 +192,7 @@ def _blocks(texts: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[int, pa.
 def flagged(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs with ``__trust``: 1 in training, 2 held out, 0 not trusted."""
     good = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min((F.coalesce("quality", F.lit(0)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
-    good = good.filter("good").select(F.col("doc_id").alias("__good"))
+    good = good.filter("good").select(F.col("doc_id").try_cast(dict(docs.dtypes)[id_col]).alias("__good")).filter("__good is not null").distinct()
     small = good.count() <= MAX_BROADCAST_IDS
     joined = docs.join(F.broadcast(good) if small else good, F.col(f"`{id_col}`") == F.col("__good"), "left")
     trust = F.when(F.col("__good").isNull(), 0).when(F.pmod(F.xxhash64("__good"), F.lit(FOLDS)) == 0, 2).otherwise(1)
@@ -262,7 +277,7 @@ def answers_for(rows: DataFrame, text_col: str = "text", shards: int = SHARDS) -
     found = model.mapInArrow(_statistics, "order int, what long, n long").groupBy("order", "what").agg(F.sum("n").alias("n")).toPandas()  # at most CLASSES**2 + 12 rows
     d = {k: discounts([found[(found.order == k) & (found.what == i)].n.sum() for i in range(1, 5)]) for k in (3, 4, 5)}
     two = found[found.order == 2].sort_values("what")
-    shared = spark.sparkContext.broadcast((d, bigram_table(two.what.to_numpy(dtype=np.uint64), two.n.to_numpy(dtype=np.int64)).astype(np.float32)))
+    shared = spark.sparkContext.broadcast((d, Bigrams(two.what.to_numpy(dtype=np.uint64), two.n.to_numpy(dtype=np.int64))))
 
     def answer(asks: pa.Table, counted: pa.Table) -> pa.Table:
         d, pairs = shared.value
@@ -341,17 +356,27 @@ def thresholds(scored: DataFrame, lang_col: str = "lang") -> DataFrame:
 
     made = ranked.groupBy("lang").agg(at(0.5).alias("mid"), at(HIGH).alias("high"), F.max("of").alias("of"))
     wider = F.lit(WIDE_BITS * PRIOR_DOCS) / (F.col("of") + PRIOR_DOCS)
-    return made.select(F.col("lang").alias("__lang"), F.col("mid").alias("__mid"), (F.col("high") + SLACK * (F.col("high") - F.col("mid")) + wider).alias("__most"))
+    return made.select(F.col("lang").alias("__lang"), F.col("mid").alias("__mid"), (F.col("high") + wider).alias("__most"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """docs with ``__chars``, ``__bits``, ``__most`` and ``__keep``."""
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs, whose columns must not be named like those added: RESULTS."""
     rows = flagged(docs, labels, id_col)
     answers = answers_for(rows, text_col)
     limits = stored(thresholds(score(rows, answers, text_col, held_out=[lang_col]), lang_col), "limits")
-    scored = score(rows, answers, text_col)
-    out = scored.withColumn("__key", F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")))
+    out = score(rows, answers, text_col).withColumn("__key", F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("")))
     out = out.join(F.broadcast(limits), F.col("__key") == F.col("__lang"), "left")  # a row a language
     shrunk = (F.col("__bits") * F.col("__chars") + F.col("__mid") * PRIOR_CHARS) / (F.col("__chars") + PRIOR_CHARS)
-    keep = F.coalesce(shrunk <= F.col("__most"), F.lit(True))
-    return out.withColumn("__keep", keep).select(*[F.col(f"`{c}`") for c in docs.columns], "__trust", "__chars", "__bits", "__most", "__keep")
+    return out.withColumn("__keep", F.coalesce(shrunk <= F.col("__most"), F.lit(True)))
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """docs with ``__trust``, ``__chars``, ``__bits``, ``__most`` and ``__keep``."""
+    p = Positional(docs)
+    return scored(p.rows, labels, p.of(id_col), p.of(text_col), p.of(lang_col)).select(*p.back(RESULTS), *RESULTS)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The documents that aren't rejected, with the columns of docs and no others."""
+    p = Positional(docs)
+    return scored(p.rows, labels, p.of(id_col), p.of(text_col), p.of(lang_col)).filter("__keep").select(*p.back())

@@ -154,7 +154,7 @@ def brute_bits(trained, texts):
 
     def p(g):
         k = len(g)
-        below = 1 / 1024 if k == 1 else p(g[1:])
+        below = 1 / quality.CLASSES if k == 1 else p(g[1:])
         counts = contexts[k].get(g[:-1])
         if not counts:
             return below
@@ -199,7 +199,7 @@ def test_thresholds_are_one_law(spark):
     assert got.keys() == sizes.keys()
     for i, (lang, n) in enumerate(sizes.items()):
         high, mid = 2.005 + i + 0.5 * (n > 1), 2.005 + i
-        assert got[lang] == pytest.approx((mid, high + quality.SLACK * (high - mid) + quality.WIDE_BITS * quality.PRIOR_DOCS / (n + quality.PRIOR_DOCS))), lang
+        assert got[lang] == pytest.approx((mid, high + quality.WIDE_BITS * quality.PRIOR_DOCS / (n + quality.PRIOR_DOCS))), lang
 
 
 def test_rare_languages_are_kept(spark):
