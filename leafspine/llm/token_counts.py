@@ -157,11 +157,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str | None =
         return rows.groupBy("content_digest").agg(F.max("n_tokens").alias("n_tokens"))
 
     distinct = docs.select(digest.alias("content_digest"), text.alias("text")).groupBy("content_digest").agg(F.first("text").alias("text"))
-    if cache_path is None:
-        cache_path, misses = scratch(spark, "token-cache"), distinct
-    else:
-        spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
-        misses = distinct.join(cached(cache_path).select("content_digest"), "content_digest", "left_anti")
+    cache_path = cache_path or scratch(spark, "token-cache")
+    spark.createDataFrame([], CACHE_SCHEMA).write.mode("append").parquet(cache_path)
+    misses = distinct.join(cached(cache_path).select("content_digest"), "content_digest", "left_anti")
     counted = encode_misses(misses, tokenizer_path)
     counted.select("content_digest", F.lit(version).alias("tokenizer_digest"), "n_tokens").write.mode("append").parquet(cache_path)
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), digest.alias("content_digest"))
