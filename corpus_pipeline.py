@@ -17,19 +17,14 @@ from leafspine.llm import bpe, decontaminate, line_dedup, near_dedup, quality
 from leafspine.llm.common import stored, table
 
 
-def _columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
-
-
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that read like trusted text of their language; the others go."""
-    return quality.classify(docs, table(spark, sf_dir, "labels")).filter("__keep").select(*_columns(docs))
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in three documents or more stay in one of them; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs, min_docs=3, min_chars=20).select(*_columns(docs))
-    return kept.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else kept
+    return line_dedup.drop_lines(docs, min_docs=3, min_chars=20, length_col="n_chars" if "n_chars" in docs.columns else None)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
