@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import display_count, safe_filename, strip
 from ..plans.segment import joined
+from ..plans.storage import stored
 from ..sources.shipping import ship
 
 #: Marks of the first three levels.
@@ -64,19 +65,16 @@ def hierarchy(chapters: DataFrame) -> DataFrame:
 
     Each round joins every open row with the ancestor it has reached, so the known part of a path doubles: a tree of
     depth n takes log2(n) rounds. Rows whose ancestor is finished finish in that round; if none did, the rest are circles.
+    What a round made is written to the shared folder, so rows should carry no texts.
     """
-    step = chapters.withColumns({"__up": F.col("parent_id").cast("string"), "__path": F.col("chapter_index").cast("string")}).persist()
+    step = stored(chapters.withColumns({"__up": F.col("parent_id").cast("string"), "__path": F.col("chapter_index").cast("string")}), "paths")
     opened = step.filter("__up is not null").count()
     while opened:
         above = step.select("doc_id", F.col("chapter_id").cast("string").alias("__up"), F.col("__up").alias("__next"), F.col("__path").alias("__above"))
-        known = step.filter("__up is not null").join(above, ["doc_id", "__up"])
-        moved = known.withColumns({"__up": F.col("__next"), "__path": F.concat("__above", F.lit("."), "__path")}).select(*step.columns)
-        new = step.filter("__up is null").unionByName(moved).persist()
-        left = new.filter("__up is not null").count()
-        closed = left < opened
-        step.unpersist()
-        step, opened = new, left
-        if not closed:
+        moved = step.filter("__up is not null").join(above, ["doc_id", "__up"]).withColumns({"__up": F.col("__next"), "__path": F.concat("__above", F.lit("."), "__path")})
+        step = stored(step.filter("__up is null").unionByName(moved.select(*step.columns)), "paths")
+        before, opened = opened, step.filter("__up is not null").count()
+        if opened == before:
             break
     return step.filter("__up is null").withColumnRenamed("__path", "hierarchy_path").drop("__up")
 

@@ -9,6 +9,7 @@ laid-out file has no chapters; one with fewer than LEAST_WORDS words takes what
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -39,8 +40,9 @@ def _blocks(df: DataFrame) -> DataFrame:
 class Reading:
     """The plans for a set of files; nothing runs before a result is asked for."""
 
-    def __init__(self, files: DataFrame, spans: DataFrame | None = None, recognised: DataFrame | None = None):
-        self.spans, self.recognised = spans, recognised
+    def __init__(self, files: DataFrame, spans: DataFrame | None = None, recognised: DataFrame | None = None, readers: Iterable[str] | None = None):
+        """readers: the names of those that the files need (``dispatch.READERS``), so that no others are planned."""
+        self.spans, self.recognised, self.readers = spans, recognised, None if readers is None else set(readers)
         self.files = files.withColumns({"reader": dispatch.reader("path"), "ext": dispatch.extension("path")})
 
     def _texts(self, name: str, encodings=parse.UTF8_FIRST, lenient: bool = False) -> DataFrame:
@@ -119,7 +121,11 @@ class Reading:
         return made
 
     def _all(self) -> list[tuple[Parts, Parts]]:
-        return [f() for f in (self._txt, self._markdown, self._html, self._json, self._csv, self._markup, self._code, self._docx, self._epub, self._pdf)]
+        branches = {
+            "txt": self._txt, "markdown": self._markdown, "html": self._html, "json": self._json, "csv": self._csv, "xml rtf": self._markup, "code": self._code, "docx": self._docx,
+            "epub": self._epub, "pdf": self._pdf,
+        }
+        return [branch() for names, branch in branches.items() if self.readers is None or self.readers & set(names.split())]
 
     def chapters(self) -> DataFrame:
         """path, chapter_index, title, word_count of every file that has a reader and text."""

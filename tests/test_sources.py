@@ -79,7 +79,7 @@ def test_a_broken_file_of_each_format_beside_a_sound_one(spark, tmp_path):
     for name, data in bad.items():
         (tmp_path / "in" / name).write_bytes(data)
     df = spark.read.format("binaryFile").load(str(tmp_path / "in"))
-    got = {(r.path.rsplit("/", 1)[1], r.title) for r in reading.read_chapters(df).collect()}
+    got = {(r.path.rsplit("/", 1)[1], r.title) for r in reading.Reading(df, readers=["csv", "json", "html", "docx", "epub", "txt"]).chapters().collect()}
     assert got == {("b.json", "JSON内容"), ("f.txt", "章节 1"), ("g.htm", "T")}
 
 
@@ -148,10 +148,10 @@ def test_laid_out_and_recognised_files(spark, tmp_path):
         return {(r.path.rsplit("/", 1)[1], r.chapter_index, r.title) for r in reader.chapters().collect() if r.path.endswith("pdf")}
 
     laid = {("a.pdf", 1, "First"), ("a.pdf", 2, "Second"), ("b.pdf", 1, "Scan")}
-    assert titles(reading.Reading(files)) == set()
-    assert titles(reading.Reading(files, spans)) == laid
-    assert titles(reading.Reading(files, None, seen)) == {(f"{n}.pdf", 1, "第1章 seen") for n in "abc"}
-    both = reading.Reading(files, spans, seen)
+    assert titles(reading.Reading(files, readers=["pdf", "txt"])) == set()
+    assert titles(reading.Reading(files, spans, readers=["pdf"])) == laid
+    assert titles(reading.Reading(files, None, seen, ["pdf"])) == {(f"{n}.pdf", 1, "第1章 seen") for n in "abc"}
+    both = reading.Reading(files, spans, seen, ["pdf"])
     assert titles(both) == {("a.pdf", 1, "First"), ("a.pdf", 2, "Second"), ("b.pdf", 1, "第1章 seen"), ("c.pdf", 1, "第1章 seen")}
     blocks = {(r.path.rsplit("/", 1)[1], r.chapter_index, r.type, r.text) for r in both.blocks().collect()}
     assert {("a.pdf", 1, "heading", "First"), ("a.pdf", 2, "paragraph", body[0][0]), ("b.pdf", 1, "paragraph", "text of b.pdf")} <= blocks
