@@ -13,8 +13,9 @@ of ``width`` words (with fewer words, the whole sequence is one). Documents are
 4. In each bucket of a band all members are compared to the least one. Pairs whose sketches can't reach the
    threshold (5 standard deviations) or whose sizes can't are left out, the others are verified on full sets.
 5. Buckets whose members are in one component then are finished: for any group of linked copies that is one
-   comparison each. The members of other buckets are compared across components in blocks of bounded size, pruned
-   in the same way and verified on full sets inside the block; only links leave it, and components are taken again.
+   comparison each. The members of other buckets are compared across components in blocks of bounded size, by sizes
+   and sketches first, which gives the members that have a partner left; these are dealt again with their texts and
+   verified on full sets inside the block. Only links leave it, and components are taken again.
    No bucket is capped and no pairs of a group are listed.
 
 Intermediate tables are written to the shared folder. Nothing is collected to the driver but counts.
@@ -34,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -213,16 +214,22 @@ def components(links: DataFrame) -> DataFrame:
     """``node`` and ``label`` (the smallest node reachable) of every node that has a link, by alternating large and
     small stars: each step hangs neighbours on the smallest one known, until nothing changes."""
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    seen = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        new = stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
-        if not new.exceptAll(edges).limit(1).count() and not edges.exceptAll(new).limit(1).count():
-            return new.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(new.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
-        edges = new
+        edges = stored(small.select("e.u", "e.v").filter("u <> v").distinct(), "edges")
+        before, seen = seen, _state(edges)
+        if seen == before:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def _state(edges: DataFrame) -> Row:
+    """What a set of edges is told by: their number and two 64-bit sums over all of them, whatever their order."""
+    return edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first()
 
 
 def _shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
@@ -232,39 +239,38 @@ def _shared_counts(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, others[:-1])]))
 
 
-def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """Links (a, b) across components in the same bucket; members: band, bucket, k, node, label, n, short, bands, z.
+def _cells(members: DataFrame) -> DataFrame:
+    """The rows of members (bucket, k, node, ...), each in the cells of its block: a bucket is dealt into k blocks, and
+    each pair of blocks is a cell."""
+    dealt = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cell = F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j"))
+    dealt = dealt.withColumns({"cell": cell, "second": F.col("i") > F.col("j"), "own": F.col("i") == F.col("j")}).drop("i", "j", "k")
+    return dealt.repartition(partitions(members.sparkSession), "cell").sortWithinPartitions("cell", "second", "node")
 
-    ``k`` is the number of blocks of about BLOCK that the bucket's members are dealt into; each pair of blocks is one
-    group of rows. A pair is
-    looked at in its first common band alone; sizes and sketches rule most pairs out, the full sets decide on the
-    rest where they are, and only links leave the task.
-    """
-    least = _least_matches(percent)
-    dealt = members.withColumn("i", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-    dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = dealt.select(F.xxhash64("bucket", F.least("i", "j"), F.greatest("i", "j")).alias("cell"), (F.col("i") > F.col("j")).alias("second"), (F.col("i") == F.col("j")).alias("own"), "band", "node", "label", "n", "short", "bands", "z")
-    dealt = dealt.repartition(partitions(members.sparkSession), "cell").sortWithinPartitions("cell", "second", "node")
+
+def _compared(dealt: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of rows of a cell (bucket, band, node, label, n, short, bands) from two components, each in its first common
+    band alone, whose sizes and sketches allow a link. With texts (z): the linked ones, as (a, b), decided on the full
+    sets. Without: (bucket, node) of the rows that have such a partner, so at most one record a row leaves a cell."""
+    least, exact, kind = _least_matches(percent), "z" in dealt.columns, dict(dealt.dtypes)["node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
         unzip = zstandard.ZstdDecompressor()
 
         def compare(t: pa.Table) -> list[tuple[int, int]]:
-            """The rows of t, a cell, that are linked."""
             n = t.column("n").to_numpy()
             label = t.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
             if not label.any():
                 return []
-            second, z, band = t.column("second").to_numpy(), t.column("z"), t.column("band")[0].as_py()
-            own = t.column("own")[0].as_py()
+            second, band, own = t.column("second").to_numpy(), t.column("band")[0].as_py(), t.column("own")[0].as_py()
             short = np.frombuffer(b"".join(t.column("short").to_pylist()), dtype=np.uint8).reshape(len(n), -1)
             keys = np.array(t.column("bands").to_pylist(), dtype=np.int64)
             sets: dict[int, np.ndarray] = {}
 
             def of(i: int) -> np.ndarray:
                 if i not in sets:
-                    joined = unzip.decompress(z[i].as_py())
+                    joined = unzip.decompress(t.column("z")[i].as_py())
                     sets[i] = _hashes(joined.split(), joined, width)
                 return sets[i]
 
@@ -274,11 +280,11 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
                 y = y[(label[y] != label[x]) & (np.minimum(n[y], n[x]) * 100 >= np.maximum(n[y], n[x]) * percent)]
                 y = y[(short[y] == short[x]).sum(axis=1) >= least] if len(y) else y
                 y = y[(keys[y] == keys[x]).argmax(axis=1) == band] if len(y) else y
-                if len(y):
+                if len(y) and exact:
                     both = _shared_counts(of(int(x)), [of(int(i)) for i in y])
                     y = y[100 * both >= percent * (n[x] + n[y] - both)]
-                    found += [(int(x), int(i)) for i in y]
-            return found
+                found += [(int(x), int(i)) for i in y]
+            return found if exact else [(i, i) for i in {i for pair in found for i in pair}]
 
         def finished(t: pa.Table, last: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held
@@ -289,8 +295,8 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
                 cuts.pop()
             got = [(s + x, s + y) for s, e in zip(cuts, cuts[1:], strict=False) if e - s > 1 for x, y in compare(t.slice(s, e - s))]
             if got:
-                node = t.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([node.take(pa.array([p[i] for p in got], pa.int64())) for i in (0, 1)], names=["a", "b"])
+                first, node = (t.column(c).combine_chunks().take(pa.array([p[0] for p in got], pa.int64())) for c in ("node" if exact else "bucket", "node"))
+                yield pa.RecordBatch.from_arrays([first, t.column("node").combine_chunks().take(pa.array([p[1] for p in got], pa.int64())) if exact else node], names=["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -301,8 +307,22 @@ def _across(members: DataFrame, percent: int, width: int) -> DataFrame:
             yield from finished(held.combine_chunks(), True)
         release()
 
-    found = dealt.mapInArrow(run, _pair_type(dealt, "node"))
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    if not exact:
+        return dealt.mapInArrow(run, f"a long, b {kind}").toDF("bucket", "node").distinct()
+    return dealt.mapInArrow(run, f"a {kind}, b {kind}").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _sized(members: DataFrame) -> DataFrame:
+    """bucket and ``k``, the number of blocks of about BLOCK that its members make."""
+    return members.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
+
+
+def _across(members: DataFrame, sketches: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) across components in the same bucket; members: band, bucket, k, node, label. Sketches are compared
+    first; texts travel for those rows alone that have a partner which sizes and sketches don't rule out."""
+    likely = stored(_compared(_cells(members.join(sketches, "node")), percent, width), "likely")
+    again = members.drop("k").join(likely, ["bucket", "node"]).join(stored(_sized(likely), "likely-sizes"), "bucket")
+    return _compared(_cells(again.join(sketches, "node").join(texts, "node")), percent, width)
 
 
 def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -334,8 +354,8 @@ def link_documents(docs: DataFrame, percent: int = 85, width: int = WIDTH, id_co
     labelled = members.join(labels, "node", "left").select("band", "bucket", "node", F.coalesce("label", "node").alias("label"))
     of_bucket = labelled.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("k"))
     open_buckets = stored(of_bucket.filter("x < y").select("bucket", "k"), "open")
-    still = labelled.join(open_buckets, "bucket").join(reps.select("node", "n", "short", "bands"), "node").join(texts, "node")
-    links = links.unionByName(_across(still, percent, width))
+    still = stored(labelled.join(open_buckets, "bucket"), "still")
+    links = links.unionByName(_across(still, reps.select("node", "n", "short", "bands"), texts, percent, width))
     # an id with several texts joins their classes
     class_nodes = reps.select("class", "node")
     several = owned.groupBy("id").agg(F.min(F.xxhash64("class")).alias("x"), F.max(F.xxhash64("class")).alias("y")).filter("x < y").select("id")
